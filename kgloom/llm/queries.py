@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import packing, token_file
+from kgloom.llm import jaccard, packing, token_file
 from kgloom.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op10_part_enum)}
 
 
 def oracle_sql() -> dict[str, str]:
