@@ -40,8 +40,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAP
         e = encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.append(e.encode(text), np.uint32(end_id))
+            doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            for doc_id, ids in zip(doc_ids, e.encode_many(texts), strict=True):
+                ids = np.append(ids, np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     out.append((doc_id, k, at, len(own), zlib.crc32(own.astype("<u4").tobytes()), *([own.tolist()] if with_ids else [])))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import jaccard, packing, token_file
+from kgloom.llm import jaccard, packing, pii, secrets, token_file, toxicity
 from kgloom.llm.common import table
 
 
@@ -23,13 +23,29 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op3_pii_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text, disguised ones too, by offsets in the source."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op4_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text by pattern and by randomness."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op9_subsequence_svm, op10_part_enum)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -170,7 +170,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, parts: Column | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
-            ids = [_packed(np.append(e.encode(x), np.uint32(end_id))) for x in batch.column(1).to_pylist()]
+            ids = [_packed(np.append(x, np.uint32(end_id))) for x in e.encode_many(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *batch.columns[2:]], schema=arrow)
 
     return base.mapInArrow(run, schema)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -38,6 +39,7 @@ class _Kept:
 
     def __init__(self):
         self.index: dict[str, int] = {}
+        self.hits = np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
@@ -53,6 +55,18 @@ class _Kept:
         self.used = end
         self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
 
+    def met(self, at: np.ndarray) -> None:
+        n = len(self.index)
+        self.hits = np.concatenate([self.hits, np.zeros(max(0, n - len(self.hits)), np.int64)])
+        self.hits[:n] += np.bincount(at, minlength=n)
+
+    def without_rare(self) -> _Kept:
+        """Those that were met more often than half of them."""
+        at = np.flatnonzero(self.hits > np.median(self.hits))
+        keys, kept = list(self.index), _Kept()
+        kept.add([keys[i] for i in at], self.size[at], self.ids(at))
+        return kept
+
     def find(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.get, keys, _MISS), np.int64, len(keys))
 
@@ -63,6 +77,8 @@ class _Kept:
 
 
 _MISS = repeat(-1)
+#: Characters of texts that are looked up together.
+_AT_ONCE = 2_000_000
 
 
 class Encoder:
@@ -81,37 +97,62 @@ class Encoder:
     def learn_runs(self, runs: list[str]) -> None:
         for at in range(0, len(runs), 2_000):
             part = runs[at : at + 2_000]
-            new = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            new = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[new]) + 1
             assert len(ends) == len(part), "each run ends in one word-end token"
             self.runs.add(part, np.diff(ends, prepend=0), new)
 
     def learn_words(self, words: list[str]) -> None:
         """Words between white space, made of one run or several."""
-        if len(self.words.index) > CACHE_WORDS:
-            self.words, self.runs = _Kept(), _Kept()
-        split = list(map(_RUNS.findall, words))
-        runs = [r for x in split for r in x]
-        if new := [r for r in dict.fromkeys(runs) if r not in self.runs.index]:
+        runs = self.runs.index
+        # a word of letters is one run; only others need splitting
+        plain = [w for w in words if w in runs or w.isalpha()]
+        mixed = [w for w in words if not (w in runs or w.isalpha())]
+        split = list(map(_RUNS.findall, mixed))
+        parts = plain + list(chain.from_iterable(split))
+        if new := [r for r in dict.fromkeys(parts) if r not in runs]:
             self.learn_runs(new)
-        at = self.runs.find(runs)
-        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-        self.words.add(words, np.bincount(of, self.runs.size[at], len(split)).astype(np.int64), self.runs.ids(at))
+        at = self.runs.find(parts)
+        of = np.concatenate([np.arange(len(plain)), np.repeat(np.arange(len(plain), len(words)), np.fromiter(map(len, split), np.int64, len(split)))])
+        self.words.add(plain + mixed, np.bincount(of, self.runs.size[at], len(words)).astype(np.int64), self.runs.ids(at))
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one whole text, as uint32."""
+    def _safe(self, text: str) -> bool:
         unsafe = _CONTROL if text.isascii() else _UNSAFE
-        if not self.by_runs or unsafe.search(text) or "<|" in text and any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
+        return self.by_runs and not unsafe.search(text) and not ("<|" in text and any(s in text for s in self.special))
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each whole text, as uint32, a few texts at a time."""
+        at = 0
+        while at < len(texts):
+            past, size = at, 0
+            while past < len(texts) and (past == at or size + len(texts[past]) <= _AT_ONCE):
+                size += len(texts[past])
+                past += 1
+            yield from self._encode_some(texts[at:past])
+            at = past
+
+    def _encode_some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = [x.lower().split() if self._safe(x) else None for x in texts]
+        words = list(chain.from_iterable(x for x in split if x))
         at = self.words.find(words)
         if (at < 0).any():
+            if len(self.words.index) > CACHE_WORDS:
+                self.words, self.runs = self.words.without_rare(), _Kept()
+                at = self.words.find(words)
             self.learn_words(list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0))))
             at = self.words.find(words)
-            if (at < 0).any():  # the cache began anew
-                self.learn_words(list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0))))
-                at = self.words.find(words)
-        return self.words.ids(at)
+        self.words.met(at)
+        sizes = np.concatenate([[0], np.cumsum(self.words.size[at])])
+        ids, place = self.words.ids(at), 0
+        for text, own in zip(texts, split, strict=True):
+            if own is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield ids[sizes[place] : sizes[place + len(own)]]
+                place += len(own)
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self._encode_some([text]))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
