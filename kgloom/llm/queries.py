@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import jaccard, packing, pii, secrets, token_file, toxicity
+from kgloom.llm import decontamination, jaccard, packing, pii, quality, secrets, token_file, toxicity
 from kgloom.llm.common import table
 
 
@@ -33,6 +33,16 @@ def op4_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents: a row for each document and item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every text."""
     documents = table(spark, sf_dir, "documents")
@@ -45,8 +55,8 @@ def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op9_subsequence_svm, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op8_rule_cascade, op9_subsequence_svm, op10_part_enum)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_rule_cascade": quality.ORACLE_SQL}

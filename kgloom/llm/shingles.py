@@ -39,10 +39,15 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     own = min(n, len(words))
-    total = np.zeros(len(words) - own + 1, np.uint64)
-    for k in range(own):
-        total += words[k : k + len(total)] * _ODD[k]
-    return mixed(total + _ODD[-own])
+    return window_hashes_at(words, np.arange(len(words) - own + 1), own)
+
+
+def window_hashes_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each start on."""
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(n):
+        total += words[starts + k] * _ODD[k]
+    return mixed(total + _ODD[-n])
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
