@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import decontamination, jaccard, packing, pii, quality, secrets, token_file, toxicity, urls
+from kgloom.llm import decontamination, html_text, jaccard, packing, pii, quality, secrets, token_file, toxicity, urls
 from kgloom.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL."""
     return urls.judged(table(spark, sf_dir, "pages"))
@@ -60,7 +65,7 @@ def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op6_page_differencing, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum)}
 
 
 def oracle_sql() -> dict[str, str]:
