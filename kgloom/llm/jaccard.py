@@ -7,9 +7,10 @@ has k + 2 parts, of which a similar pair has two alike at least. A signature sta
 where a part holds too few elements to tell sets apart, for two such parts together: whichever two parts are alike, the
 pair shares a signature. No bucket is cut.
 
-Equal sets are one class first. Within each signature's bucket the smallest id leads; a class is held against the leader
-with which it shares most signatures, then against its other leaders, and then the pairs left in buckets that still hold
-several components are held against each other. All comparisons are exact over whole sets (of 64-bit shingle hashes).
+Equal sets are one class first. Within each signature's bucket the smallest id leads, and a class is held against the leader
+with which it shares most signatures. Clusters (what buckets connect) whose members these links don't join all are then
+compared whole, in blocks by size, so that no pairs are written out. All comparisons are exact over whole sets (of
+64-bit shingle hashes).
 
 Nulls: a null text has an empty set, linked with nothing; a null doc_id is linked with nothing and has a null component.
 Repeated rows are copies of one document. ``doc_id`` names one text; rows that share it but not the text get a component
@@ -33,6 +34,8 @@ from kgloom.llm.shingles import mixed, shingle_set
 
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Shingles and sets of a block, about.
+BLOCK_WEIGHT, BLOCK_SETS = 200_000, 500
 
 
 def band_of(size: int, percent: int) -> tuple[int, int, int]:
@@ -124,22 +127,16 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     led = signed.withColumn("a", F.first("b").over(W.partitionBy("sig").orderBy("b"))).where("a <> b")
     led = stored(led, "led")  # members of buckets with their leaders
     ids = stored(led.select(F.col("a").alias("id")).union(led.select("b")).distinct(), "involved")
-    involved = stored(_packed_sets(chosen(docs, ids), n).dropDuplicates(["id"]), "shingles")
+    involved = stored(_packed_sets(chosen(docs, ids), n), "shingles")
     pairs = stored(led.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
     links = stored(_verified(best, involved, percent), "links")
     parts = stored(components(links), "components")
-    # the other leaders, where the two are not joined yet
-    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), parts)
-    links = stored(links.union(_verified(rest, involved, percent)), "links")
-    parts = stored(components(links), "components")
-    # buckets that still hold several components: the pairs between their other members
-    seen = F.coalesce(F.col("component"), F.col("b"))
-    labelled = led.join(parts.withColumnRenamed("node", "b"), "b", "left").select("sig", "a", "b", seen.alias("part"))
-    torn = labelled.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
-    torn = stored(labelled.join(torn, "sig", "left_semi"), "torn")
-    left = torn.select("sig", F.col("b").alias("a1"), F.col("part").alias("p1")).join(torn.select("sig", F.col("b").alias("b1"), F.col("part").alias("p2")), "sig").where("a1 < b1 and p1 <> p2").select(F.col("a1").alias("a"), F.col("b1").alias("b")).distinct()
-    more = stored(_verified(left.join(pairs, ["a", "b"], "left_anti"), involved, percent), "links")
+    # clusters of candidates that still hold several components: all their members against each other, in blocks
+    labelled = stored(components(pairs.select("a", "b")).join(parts.withColumnRenamed("component", "part"), "node", "left").select("node", F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part")), "clusters")
+    torn = labelled.groupBy("cluster").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("cluster")
+    members = labelled.join(torn, "cluster", "left_semi").join(sets.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
+    more = stored(_linked_in_blocks(members, involved, percent), "links")
     if more.take(1):
         parts = stored(components(links.union(more)), "components")
     joined = sets.drop("signatures").join(classes, "key", "left").join(parts, F.col("rep") == F.col("node"), "left")
@@ -147,6 +144,63 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first of those it is connected to by links within the list."""
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # no other element is in an intersection
+    column = np.cumsum(shared) - 1
+    keep = shared[at]
+    of, at = of[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(at, [lo, lo + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[of[i:j], at[i:j] - lo] = 1
+        common += has @ has.T
+    both = np.rint(common).astype(np.int64)
+    links = 100 * both >= percent * (size[:, None] + size - both)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(links, label, len(sets)).min(axis=1)
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what links within each cluster of ``node, cluster, n_shingles``.
+
+    Members are cut by size into blocks of about ``BLOCK_WEIGHT``; a block meets itself and those whose sizes can link, and each
+    meeting is a task of its own, however large the cluster. A meeting gives a row a member at most.
+    """
+    ahead = W.partitionBy("cluster").orderBy("n_shingles", "node").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n_shingles") + BLOCK_WEIGHT // BLOCK_SETS).over(ahead), F.lit(0))
+    dealt = stored(members.select("node", "cluster", "n_shingles", F.floor(before / BLOCK_WEIGHT).alias("block")), "blocks")
+    sizes = dealt.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    small, large = sizes.alias("s"), sizes.alias("l")
+    met = small.join(large, (F.col("s.cluster") == F.col("l.cluster")) & (F.col("s.block") <= F.col("l.block")) & (100 * F.col("s.most") >= percent * F.col("l.least")))
+    meetings = met.select(F.col("s.cluster").alias("cluster"), F.col("s.block").alias("i"), F.col("l.block").alias("j"), F.explode(F.array_distinct(F.array("s.block", "l.block"))).alias("block"))
+    rows = dealt.join(meetings, ["cluster", "block"]).select("cluster", "i", "j", "node").join(sets.toDF("node", "shingles"), "node")
+    arrow = arrow_schema("a long, b long")
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = np.array(group.column("node").to_pylist(), np.int64)
+        order = np.argsort(nodes)
+        own = group.column("shingles").to_pylist()
+        label = linked([np.frombuffer(own[i], np.uint64) for i in order], percent)
+        nodes = nodes[order]
+        moved = label != np.arange(len(label))
+        return pa.Table.from_arrays([pa.array(nodes[label[moved]]), pa.array(nodes[moved])], schema=arrow)
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
+
+
 def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema("id long, shingles binary")
 
@@ -157,8 +211,17 @@ def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    a = parts.toDF("a", "part_a")
-    b = parts.toDF("b", "part_b")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+def first_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of one document of each component, the smallest id's, as they are. Of rows that repeat a doc_id and its text one
+    stays; rows with a null doc_id stay."""
+    found = stored(near_duplicates(documents, n, percent).select("doc_id", "component_id"), "found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = documents.join(F.broadcast(gone) if few else gone, documents["doc_id"] == gone["id"], "left_anti")
+    again = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    n_again = again.count()
+    if not n_again:
+        return kept
+    again = F.broadcast(again) if n_again <= BROADCAST_IDS else again
+    match = kept["doc_id"] == F.col("id")
+    return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"]))
