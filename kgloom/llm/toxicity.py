@@ -24,21 +24,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import arrow_schema, id_text
 
-SAMPLE = 3000
-SENTENCES = 60_000
+SAMPLE = 1500
+SENTENCES = 20_000
 LANDMARKS = 96
 DECAY = 0.75
 SPAN = 6
 FLOOR = 0.5
 POWER = 2
 #: What clean texts weigh against toxic ones when fitting: wrongly dropping text costs more.
-CLEAN_WEIGHT = 5
+CLEAN_WEIGHT = 3
 LONGEST = 40
 THRESHOLD = 0.7
 _R = 64
@@ -179,14 +180,16 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     bad, good = (Counter(w for x in part for w in x) for part in words)
     least = max(4, len(toxic) // 100)
     ratio = max(1, len(clean)) / max(1, len(toxic))
-    # words of toxic texts, and rarer ones that may share a stem
-    marked = {w: n for w, n in bad.items() if len(w) >= 4 and n * ratio > 8 * good[w]}
+    # words that set toxic texts apart; what one text alone has says nothing
+    marked = {w: n for w, n in bad.items() if len(w) >= 4 and n > 1 and n * ratio > 8 * good[w]}
     inside: Counter = Counter()
     where: dict[str, set[str]] = {}
     for w, n in marked.items():
         for s in {w[i : i + k] for k in range(4, 11) for i in range(len(w) - k + 1)}:
             inside[s] += n
             where.setdefault(s, set()).add(w)
+    inside = Counter({s: n for s, n in inside.items() if n >= least})
+    where = {s: where[s] for s in inside}
     against: Counter = Counter()
     for w, n in good.items():
         for s in {w[i : i + k] for k in range(4, 11) for i in range(len(w) - k + 1)} & inside.keys():
@@ -303,8 +306,6 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows whose text is not predicted toxic, as they are."""
-    import pandas as pd
-
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
