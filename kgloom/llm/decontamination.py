@@ -21,8 +21,10 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,14 +214,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The rows whose text holds no benchmark item, as they are."""
-    import pandas as pd
-
     for items in blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(Benchmark(items, **how))
+        documents = documents.where(_clean(documents.sparkSession.sparkContext.broadcast(Benchmark(items, **how)))(F.col(text_col)))
+    return documents
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([x is None or not shared.value.find(x) for x in texts], dtype=bool)
 
-        documents = documents.where(clean(F.col(text_col)))
-    return documents
+def _clean(shared: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([x is None or not shared.value.find(x) for x in texts], dtype=bool)
+
+    return clean

@@ -18,7 +18,9 @@ import re
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kgloom.llm.common import id_text, map_texts
 from kgloom.llm.pii import Span, listed, masked
@@ -111,12 +113,16 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 
 
 def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, each secret in ``text_col`` replaced by its kind in brackets; nulls stay null."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
+    """The same rows and columns, each secret in ``text_col`` replaced by its kind in brackets; nulls stay null. A column
+    ``n_chars`` gets the new length where the text changed."""
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([x if x is None else masked(x, sum(all_spans(x), []), KINDS) for x in texts], dtype=object)
 
-    return documents.withColumn(text_col, clean(F.col(text_col)))
+    new = {text_col: clean(F.col(text_col))}
+    if "n_chars" not in documents.columns:
+        return documents.withColumns(new)
+    changed = documents.withColumns({"_redacted": new[text_col]})
+    length = F.when(F.col("_redacted") == F.col(text_col), F.col("n_chars")).otherwise(F.length("_redacted").cast(documents.schema["n_chars"].dataType))
+    names = {text_col: F.col("_redacted"), "n_chars": F.coalesce(length, F.col("n_chars"))}
+    return changed.select(*(names.get(c, F.col(c)).alias(c) for c in documents.columns))
