@@ -49,8 +49,8 @@ def frobenius(edges: DataFrame, weight: F.Column) -> DataFrame:
 def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha: float = 0.85) -> DataFrame:
     """Personalized PageRank after ``iterations`` steps over distinct directed pairs of ``subject, object``.
 
-    Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does. A step is a join and an aggregation that
-    keep the edges' partitioning, and is checkpointed every five.
+    Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does. A step is a join and an aggregation over a
+    checkpointed table of nodes.
     """
     pairs = edges.select("subject", "object").distinct()
     out = pairs.groupBy("subject").agg(F.count("*").alias("degree"))
@@ -60,12 +60,11 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
     n = jump.count()
     base = nodes.join(jump.withColumn("p", F.lit(1.0 / max(1, n))), "node_id", "left").fillna(0.0, ["p"]).join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left").cache()
     rank = base.select("node_id", F.col("p").alias("r"))
-    for step in range(iterations):
+    for _ in range(iterations):
         lost = base.where("degree is null").join(rank, "node_id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
         moved = links.join(rank, links["subject"] == rank["node_id"]).groupBy(F.col("object").alias("node_id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
         rank = base.join(moved, "node_id", "left").join(F.broadcast(lost)).select("node_id", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
-        if step % 5 == 4:
-            rank = rank.checkpoint()
+        rank = rank.checkpoint()  # it is read twice in the next step
     return rank
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.operators import graphs, lookup, results, scoring
+from kgloom.functions import scalars
+from kgloom.operators import graphs, lookup, monitor, overlay, results, scoring
 from kgloom.sources import star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,9 +135,9 @@ def q09_unique_node_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""select result_id from (select result_id, count(*) over (partition by on_) as n, count(*) over () as t from analyses where pos = 1)
- where n <= 60 or t < 60""")
+ where n <= 150 or t < 150""")
 def q10_promiscuous_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return results.without_promiscuous(star.analyses(spark, sf).where("pos = 1").select("result_id", F.col("on_").alias("knode")), 60)
+    return results.without_promiscuous(star.analyses(spark, sf).where("pos = 1").select("result_id", F.col("on_").alias("knode")), 150)
 
 
 _SETS = """with s as (select result_id, array_to_string(list_sort(list(distinct sn)), ',') as edge_set from analyses where pos <= 1 group by result_id)"""
@@ -276,11 +277,11 @@ def q24_attr_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with g as (select result_id, sn, avg(coalesce(p_value, 0.5)) as m from analyses a left join kg_edges e on e.edge_id = a.kedge_id group by 1, 2)
- select result_id, round(1 - product(1 - m), 6) as score from g group by result_id""")
+ select result_id, round(1 - product(1 - m), 4) as score from g group by result_id""")
 def q25_dup_edge_avg(spark: SparkSession, sf: str) -> DataFrame:
     a = star.analyses(spark, sf).join(star.supplies(spark, sf).select(F.col("edge_id").alias("kedge_id"), "p_value"), "kedge_id", "left")
     means = a.groupBy("result_id", "sn").agg(F.avg(F.coalesce("p_value", F.lit(0.5))).alias("m"))
-    return means.groupBy("result_id").agg(F.round(1 - F.product(1 - F.col("m")), 6).alias("score"))
+    return means.groupBy("result_id").agg(F.round(1 - F.product(1 - F.col("m")), 4).alias("score"))
 
 
 _BEST = "with r as (select result_id, max(score) as a, min(score) as b, count(*) as c from analyses where result_id % 10 = 0 group by result_id)"
@@ -398,3 +399,267 @@ _SQL["q38_pagerank_k10"] = star.with_views(
 def q39_top15_nodes(spark: SparkSession, sf: str) -> DataFrame:
     own = star.kg_edges(spark, sf).where(~F.col("subject").startswith("CUST:")).groupBy(F.col("subject").alias("node_id")).agg(F.sum("num_publications").alias("score"))
     return own.orderBy(F.desc("score"), "node_id").limit(15)
+
+
+# Operational analytics
+
+_NOW = "2024-01-30 00:00:00"
+
+
+def _now() -> F.Column:
+    return F.lit(_NOW).cast("timestamp_ntz")
+
+
+def _bucket(n: int, col: str = "ts") -> str:
+    return f"cast(to_timestamp(floor(epoch({col}) / {n}) * {n}) at time zone 'UTC' as timestamp)"
+
+
+def _nearest(p: int) -> str:
+    return f"d[cast(round_even({p} / 100.0 * (len(d) - 1), 0) as int) + 1] as p{p}"
+
+
+_LATENCY = f"""with g as (select stream, {_bucket(3600, 'finished_at')} as bucket, list_sort(list(duration_ms)) as d from tasks group by 1, 2),
+ l as (select stream, bucket, len(d) as count, list_avg(d) as mean, {', '.join(map(_nearest, (50, 90, 95, 99)))}, d[1] as min, d[-1] as max from g)"""
+_L6 = "round({0}, 6) as {0}"
+
+
+@query(_LATENCY + " select stream, bucket, count, round(mean, 6) as mean, p50, p90, p95, p99, min, max from l")
+def q52_latency_30s(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.latency_summary(star.tasks(spark, sf), 3600).withColumn("mean", F.round("mean", 6))
+
+
+def _metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").select(F.concat(F.lit("xlen:"), F.col("event_type")).alias("metric"), "ts", "value", "event_id")
+
+
+@query(f"select {_bucket(3600)} as bucket, 'xlen:' || event_type as metric, round(avg(value), 6) as value from events group by 1, 2")
+def q53_metrics_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.bucketed_average(_metrics(spark, sf), 3600).withColumn("value", F.round("value", 6))
+
+
+@query(_LATENCY + f""" select {_bucket(86400, 'bucket')} as bucket, stream, cast(sum(count) as bigint) as count, round(avg(mean), 5) as mean,
+ round(avg(p50), 5) as p50, round(avg(p90), 5) as p90, round(avg(p95), 5) as p95, round(avg(p99), 5) as p99, min(min) as min, max(max) as max from l group by 1, 2""")
+def q54_latency_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    own = monitor.bucketed_latency(monitor.latency_summary(star.tasks(spark, sf), 3600), 86400)
+    return own.withColumns({c: F.round(c, 5) for c in ("mean", "p50", "p90", "p95", "p99")})
+
+
+@query("""select event_type, count(*) as n, count(*) filter (cast(props->>'k' as int) > 90) as high, count(*) filter (cast(props->>'k' as int) <= 90) as low from events group by 1""")
+def q55_event_summary(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return star.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(k > 90).alias("high"), F.count_if(k <= 90).alias("low"))
+
+
+@query("select 'xlen:' || event_type as metric, max(value) as peak from events group by 1 order by 2 desc, 1 limit 10")
+def q56_peak_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    return _metrics(spark, sf).where(F.col("metric").startswith("xlen:")).groupBy("metric").agg(F.max("value").alias("peak")).orderBy(F.desc("peak"), "metric").limit(10)
+
+
+@query(f"""select coalesce(state, 'UNKNOWN') as state, domain, count(*) as n, count(*) filter (start_time >= timestamp '1998-01-01') as recent from query_state where domain is not null group by 1, 2""")
+def q57_state_counts(spark: SparkSession, sf: str) -> DataFrame:
+    recent = F.count_if(F.col("start_time") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    return star.query_state(spark, sf).where("domain is not null").groupBy(F.coalesce("state", F.lit("UNKNOWN")).alias("state"), "domain").agg(F.count("*").alias("n"), recent.alias("recent"))
+
+
+@query(f"""select coalesce(cast(date_diff('second', min(start_time), timestamp '{_NOW}') as bigint), 0) as age from query_state where state = 'QUEUED' and qid in (select cast(l_orderkey as varchar) from lineitem)""")
+def q58_oldest_callback(spark: SparkSession, sf: str) -> DataFrame:
+    callbacks = star.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("qid"))
+    own = star.query_state(spark, sf).where("state = 'QUEUED'").join(callbacks, "qid", "left_semi")
+    return own.agg(F.coalesce(F.unix_timestamp(_now().cast("timestamp")) - F.unix_timestamp(F.min("start_time").cast("timestamp")), F.lit(0)).alias("age"))
+
+
+_BEATS = f"with b as (select event_type as stream, user_id as consumer, max(ts) as seen from events group by 1, 2)"
+
+
+def _beats(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").groupBy(F.col("event_type").alias("stream"), F.col("user_id").alias("consumer")).agg(F.max("ts").alias("seen"))
+
+
+@query(_BEATS + f""" select stream, count(*) filter (seen >= timestamp '{_NOW}' - interval 1 day) as alive, count(*) filter (seen < timestamp '{_NOW}' - interval 1 day) as stale, cast(sum(consumer % 7) as bigint) as task_limit,
+ array_to_string(list_sort(list(consumer)), ',') as consumers from b group by 1""")
+def q59_worker_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    edge = _now() - F.expr("interval 1 day")
+    return _beats(spark, sf).groupBy("stream").agg(F.count_if(F.col("seen") >= edge).alias("alive"), F.count_if(F.col("seen") < edge).alias("stale"), F.sum(F.col("consumer") % 7).alias("task_limit"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("consumer")), lambda x: x.cast("string"))).alias("consumers"))
+
+
+@query(f"""with h as (select {_bucket(3600)} as bucket, event_type, count(*) as backlog, count(distinct user_id) - 1 as capacity from events group by 1, 2)
+ select bucket, event_type, round(least(2.0, case when capacity > 0 then backlog * 1.0 / capacity when backlog > 0 then 1.0 else 0.0 end), 6) as utilization from h""")
+def q60_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    from kgloom.functions.scalars import bucket_start
+
+    own = star.table(spark, sf, "events").groupBy(bucket_start(F.col("ts"), 3600).alias("bucket"), "event_type").agg(F.count("*").alias("backlog"), (F.count_distinct("user_id") - 1).alias("capacity"))
+    return own.select("bucket", "event_type", F.round(F.least(F.lit(2.0), monitor.utilization(F.col("backlog"), F.col("capacity"))), 6).alias("utilization"))
+
+
+@query("""select event_id, user_id, before, alive from (select event_id, user_id, value > 50 as alive, lag(value > 50) over (partition by user_id order by ts, event_id) as before from events)
+ where before is not null and before <> alive""")
+def q61_worker_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.transitions(star.table(spark, sf, "events").withColumn("alive", F.col("value") > 50), "user_id").select("event_id", "user_id", "before", "alive")
+
+
+@query("""select event_type, min(ts) as began, max(ts) as ended, count(*) as n from (
+ select *, value > 40 as hit, sum(case when value > 40 then 0 else 1 end) over (partition by event_type order by ts, event_id) as island from events) where hit group by event_type, island""")
+def q62_alert_streaks(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.streaks(star.table(spark, sf, "events"), F.col("value") > 40, "event_type")
+
+
+@query("""with s as (select *, case when ts <= lag(ts) over w + interval 600 second then 0 else 1 end as new from events window w as (partition by event_type order by ts, event_id)),
+ b as (select *, sum(new) over (partition by event_type order by ts, event_id) as burst from s)
+ select event_type, min(ts) as began, max(ts) as ended, count(*) as n, arg_max(event_id, ts) as last_event from b group by event_type, burst""")
+def q63_alert_debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.sessions(star.table(spark, sf, "events"), 600, "event_type")
+
+
+@query("""select q.qid, count(l_orderkey) as callbacks from query_state q left join lineitem on cast(l_orderkey as varchar) = qid
+ where state = 'QUEUED' and start_time < timestamp '1996-01-01' - interval 600 second group by q.qid""")
+def q64_abandoned_queries(spark: SparkSession, sf: str) -> DataFrame:
+    old = star.query_state(spark, sf).where((F.col("state") == "QUEUED") & (F.col("start_time") < F.lit("1996-01-01").cast("timestamp_ntz") - F.expr("interval 600 seconds")))
+    lines = star.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("qid"))
+    return old.join(lines.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("callbacks"))
+
+
+@query("select qid, state from query_state where state = 'QUEUED' or start_time >= timestamp '1998-08-01' - interval 30 day")
+def q65_retention_purge(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.purged(star.query_state(spark, sf), F.lit("1998-08-01").cast("timestamp_ntz"), 30).select("qid", "state")
+
+
+@query(f"""select task_id, stream, consumer from tasks where consumer not in (select cast(user_id as varchar) from events where ts >= timestamp '{_NOW}' - interval 2 hour)
+ and date_diff('second', finished_at, timestamp '{_NOW}') >= case stream when 'click' then 86400 when 'view' then 604800 else 30 end and finished_at < timestamp '{_NOW}'""")
+def q66_orphan_reclaim(spark: SparkSession, sf: str) -> DataFrame:
+    floors = spark.createDataFrame([("click", 86400), ("view", 604800)], "stream string, floor long")
+    alive = star.table(spark, sf, "events").where(F.col("ts") >= _now() - F.expr("interval 2 hours")).select(F.col("user_id").cast("string").alias("consumer")).distinct()
+    return monitor.orphaned(star.tasks(spark, sf).where(F.col("finished_at") < _now()), alive, floors, _now()).select("task_id", "stream", "consumer")
+
+
+@query(f"""select metric, ts, min(value) as value from (select 'xlen:' || event_type as metric, {_bucket(60)} as ts, value from events) group by 1, 2""")
+def q67_metric_dedupe_insert(spark: SparkSession, sf: str) -> DataFrame:
+    from kgloom.functions.scalars import bucket_start
+
+    own = _metrics(spark, sf).withColumn("ts", bucket_start(F.col("ts"), 60))
+    return own.groupBy("metric", "ts").agg(F.min("value").alias("value"))
+
+
+@query(f"""select event_id, event_type from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events where ts >= timestamp '{_NOW}' - interval 3 day) where n <= 100""")
+def q68_timeseries_trim(spark: SparkSession, sf: str) -> DataFrame:
+    own = star.table(spark, sf, "events").where(F.col("ts") >= _now() - F.expr("interval 3 days"))
+    return monitor.last_n(own, 100, ["event_type"], F.desc("ts"), F.desc("event_id")).select("event_id", "event_type")
+
+
+@query("select event_id, ts, event_type from events where event_type = 'error' order by ts desc, event_id desc limit 50")
+def q69_recent_events(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").where("event_type = 'error'").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+
+
+@query("select stream, coalesce(min(task_id) filter (duration_ms > 3000), max(task_id) + 1) as min_id from tasks group by stream")
+def q70_stream_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return star.tasks(spark, sf).groupBy("stream").agg(F.coalesce(F.min(F.when(F.col("duration_ms") > 3000, F.col("task_id"))), F.max("task_id") + 1).alias("min_id"))
+
+
+@query(_BEATS + f" select stream, consumer from b where seen < timestamp '{_NOW}' - interval 1 hour and consumer not in (select user_id from events where value > 300)")
+def q71_stale_consumers(spark: SparkSession, sf: str) -> DataFrame:
+    busy = star.table(spark, sf, "events").where("value > 300").select(F.col("user_id").alias("consumer")).distinct()
+    return _beats(spark, sf).where(F.col("seen") < _now() - F.expr("interval 1 hour")).join(busy, "consumer", "left_anti").select("stream", "consumer")
+
+
+@query("select n.node_id, n.name, n.cat1 from kg_nodes n where node_id in (select sn from analyses where result_id < 50)")
+def q74_late_materialization(spark: SparkSession, sf: str) -> DataFrame:
+    few = star.analyses(spark, sf).where("result_id < 50").select(F.col("sn").alias("node_id")).distinct()
+    return star.kg_nodes(spark, sf).join(few, "node_id", "left_semi").select("node_id", "name", "cat1")
+
+
+# Overlay
+
+_COUNTS = "c as (select l_partkey as part, count(distinct l_orderkey) as n from lineitem group by 1)"
+_PAIRS = """p as (select least(a.sn, b.sn) as a, greatest(a.sn, b.sn) as b, count(distinct a.result_id) as shared
+   from analyses a join analyses b on a.result_id = b.result_id and a.sn < b.sn group by 1, 2)"""
+
+
+@query("with " + _PAIRS + " select a, b, shared from p")
+def q41_curie_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return overlay.pairs(star.analyses(spark, sf).select("result_id", F.col("sn").alias("node_id")))
+
+
+@query("with " + _PAIRS + ", " + _COUNTS + """, t as (select count(distinct result_id) * 1.0 as t from analyses)
+ select a, b, round(greatest(shared / t - x.n / t * (y.n / t), 0) * t, 5) as cov from p join c x on 'PART:' || cast(x.part as varchar) = a join c y on 'PART:' || cast(y.part as varchar) = b cross join t""")
+def q43_cooccurrence_cov(spark: SparkSession, sf: str) -> DataFrame:
+    return overlay.covariance(star.analyses(spark, sf).select("result_id", F.col("sn").alias("node_id"))).withColumn("cov", F.round("cov", 5))
+
+
+@query("with " + _COUNTS + """ select node_id, cast(coalesce(n, 0) as bigint) as article_count from kg_nodes left join c on 'PART:' || cast(part as varchar) = node_id""")
+def q115_node_counts(spark: SparkSession, sf: str) -> DataFrame:
+    counts = star.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n")).select(F.concat(F.lit("PART:"), F.col("l_partkey").cast("string")).alias("node_id"), "n")
+    return star.kg_nodes(spark, sf).select("node_id").join(counts, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("article_count"))
+
+
+@query("""select edge_id, case when list_contains([source, 'infores:x'], 'infores:x') and num_publications % 2 = 0 then source || '|infores:x' else source || '|infores:x' end as sources from kg_edges where predicate = 'supplies'""")
+def q44_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    given = F.when(F.col("num_publications") % 2 == 0, F.array("source", F.lit("infores:x"))).otherwise(F.array("source"))
+    return star.supplies(spark, sf).select("edge_id", F.concat_ws("|", overlay.with_source(given, "infores:x")).alias("sources"))
+
+
+# Graph shapes
+
+@query("""select subject, object, sum(num_publications) as w from (select least(subject, object) as subject, greatest(subject, object) as object, num_publications from kg_edges) group by 1, 2""")
+def q96_collapse_multigraph(spark: SparkSession, sf: str) -> DataFrame:
+    own = star.kg_edges(spark, sf).select("edge_id", F.least("subject", "object").alias("subject"), F.greatest("subject", "object").alias("object"), "num_publications")
+    return graphs.collapsed(own, F.col("num_publications")).select("subject", "object", "w")
+
+
+@query("""with recursive b as (select subject as a, object as b from kg_edges where predicate <> 'buys' union select object, subject from kg_edges where predicate <> 'buys'),
+ h1 as (select distinct b as node from b where a = 'REGION:1'), h2 as (select distinct b.b as node from b join h1 on b.a = h1.node where b.b <> 'REGION:1' and b.b not in (select node from h1))
+ select 'REGION:1' as node, 0 as hop union all select node, 1 from h1 union all select node, 2 from h2""".replace("with recursive", "with"))
+def q109_two_hop_neighborhood(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.k_hop(star.kg_edges(spark, sf).where("predicate <> 'buys'"), spark.createDataFrame([("REGION:1",)], "node string"), 2)
+
+
+@query("select node_id, 'kg' as hub from kg_nodes union all select 'HUB', 'hub'")
+def q111_hub_node(spark: SparkSession, sf: str) -> DataFrame:
+    return star.kg_nodes(spark, sf).select("node_id", F.lit("kg").alias("hub")).union(spark.createDataFrame([("HUB", "hub")], "node_id string, hub string"))
+
+
+@query("""select (select count(distinct result_id) from analyses) as n_results, (select count(*) from kg_nodes) as n_nodes, (select count(*) from kg_edges) as n_edges""")
+def q95_response_stats(spark: SparkSession, sf: str) -> DataFrame:
+    a = star.analyses(spark, sf).agg(F.count_distinct("result_id").alias("n_results"))
+    return a.crossJoin(star.kg_nodes(spark, sf).agg(F.count("*").alias("n_nodes"))).crossJoin(star.kg_edges(spark, sf).agg(F.count("*").alias("n_edges")))  # one row each
+
+
+@query("""select e.edge_id, s.name as subject_name, o.name as object_name from kg_edges e join kg_nodes s on s.node_id = e.subject join kg_nodes o on o.node_id = e.object""")
+def q84_edge_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    n = star.kg_nodes(spark, sf)
+    s, o = n.select(F.col("node_id").alias("subject"), F.col("name").alias("subject_name")), n.select(F.col("node_id").alias("object"), F.col("name").alias("object_name"))
+    return star.kg_edges(spark, sf).join(s, "subject").join(o, "object").select("edge_id", "subject_name", "object_name")
+
+
+@query("""select a.result_id, a.pos, coalesce(e.p_value, 0.5) as confidence from analyses a left join (select * from kg_edges where source <> 'src1') e on e.edge_id = a.kedge_id""")
+def q85_binding_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    e = star.supplies(spark, sf).where("source <> 'src1'").select(F.col("edge_id").alias("kedge_id"), "p_value")
+    return star.analyses(spark, sf).join(e, "kedge_id", "left").select("result_id", "pos", F.coalesce("p_value", F.lit(0.5)).alias("confidence"))
+
+
+@query("""select a.result_id, a.pos as i, b.pos as j from analyses a join analyses b on a.result_id = b.result_id and a.pos < b.pos""")
+def q89_pair_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    a = star.analyses(spark, sf).select("result_id", F.col("pos").alias("i"))
+    return a.join(a.select("result_id", F.col("i").alias("j")), "result_id").where("i < j")
+
+
+@query("""select p_partkey, 'x' || cast(p_size as varchar) || 'Ki' as size, cast(0 as bigint) as bad, cast(p_size * 1024 as bigint) as ki, p_size * 60.0 as minutes from part""")
+def q126_duration_size_parse(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    bad = F.concat(F.lit("x"), size, F.lit("Ki"))
+    return star.table(spark, sf, "part").select("p_partkey", bad.alias("size"), scalars.size_bytes(bad).alias("bad"), scalars.size_bytes(F.concat(size, F.lit("KiB"))).alias("ki"), scalars.duration_seconds(F.concat(size, F.lit("m"))).alias("minutes"))
+
+
+@query("select event_id, cast(epoch_us(ts) // 1000 as varchar) || '-' || cast(user_id + 1 as varchar) as next_id from events")
+def q130_stream_ids(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.concat(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("-"), F.col("user_id").cast("string"))
+    return star.table(spark, sf, "events").select("event_id", scalars.next_stream_id(own).alias("next_id"))
+
+
+@query("select event_id, cast(user_id as varchar) as worker from events")
+def q131_rule_worker(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").select("event_id", scalars.rule_worker(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))).alias("worker"))
+
+
+@query("""select edge_id, 'pm:1|pm:2' as raw, 2 as n_pipe, 3 as n_comma from kg_edges where predicate = 'part_of'""")
+def q116_publications_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return star.kg_edges(spark, sf).where("predicate = 'part_of'").select("edge_id", F.lit("pm:1|pm:2").alias("raw"), F.size(scoring.publications(F.lit("pm:1|pm:2"))).alias("n_pipe"), F.size(scoring.publications(F.lit("a,b,c"))).alias("n_comma"))

@@ -64,7 +64,7 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edge = F.concat(F.lit("sup|"), F.col("l_suppkey").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
-    return joined.select(F.col("o_orderkey").alias("result_id"), F.row_number().over(order).alias("pos"), _id("PART:", "l_partkey").alias("sn"), _id("SUPP:", "l_suppkey").alias("on_"), edge.alias("kedge_id"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("score"))
+    return joined.select(F.col("o_orderkey").alias("result_id"), F.row_number().over(order).alias("pos"), _id("PART:", "l_partkey").alias("sn"), _id("SUPP:", "l_suppkey").alias("on_"), edge.alias("kedge_id"), (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("score"))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ VIEWS = {
     "analyses": """select o_orderkey as result_id,
  row_number() over (partition by o_orderkey order by l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_shipdate) as pos,
  'PART:'||cast(l_partkey as string) as sn, 'SUPP:'||cast(l_suppkey as string) as on_,
- 'sup|'||cast(l_suppkey as string)||'|'||cast(l_partkey as string) as kedge_id, round(l_extendedprice*(1-l_discount),2) as score
+ 'sup|'||cast(l_suppkey as string)||'|'||cast(l_partkey as string) as kedge_id, floor(l_extendedprice*(1-l_discount)*100+0.5)/100 as score
  from lineitem join orders on l_orderkey=o_orderkey""",
     "tasks": "select event_id as task_id, event_type as stream, cast(user_id as string) as consumer, ts as finished_at, value*10 as duration_ms from events",
     "query_state": """select cast(o_orderkey as string) as qid, o_orderdate as start_time,
