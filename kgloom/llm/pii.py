@@ -93,10 +93,12 @@ _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_WORD}|[0-9])"
 #: Ten digits or more in a row of which some are spelled, with "plus" before and separators between.
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ -]?)?{_UNIT}(?:[ ,-]{{0,2}}{_UNIT}){{9,}}(?!\w)")
-_SPELLED_ONE = re.compile(rf"(?i)plus|{_WORD}")
+_SPELLED_ONE = re.compile(rf"(?i)plus|\+|{_WORD}|[0-9]")
 _AT = re.compile(r"(?i) ?[\[({<] ?(?:at|@) ?[\])}>] ?")
 _DOT = re.compile(r"(?i) ?[\[({<] ?(?:dot|punto|punkt|point|\.) ?[\])}>] ?")
 _SPACED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at |@| @ )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++")
+# Last labels of addresses that are taken for one even when "at" and "dot" are words between spaces.
+_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv de fr es uk it nl at ch be pl pt se no dk fi eu us ca mx br ar cl ru cn jp in au nz example test".split())
 _SPACED_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?!\w)")
 _SPACED_PART = re.compile(r"(?i) at | @ | dot ")
 _DIGIT_WORDS = tuple(_SPELLED)
@@ -145,14 +147,16 @@ def undisguised(t: Traced) -> Traced:
         edits = []
         for pattern in (_SPACED, _SPACED_IP):
             for m in pattern.finditer(t.text):
-                # "meet at noon.then" is prose: a spaced "at" counts only with a disguised dot
-                if pattern is _SPACED_IP or " dot " in m[0].lower() or " @ " in m[0]:
+                # "meet at noon.then" and "look at the dot on it" are prose
+                low_match = m[0].lower()
+                address = (" dot " in low_match or " @ " in m[0]) and re.split(r"\.| ", low_match)[-1] in _LABELS
+                if pattern is _SPACED_IP or address:
                     edits += [(m.start() + p.start(), m.start() + p.end(), "." if "dot" in p[0].lower() else "@") for p in _SPACED_PART.finditer(m[0])]
         t = t.edited(sorted(edits))
     if sum(low.count(w) for w in _DIGIT_WORDS) >= 2:
         edits = []
         for m in _SPELLED_RUN.finditer(t.text):
-            edits += [(m.start() + p.start(), m.start() + p.end(), "+" if p[0].lower() == "plus" else _SPELLED[p[0].lower()]) for p in _SPELLED_ONE.finditer(m[0])]
+            edits.append((m.start(), m.end(), "".join(_SPELLED.get(p[0].lower(), p[0]) for p in _SPELLED_ONE.finditer(m[0])).lower().replace("plus", "+")))
         t = t.edited(edits)
     return t
 

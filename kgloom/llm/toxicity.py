@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ SENTENCES = 20_000
 LANDMARKS = 96
 DECAY = 0.75
 SPAN = 6
-FLOOR = 0.5
+FLOOR = 0.6
 POWER = 2
 #: What clean texts weigh against toxic ones when fitting: wrongly dropping text costs more.
 CLEAN_WEIGHT = 3
@@ -188,6 +189,9 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
         for s in {w[i : i + k] for k in range(4, 11) for i in range(len(w) - k + 1)}:
             inside[s] += n
             where.setdefault(s, set()).add(w)
+    # so often that, of as many strings, none would be in toxic texts alone by chance
+    share = len(toxic) / (len(toxic) + len(clean))
+    least = max(least, math.ceil(math.log(20 * max(1, len(inside))) / -math.log(share)))
     inside = Counter({s: n for s, n in inside.items() if n >= least})
     where = {s: where[s] for s in inside}
     against: Counter = Counter()
