@@ -663,3 +663,155 @@ def q131_rule_worker(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select edge_id, 'pm:1|pm:2' as raw, 2 as n_pipe, 3 as n_comma from kg_edges where predicate = 'part_of'""")
 def q116_publications_parse(spark: SparkSession, sf: str) -> DataFrame:
     return star.kg_edges(spark, sf).where("predicate = 'part_of'").select("edge_id", F.lit("pm:1|pm:2").alias("raw"), F.size(scoring.publications(F.lit("pm:1|pm:2"))).alias("n_pipe"), F.size(scoring.publications(F.lit("a,b,c"))).alias("n_comma"))
+
+
+# Smaller operators
+
+@query("with p as (select kedge_id as k, result_id from analyses) select a.k as a, b.k as b, count(*) as shared from p a join p b on a.result_id = b.result_id and a.k < b.k group by 1, 2 having count(*) > 1")
+def q42_shared_counts(spark: SparkSession, sf: str) -> DataFrame:
+    own = star.analyses(spark, sf).select("result_id", F.col("kedge_id").alias("a"))
+    return own.join(own.select("result_id", F.col("a").alias("b")), "result_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1")
+
+
+@query("select subject, object, min(num_publications) as least, max(num_publications) as most, arg_min(num_publications, edge_id) as first from kg_edges group by 1, 2")
+def q48_collapse_weights(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.col("num_publications")
+    return star.kg_edges(spark, sf).groupBy("subject", "object").agg(F.min(w).alias("least"), F.max(w).alias("most"), F.min_by(w, "edge_id").alias("first"))
+
+
+@query("""select edge_id, 'affinity' as key, cast(affinity as varchar) is not null as present from kg_edges where predicate = 'supplies' union all select edge_id, 'p_value', p_value is not null from kg_edges where predicate = 'supplies'""")
+def q49_attributes_flat(spark: SparkSession, sf: str) -> DataFrame:
+    attributes = F.create_map(F.lit("affinity"), F.col("affinity").isNotNull(), F.lit("p_value"), F.col("p_value").isNotNull())
+    return star.supplies(spark, sf).select("edge_id", F.explode(attributes).alias("key", "present"))
+
+
+@query("select node_id, name from kg_nodes where node_id in ('PART:1', 'SUPP:2', 'NATION:3')")
+def q78_kv_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return star.kg_nodes(spark, sf).where(F.col("node_id").isin("PART:1", "SUPP:2", "NATION:3")).select("node_id", "name")
+
+
+@query("select edge_id, affinity from kg_edges where coalesce(affinity, 0) >= 0.4")
+def q81_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    return star.kg_edges(spark, sf).where(F.coalesce("affinity", F.lit(0.0)) >= 0.4).select("edge_id", "affinity")
+
+
+@query("select result_id, array_to_string(list_sort(list(distinct kedge_id)), ',') as edge_set, case when count(distinct on_) = 1 then min(on_) end as answer from analyses group by 1")
+def q83_edgeset_answer_node(spark: SparkSession, sf: str) -> DataFrame:
+    a = star.analyses(spark, sf)
+    answers = a.groupBy("result_id").agg(F.when(F.count_distinct("on_") == 1, F.min("on_")).alias("answer"))
+    return results.edge_sets(a).join(answers, "result_id")
+
+
+@query("select on_, count(*) filter (result_id % 2 = 0) as creative, count(*) filter (result_id % 2 = 1) as lookup from analyses group by 1")
+def q86_answer_cogroup(spark: SparkSession, sf: str) -> DataFrame:
+    return star.analyses(spark, sf).groupBy("on_").agg(F.count_if(F.col("result_id") % 2 == 0).alias("creative"), F.count_if(F.col("result_id") % 2 == 1).alias("lookup"))
+
+
+@query("""select coalesce(a.edge_id, b.edge_id) as edge_id, a.edge_id is not null as left_has, b.edge_id is not null as right_has from
+ (select edge_id from kg_edges where num_publications = 1) a full join (select edge_id from kg_edges where p_value < 0.05) b on a.edge_id = b.edge_id""")
+def q87_full_outer_kg(spark: SparkSession, sf: str) -> DataFrame:
+    e = star.kg_edges(spark, sf)
+    a, b = e.where("num_publications = 1").select("edge_id", F.lit(True).alias("l")), e.where("p_value < 0.05").select("edge_id", F.lit(True).alias("r"))
+    return a.join(b, "edge_id", "full_outer").select("edge_id", F.coalesce("l", F.lit(False)).alias("left_has"), F.coalesce("r", F.lit(False)).alias("right_has"))
+
+
+@query("select edge_id from kg_edges where edge_id in (select kedge_id from analyses where score > 50000)")
+def q88_semi_reachable(spark: SparkSession, sf: str) -> DataFrame:
+    bound = star.analyses(spark, sf).where("score > 50000").select(F.col("kedge_id").alias("edge_id"))
+    return star.kg_edges(spark, sf).join(bound, "edge_id", "left_semi").select("edge_id")
+
+
+@query("""select a.result_id, a.sn as set_node, b.on_ as other from (select distinct result_id, sn from analyses where pos = 1) a join (select distinct result_id, on_ from analyses) b on a.result_id = b.result_id""")
+def q90_set_cross_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    a = star.analyses(spark, sf)
+    return a.where("pos = 1").select("result_id", F.col("sn").alias("set_node")).distinct().join(a.select("result_id", F.col("on_").alias("other")).distinct(), "result_id")
+
+
+@query("select state, count(*) as callbacks from query_state join lineitem on qid = cast(l_orderkey as varchar) group by 1")
+def q92_callbacks_state_join(spark: SparkSession, sf: str) -> DataFrame:
+    lines = star.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("qid")).groupBy("qid").agg(F.count("*").alias("n"))
+    return star.query_state(spark, sf).join(lines, "qid").groupBy("state").agg(F.sum("n").alias("callbacks"))
+
+
+@query("select edge_id, coalesce(case when source like 'src%' and source <> 'src0' then source end, 'unspecified') as primary_source from kg_edges")
+def q98_primary_source(spark: SparkSession, sf: str) -> DataFrame:
+    sources = F.array(F.struct(F.col("source").alias("id"), F.when(F.col("source") == "src0", "aggregator").otherwise("primary").alias("role")))
+    first = F.get(F.filter(sources, lambda s: s["role"] == "primary"), F.lit(0))["id"]
+    return star.kg_edges(spark, sf).select("edge_id", F.coalesce(first, F.lit("unspecified")).alias("primary_source"))
+
+
+@query("select user_id, case max(case event_type when 'error' then 3 when 'signup' then 2 else 1 end) when 3 then 'critical' when 2 then 'warning' else 'info' end as severity from events where value > 200 group by 1")
+def q99_max_severity(spark: SparkSession, sf: str) -> DataFrame:
+    rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "signup", 2).otherwise(1)
+    own = star.table(spark, sf, "events").where("value > 200").groupBy("user_id").agg(F.max(rank).alias("r"))
+    return own.select("user_id", F.when(F.col("r") == 3, "critical").when(F.col("r") == 2, "warning").otherwise("info").alias("severity"))
+
+
+@query("select result_id, pos, on_ from (select *, row_number() over (partition by result_id, on_ order by pos) as n from analyses) where n = 1")
+def q100_row_number_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.last_n(star.analyses(spark, sf), 1, ["result_id", "on_"], F.col("pos")).select("result_id", "pos", "on_")
+
+
+@query("select event_id, event_type from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events) where n <= 60")
+def q101_last_n_points(spark: SparkSession, sf: str) -> DataFrame:
+    return monitor.last_n(star.table(spark, sf, "events"), 60, ["event_type"], F.desc("ts"), F.desc("event_id")).select("event_id", "event_type")
+
+
+@query("select kedge_id from analyses where pos > 1 except select kedge_id from analyses where pos = 1")
+def q104_bound_minus_support(spark: SparkSession, sf: str) -> DataFrame:
+    a = star.analyses(spark, sf)
+    return a.where("pos > 1").select("kedge_id").distinct().join(a.where("pos = 1"), "kedge_id", "left_anti")
+
+
+@query("select cat1 from kg_nodes where kind = 'part' intersect select cat1 from kg_nodes where cat2 = 'Brand#1'")
+def q105_type_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    n = star.kg_nodes(spark, sf)
+    return n.where("kind = 'part'").select("cat1").intersect(n.where("cat2 = 'Brand#1'").select("cat1"))
+
+
+@query("select event_type as stream from events union select 'merge' union select 'click'")
+def q106_stream_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    known = spark.createDataFrame([("merge",), ("click",)], "stream string")
+    return star.table(spark, sf, "events").select(F.col("event_type").alias("stream")).union(known).distinct()
+
+
+@query("""with s as (select subject as u, object as v, num_publications * 1.0 as w from kg_edges where predicate = 'supplies' union all select object, subject, num_publications * 1.0 from kg_edges where predicate = 'supplies')
+ select u, v, sum(-w) as w from s group by 1, 2 union all select u, u, sum(w) from s group by 1""")
+def q107_laplacian_entries(spark: SparkSession, sf: str) -> DataFrame:
+    e = star.supplies(spark, sf).select(F.col("subject").alias("u"), F.col("object").alias("v"), (F.col("num_publications") * 1.0).alias("w"))
+    both = e.union(e.select("v", "u", "w"))
+    return both.groupBy("u", "v").agg(F.sum(-F.col("w")).alias("w")).union(both.groupBy("u").agg(F.sum("w").alias("w")).select("u", F.col("u").alias("v"), "w"))
+
+
+@query("select case when predicate = 'buys' then 'pValue' else 'gwas_pvalue_x' end as name, count(*) as n, sum(case when p_value < 0.05 then 1 else 0 end) as low from kg_edges where p_value is not null group by 1")
+def q117_pvalue_parse(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("predicate") == "buys", "pValue").otherwise("gwas_pvalue_x")
+    own = star.kg_edges(spark, sf).select(name.alias("name"), F.col("p_value").cast("string").try_cast("double").alias("p")).where(scoring.is_p_value(F.col("name")) & F.col("p").isNotNull())
+    return own.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("p") < 0.05).alias("low"))
+
+
+@query(f"select event_id, {_bucket(300)} as b300, {_bucket(86400)} as b86400 from events")
+def q127_time_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").select("event_id", *(scalars.bucket_start(F.col("ts"), n).alias(f"b{n}") for n in (300, 86400)))
+
+
+@query("select result_id, (pos - 1) // 3 as batch, count(*) as n from analyses group by 1, 2")
+def q128_batching(spark: SparkSession, sf: str) -> DataFrame:
+    return star.analyses(spark, sf).groupBy("result_id", F.floor((F.col("pos") - 1) / 3).alias("batch")).agg(F.count("*").alias("n"))
+
+
+@query("select event_id, strftime(ts, '%m-%d-%Y %H:%M:%S') as at, event_type as message from events")
+def q129_log_format(spark: SparkSession, sf: str) -> DataFrame:
+    return star.table(spark, sf, "events").select("event_id", F.date_format("ts", "MM-dd-yyyy HH:mm:ss").alias("at"), F.col("event_type").alias("message"))
+
+
+@query("select distinct stream, case stream when 'click' then 240 when 'view' then 60 else 30 end as floor from tasks")
+def q132_idle_floor(spark: SparkSession, sf: str) -> DataFrame:
+    floors = spark.createDataFrame([("click", 240), ("view", 60)], "stream string, f int")
+    return star.tasks(spark, sf).select("stream").distinct().join(F.broadcast(floors), "stream", "left").select("stream", F.coalesce("f", F.lit(30)).alias("floor"))
+
+
+@query("select edge_id, subject, object, 'supplies' as predicate, edge_id || '|synthetic' as new_id from kg_edges where predicate = 'supplies' and num_publications > 2")
+def q121_synthetic_edges(spark: SparkSession, sf: str) -> DataFrame:
+    own = star.supplies(spark, sf).where("num_publications > 2")
+    return own.select("edge_id", "subject", "object", "predicate", F.concat("edge_id", F.lit("|synthetic")).alias("new_id"))
