@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.checkpoints import kept
+
 
 def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("subject").alias("node_id")).union(edges.select("object"))
@@ -64,7 +66,7 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
         lost = base.where("degree is null").join(rank, "node_id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
         moved = links.join(rank, links["subject"] == rank["node_id"]).groupBy(F.col("object").alias("node_id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
         rank = base.join(moved, "node_id", "left").join(F.broadcast(lost)).select("node_id", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
-        rank = rank.checkpoint()  # it is read twice in the next step
+        rank = kept(rank)  # it is read twice in the next step
     return rank
 
 
@@ -75,11 +77,11 @@ def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame, most:
     over. One job a level.
     """
     steps = supports.join(aux.withColumnRenamed("edge_id", "to"), "aux_id").select("edge_id", "to").distinct()
-    found = edges.select("edge_id", F.lit(0).alias("depth")).distinct().checkpoint()
+    found = kept(edges.select("edge_id", F.lit(0).alias("depth")).distinct())
     frontier = found
     for depth in range(1, most + 1):
         new = steps.join(frontier.select("edge_id"), "edge_id").select(F.col("to").alias("edge_id")).distinct()
-        frontier = new.join(found, "edge_id", "left_anti").select("edge_id", F.lit(depth).alias("depth")).checkpoint()
+        frontier = kept(new.join(found, "edge_id", "left_anti").select("edge_id", F.lit(depth).alias("depth")))
         if not frontier.take(1):
             break
         found = found.union(frontier)

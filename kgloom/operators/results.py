@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgloom.operators.checkpoints import kept
+
 
 def node_sets(bindings: DataFrame) -> DataFrame:
     """``result_id, qnode, knodes``: the set a query node binds, sorted."""
@@ -39,7 +41,7 @@ def without_promiscuous_multi(bindings: DataFrame, most: int = 10) -> DataFrame:
         if top is None or top.n <= most:
             return left.select("result_id").distinct()
         gone = left.where(F.col("knode") == top.knode).select("result_id").distinct()
-        left = left.join(gone, "result_id", "left_anti").checkpoint()
+        left = kept(left.join(gone, "result_id", "left_anti"))
 
 
 def promiscuous_qnodes(qedges: DataFrame) -> DataFrame:
