@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,17 @@ from pyspark.sql import functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="kgloom-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only a session without that setting (tests) gets one of its own.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or _own_folder()
     return f"{base.rstrip('/')}/kgloom/{label}-{uuid.uuid4().hex}"
 
 
