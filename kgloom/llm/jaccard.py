@@ -8,9 +8,9 @@ where a part holds too few elements to tell sets apart, for two such parts toget
 pair shares a signature. No bucket is cut.
 
 Equal sets are one class first. Within each signature's bucket the smallest id leads, and a class is held against the leader
-with which it shares most signatures. Clusters (what buckets connect) whose members these links don't join all are then
-compared whole, in blocks by size, so that no pairs are written out. All comparisons are exact over whole sets (of
-64-bit shingle hashes).
+with which it shares most signatures, then against its other leaders; then the members of buckets that still hold several components are held against each
+other. A pair is compared only if parities of its sets' parts allow a link, which leaves out no link and few others; every comparison is
+exact over whole sets (of 64-bit shingle hashes).
 
 Nulls: a null text has an empty set, linked with nothing; a null doc_id is linked with nothing and has a null component.
 Repeated rows are copies of one document. ``doc_id`` names one text; rows that share it but not the text get a component
@@ -19,12 +19,14 @@ by their own text. Empty tables give no row. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ from kgloom.llm.shingles import mixed, shingle_set
 
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingles and sets of a block, about.
-BLOCK_WEIGHT, BLOCK_SETS = 200_000, 500
+#: Words of parity bits of a set.
+PARITY_WORDS = 8
 
 
 def band_of(size: int, percent: int) -> tuple[int, int, int]:
@@ -46,9 +48,10 @@ def band_of(size: int, percent: int) -> tuple[int, int, int]:
     return i, low, high
 
 
-def _weak(k: int) -> int:
-    """Parts with so many elements at most sign in twos; fewer for larger sets, which have more parts."""
-    return 2 if k < 100 else 1 if k < 1000 else 0
+@cache
+def _weak(parts: int, mean: float) -> int:
+    """Parts with so many elements at most sign in twos: 2, 1 or 0, as many as keep the twos few beside the single parts."""
+    return next((t for t in (2, 1) if parts * (math.exp(-mean) * sum(mean**j / math.factorial(j) for j in range(t + 1))) ** 2 <= 0.3), 0)
 
 
 def _signed(shingles: np.ndarray, total: np.ndarray, band: int, high: int, percent: int) -> np.ndarray:
@@ -57,7 +60,7 @@ def _signed(shingles: np.ndarray, total: np.ndarray, band: int, high: int, perce
     part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending with the shingles
     cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     content = mixed(total[cuts[1:]] - total[cuts[:-1]] + np.arange(1, parts + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band << 40))
-    few = np.diff(cuts) <= _weak(k)
+    few = np.diff(cuts) <= _weak(parts, high / parts)
     i, j = np.triu_indices(int(few.sum()), 1)
     weak = content[few]
     return np.concatenate([content[~few], mixed(weak[i] * np.uint64(3) + weak[j] * np.uint64(5))])
@@ -76,7 +79,7 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, key binary, signatures array<long>"
+    schema = "doc_id long, n_shingles long, key binary, bits array<long>, signatures array<long>"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32)
                 values = np.concatenate(signed).view(np.int64) if len(signed) else np.zeros(0, np.int64)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(arrow.field(3).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([parities(x) for x in sets], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(arrow.field(4).type)], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -99,9 +102,11 @@ def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``a, b`` that link, by whole sets."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the stored pairs ``a, b`` that link, by whole sets."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(_packed_sets(chosen(docs, ids), n), "shingles")
+    both = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     arrow = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(c, keep, strict=True) if k], pa.int64()) for c in (a, b)], schema=arrow)
 
-    return both.mapInArrow(run, "a long, b long")
+    return stored(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the set has an odd number of elements in each of ``64 * PARITY_WORDS`` parts, as bits. An element that only one of
+    two sets has changes one bit, so sets differ in as many elements as bits at least."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _with_bits(df: DataFrame, sets: DataFrame, node: str, tag: str) -> DataFrame:
+    """Add ``size`` and parity words of the column ``node``, named with ``tag``."""
+    own = sets.select(F.col("doc_id").alias(node), F.col("n_shingles").alias(f"size_{tag}"), *(F.col("bits")[i].alias(f"w{i}_{tag}") for i in range(PARITY_WORDS))).dropDuplicates([node])
+    return df.join(own, node)
+
+
+def _may_link(percent: int) -> Column:
+    """No more differing parities than linked sets of the two sizes can have differing elements."""
+    bits = sum((F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(PARITY_WORDS)), F.lit(0))
+    return bits * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -126,81 +150,34 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     signed = first.select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("b"))
     led = signed.withColumn("a", F.first("b").over(W.partitionBy("sig").orderBy("b"))).where("a <> b")
     led = stored(led, "led")  # members of buckets with their leaders
-    ids = stored(led.select(F.col("a").alias("id")).union(led.select("b")).distinct(), "involved")
-    involved = stored(_packed_sets(chosen(docs, ids), n), "shingles")
-    pairs = stored(led.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = stored(_verified(best, involved, percent), "links")
+    sizes = sets.select("doc_id", "n_shingles", "bits").join(classes, sets["doc_id"] == classes["rep"], "left_semi")
+    pairs = _with_bits(_with_bits(led.groupBy("a", "b").agg(F.count("*").alias("n")), sizes, "a", "a"), sizes, "b", "b")
+    near = stored(pairs.where(_may_link(percent)).select("a", "b", "n"), "near")
+    best = stored(near.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    links = _verified(best, docs, n, percent)
     parts = stored(components(links), "components")
-    # clusters of candidates that still hold several components: all their members against each other, in blocks
-    labelled = stored(components(pairs.select("a", "b")).join(parts.withColumnRenamed("component", "part"), "node", "left").select("node", F.col("component").alias("cluster"), F.coalesce("part", "node").alias("part")), "clusters")
-    torn = labelled.groupBy("cluster").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("cluster")
-    members = labelled.join(torn, "cluster", "left_semi").join(sets.select(F.col("doc_id").alias("node"), "n_shingles").distinct(), "node")
-    more = stored(_linked_in_blocks(members, involved, percent), "links")
+    # the other leaders that may link, where the two are not joined yet
+    own_part = lambda c: F.coalesce(f"part_{c}", c)
+    apart = near.select("a", "b").join(parts.toDF("a", "part_a"), "a", "left").join(parts.toDF("b", "part_b"), "b", "left").where(own_part("a") != own_part("b"))
+    tried = stored(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "tried")
+    links = stored(links.union(_verified(tried, docs, n, percent)), "links")
+    parts = stored(components(links), "components")
+    # buckets that still hold several components: their members against each other
+    members = led.select("sig", F.col("b").alias("node")).union(led.select("sig", "a").distinct())
+    labelled = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
+    torn = labelled.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
+    torn = stored(_with_bits(labelled.join(torn, "sig", "left_semi"), sizes, "node", "a"), "torn")
+    other = torn.toDF(*(c[:-1] + "b" if c.endswith("_a") else c if c == "sig" else f"{c}_b" for c in torn.columns))
+    met = torn.join(other, (torn["sig"] == other["sig"]) & (F.col("node") < F.col("node_b")) & (F.col("part") != F.col("part_b")) & _may_link(percent))
+    left = stored(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(best.union(tried), ["a", "b"], "left_anti"), "left")
+    more = _verified(left, docs, n, percent)
     if more.take(1):
         parts = stored(components(links.union(more)), "components")
-    joined = sets.drop("signatures").join(classes, "key", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    joined = sets.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(parts, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the first of those it is connected to by links within the list."""
-    size = np.array([len(s) for s in sets])
-    of = np.repeat(np.arange(len(sets)), size)
-    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1  # no other element is in an intersection
-    column = np.cumsum(shared) - 1
-    keep = shared[at]
-    of, at = of[keep], column[at[keep]]
-    order = np.argsort(at, kind="stable")
-    of, at = of[order], at[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        i, j = np.searchsorted(at, [lo, lo + 4096])
-        has = np.zeros((len(sets), 4096), np.float32)
-        has[of[i:j], at[i:j] - lo] = 1
-        common += has @ has.T
-    both = np.rint(common).astype(np.int64)
-    links = 100 * both >= percent * (size[:, None] + size - both)
-    label = np.arange(len(sets))
-    while True:
-        new = np.where(links, label, len(sets)).min(axis=1)
-        new = np.minimum(label, new)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _linked_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what links within each cluster of ``node, cluster, n_shingles``.
-
-    Members are cut by size into blocks of about ``BLOCK_WEIGHT``; a block meets itself and those whose sizes can link, and each
-    meeting is a task of its own, however large the cluster. A meeting gives a row a member at most.
-    """
-    ahead = W.partitionBy("cluster").orderBy("n_shingles", "node").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("n_shingles") + BLOCK_WEIGHT // BLOCK_SETS).over(ahead), F.lit(0))
-    dealt = stored(members.select("node", "cluster", "n_shingles", F.floor(before / BLOCK_WEIGHT).alias("block")), "blocks")
-    sizes = dealt.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    small, large = sizes.alias("s"), sizes.alias("l")
-    met = small.join(large, (F.col("s.cluster") == F.col("l.cluster")) & (F.col("s.block") <= F.col("l.block")) & (100 * F.col("s.most") >= percent * F.col("l.least")))
-    meetings = met.select(F.col("s.cluster").alias("cluster"), F.col("s.block").alias("i"), F.col("l.block").alias("j"), F.explode(F.array_distinct(F.array("s.block", "l.block"))).alias("block"))
-    rows = dealt.join(meetings, ["cluster", "block"]).select("cluster", "i", "j", "node").join(sets.toDF("node", "shingles"), "node")
-    arrow = arrow_schema("a long, b long")
-
-    def run(group: pa.Table) -> pa.Table:
-        nodes = np.array(group.column("node").to_pylist(), np.int64)
-        order = np.argsort(nodes)
-        own = group.column("shingles").to_pylist()
-        label = linked([np.frombuffer(own[i], np.uint64) for i in order], percent)
-        nodes = nodes[order]
-        moved = label != np.arange(len(label))
-        return pa.Table.from_arrays([pa.array(nodes[label[moved]]), pa.array(nodes[moved])], schema=arrow)
-
-    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
-
-
 def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
     arrow = arrow_schema("id long, shingles binary")
 
