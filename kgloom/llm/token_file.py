@@ -4,7 +4,7 @@ A corpus folder holds two Parquet tables, so that Spark's commit protocol makes
 vanish and any store that Spark reads will do:
 
 * ``frequencies``: one shared table ``id, freq, start`` whose frequencies sum to ``2**SCALE_BITS``;
-* ``blocks``: one row a block: ``part, block`` (ascending doc_id), the documents' ids and lengths, and ``payload``.
+* ``blocks``: one row a block: ``part`` (a range of doc_id), ``block`` (its number), the documents' ids and lengths, and ``payload``.
 
 A block holds whole documents, closing at ``block_tokens`` ids, and is decodable alone. Payload (little-endian):
 ``b"RNB1"``, n_ids, lanes, step of checkpoints, n_checkpoints, n_words, crc32 of the ids (uint32 each), word position of
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
     t = Table.of_counts(np.array([r.id for r in counts], np.int64), np.array([r.n for r in counts], np.int64))
     spark.createDataFrame([(int(i), int(f), int(s)) for i, f, s in zip(t.ids, t.freq, t.start, strict=True)], "id long, freq long, start long").coalesce(1).write.parquet(f"{out_dir}/frequencies")
     shared = spark.sparkContext.broadcast((t.ids, t.freq))
-    schema = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
+    schema = "part int, block long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
     arrow = arrow_schema(schema)
 
     def rows(group: list[tuple], t: Table) -> pa.RecordBatch:
@@ -208,7 +209,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(*shared.value)
-        group, docs, size, at, k = [], [], 0, None, 0
+        group, docs, size, at, k = [], [], 0, None, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, ids, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if docs and (size >= block_tokens or part != at):
@@ -217,8 +218,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
                     if len(group) == SIDE:
                         yield rows(group, t)
                         group = []
-                if part != at:
-                    at, k = part, 0
+                at = part
                 docs.append((doc_id, _unpacked(ids)))
                 size += len(docs[-1][1])
         if docs:
@@ -226,8 +226,8 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
         if group:
             yield rows(group, t)
 
-    # One task a part, whatever Spark's split size: blocks of a part are numbered in one pass.
-    tokens.select("doc_id", "ids", "part").repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id").mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{out_dir}/blocks")
+    # Files are sorted, so each task has a run of documents; blocks of a part are in the order of their ids.
+    tokens.select("doc_id", "ids", "part").mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{out_dir}/blocks")
 
 
 def _range_of(x: Column, bounds: list[int]) -> Column:
@@ -261,7 +261,7 @@ def read_corpus(spark: SparkSession, corpus_dir: str, with_ids: bool = True) ->
     table = spark.read.parquet(f"{corpus_dir}/frequencies").orderBy("id").collect()  # at most one row an id of the vocabulary
     shared = spark.sparkContext.broadcast((np.array([r.id for r in table], np.int64), np.array([r.freq for r in table], np.int64)))
     blocks = spark.read.parquet(f"{corpus_dir}/blocks")
-    schema = "part int, block int, place long, doc_id long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema = "part int, block long, place long, doc_id long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +278,8 @@ def read_corpus(spark: SparkSession, corpus_dir: str, with_ids: bool = True) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     docs = blocks.select("part", "block", "doc_ids", "lengths", "payload").mapInArrow(run, schema)
-    sizes = blocks.select("part", "block", "n_ids")
-    ahead = W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = blocks.select("part", "block", "n_ids", F.element_at("doc_ids", 1).alias("lo"), F.element_at("doc_ids", -1).alias("hi"))
+    ahead = W.partitionBy("part").orderBy(F.col("lo").asc_nulls_first(), F.col("hi").asc_nulls_first(), "block").rowsBetween(W.unboundedPreceding, -1)
     within = sizes.select("part", "block", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("before"))
     totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a part
     sums, rows = 0, []

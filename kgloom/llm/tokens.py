@@ -15,7 +15,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Words kept by a worker before it forgets them: bounds its memory, not its results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 _SAFE_TOP = 0x250  # below it, NFC changes nothing
 
 
@@ -139,8 +139,10 @@ class Encoder:
             if len(self.words.index) > CACHE_WORDS:
                 self.words, self.runs = self.words.without_rare(), _Kept()
                 at = self.words.find(words)
-            self.learn_words(list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0))))
-            at = self.words.find(words)
+            where = np.flatnonzero(at < 0)
+            new = [words[i] for i in where]
+            self.learn_words(list(dict.fromkeys(new)))
+            at[where] = self.words.find(new)
         self.words.met(at)
         sizes = np.concatenate([[0], np.cumsum(self.words.size[at])])
         ids, place = self.words.ids(at), 0
