@@ -85,6 +85,9 @@ def _char_table() -> dict[int, str]:
 
 
 _CHARS = _char_table()
+#: All characters of the table and some others, in few ranges: a quick look before the exact one.
+_MAY_BE_ODD = re.compile("[\u00ad\u0131\u0250-\U0001ffff]")
+assert all(_MAY_BE_ODD.match(chr(c)) for c in _CHARS if c > 127)
 _ODD_CHARS = re.compile("[" + "".join(map(chr, _CHARS)).replace("-", "\\-") + "]")
 
 # Spelled digits in the four languages of the corpus.
@@ -132,7 +135,7 @@ class Traced:
 
 
 def plain_characters(t: Traced) -> Traced:
-    if t.text.isascii() or not _ODD_CHARS.search(t.text):
+    if t.text.isascii() or not _MAY_BE_ODD.search(t.text):
         return t
     return t.edited([(m.start(), m.end(), _CHARS[ord(m[0])]) for m in _ODD_CHARS.finditer(t.text)])
 
@@ -143,7 +146,7 @@ def undisguised(t: Traced) -> Traced:
     if any(x in low for x in ("at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "@}", "dot", ".]", ".)", "punto", "punkt", "point")):
         t = t.edited([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
         t = t.edited([(m.start(), m.end(), ".") for m in _DOT.finditer(t.text)])
-    if " dot " in low or " at " in low and "." in low or " @ " in low:
+    if " dot " in low or " @ " in low:
         edits = []
         for pattern in (_SPACED, _SPACED_IP):
             for m in pattern.finditer(t.text):
