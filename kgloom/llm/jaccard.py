@@ -51,7 +51,7 @@ def band_of(size: int, percent: int) -> tuple[int, int, int]:
 @cache
 def _weak(parts: int, mean: float) -> int:
     """Parts with so many elements at most sign in twos: 2, 1 or 0, as many as keep the twos few beside the single parts."""
-    return next((t for t in (2, 1) if parts * (math.exp(-mean) * sum(mean**j / math.factorial(j) for j in range(t + 1))) ** 2 <= 0.3), 0)
+    return next((t for t in (2, 1) if parts * (math.exp(-mean) * sum(mean**j / math.factorial(j) for j in range(t + 1))) ** 2 <= 0.6), 0)
 
 
 def _signed(shingles: np.ndarray, total: np.ndarray, band: int, high: int, percent: int) -> np.ndarray:
@@ -166,7 +166,8 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     members = led.select("sig", F.col("b").alias("node")).union(led.select("sig", "a").distinct())
     labelled = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
     torn = labelled.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
-    torn = stored(_with_bits(labelled.join(torn, "sig", "left_semi"), sizes, "node", "a"), "torn")
+    torn = stored(labelled.join(torn, "sig", "left_semi"), "torn")
+    torn = _with_bits(torn, sizes, "node", "a").repartition("sig")  # dealt once for both sides of the join
     other = torn.toDF(*(c[:-1] + "b" if c.endswith("_a") else c if c == "sig" else f"{c}_b" for c in torn.columns))
     met = torn.join(other, (torn["sig"] == other["sig"]) & (F.col("node") < F.col("node_b")) & (F.col("part") != F.col("part_b")) & _may_link(percent))
     left = stored(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(best.union(tried), ["a", "b"], "left_anti"), "left")
