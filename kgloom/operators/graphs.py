@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
     return rank
 
 
-def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame, most: int = 30) -> DataFrame:
+def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame) -> DataFrame:
     """``edge_id, depth`` of every edge reached from ``edges`` (``edge_id``) by support graphs.
 
     ``supports``: edge_id, aux_id; ``aux``: aux_id, edge_id. Each edge counts once, so cycles end; a dangling reference is passed
@@ -79,12 +80,14 @@ def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame, most:
     steps = supports.join(aux.withColumnRenamed("edge_id", "to"), "aux_id").select("edge_id", "to").distinct()
     found = kept(edges.select("edge_id", F.lit(0).alias("depth")).distinct())
     frontier = found
-    for depth in range(1, most + 1):
+    for depth in count(1):
         new = steps.join(frontier.select("edge_id"), "edge_id").select(F.col("to").alias("edge_id")).distinct()
         frontier = kept(new.join(found, "edge_id", "left_anti").select("edge_id", F.lit(depth).alias("depth")))
         if not frontier.take(1):
             break
         found = found.union(frontier)
+        if depth % 10 == 0:  # a plan of few parts, however deep the chain
+            found = kept(found)
     return found
 
 

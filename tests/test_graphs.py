@@ -40,6 +40,15 @@ def test_support_closure_ends_in_a_cycle_and_passes_over_dangling_references(spa
     assert {(r.edge_id, r.depth) for r in found.collect()} == {("e1", 0), ("e2", 1), ("e3", 2)}
 
 
+def test_support_closure_follows_a_chain_to_its_end(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    n = 35
+    supports = spark.createDataFrame([(f"e{k}", f"x{k}") for k in range(n)], "edge_id string, aux_id string")
+    aux = spark.createDataFrame([(f"x{k}", f"e{k + 1}") for k in range(n)], "aux_id string, edge_id string")
+    found = graphs.support_closure(spark.createDataFrame([("e0",)], "edge_id string"), supports, aux)
+    assert {(r.edge_id, r.depth) for r in found.collect()} == {(f"e{k}", k) for k in range(n + 1)}
+
+
 def test_collapsing_a_multigraph(spark):
     e = spark.createDataFrame([("1", "a", "b", 0.5), ("2", "a", "b", 0.25), ("3", "a", "b", 1.0)], "edge_id string, subject string, object string, w double")
     for how, want in {"sum": 1.75, "max": 1.0, "min": 0.25, "first": 0.5, "mean": 0.6875}.items():
