@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgloom.functions.scalars import bucket_start
+from kgloom.operators.checkpoints import kept
 
 PERCENTILES = (50, 90, 95, 99)
 
@@ -49,19 +52,39 @@ def transitions(states: DataFrame, *keys: str) -> DataFrame:
     return states.withColumn("before", before).where("before is not null and before <> alive")
 
 
+def _runs(rows: DataFrame, goes_on: Callable[[Callable[[str], Column]], Column], keys: tuple[str, ...]) -> DataFrame:
+    """``keys, hit, began, ended, n, last_event`` of each run of ``keys, ts, event_id, hit`` rows that go on from the row before.
+
+    Rows are dealt by ranges of key and time, and each range makes its own runs, so no task holds a hot key. The first and last run
+    of a key in a range meet those of the ranges beside it in a table of two rows a key and range. ``goes_on`` gets a lookup of the
+    columns before: ``ts`` and ``hit``.
+    """
+    dealt = kept(rows.select(*keys, "ts", "event_id", "hit").repartitionByRange(*keys, "ts", "event_id").withColumn("part", F.spark_partition_id()))
+    order = W.partitionBy("part", *keys).orderBy("ts", "event_id")
+    new = F.when(goes_on(lambda c: F.lag(c).over(order)), 0).otherwise(1)
+    own = dealt.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    found = own.groupBy("part", *keys, "run").agg(F.first("hit").alias("hit"), F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n"), F.max(F.struct("ts", "event_id")).alias("last"))
+    found = kept(found.withColumn("runs", F.max("run").over(W.partitionBy("part", *keys))))
+    border = (F.col("run") == 1) | (F.col("run") == F.col("runs"))
+    between = W.partitionBy(*keys).orderBy("part", "run")  # two rows a key and range
+    before = {"ts": F.lag("ended").over(between), "hit": F.lag("hit").over(between)}
+    ends = found.where(border).withColumn("ts", F.col("began"))
+    ends = ends.withColumn("new", F.when((F.col("run") == 1) & goes_on(lambda c: before[c]), 0).otherwise(1)).withColumn("whole", F.sum("new").over(between.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    met = ends.groupBy(*keys, "whole").agg(F.first("hit").alias("hit"), F.min("began").alias("began"), F.max("ended").alias("ended"), F.sum("n").alias("n"), F.max("last").alias("last")).drop("whole")
+    columns = [*keys, "hit", "began", "ended", "n", "last"]
+    return found.where(~border).select(*columns).union(met.select(*columns)).withColumn("last_event", F.col("last.event_id")).drop("last")
+
+
 def streaks(samples: DataFrame, breached: Column, *keys: str) -> DataFrame:
     """``keys, began, ended, n`` of each run of rows that breach a rule in a row."""
-    order = W.partitionBy(*keys).orderBy("ts", "event_id")
-    own = samples.withColumn("hit", breached).withColumn("island", F.sum(F.when(F.col("hit"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return own.where("hit").groupBy(*keys, "island").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n")).drop("island")
+    own = samples.withColumn("hit", F.coalesce(breached, F.lit(False)))
+    return _runs(own, lambda before: before("hit") == F.col("hit"), keys).where("hit").select(*keys, "began", "ended", "n")
 
 
 def sessions(events: DataFrame, gap_seconds: int, *keys: str) -> DataFrame:
     """Bursts: rows no further apart than a gap; the count and the last ``event_id`` of each."""
-    order = W.partitionBy(*keys).orderBy("ts", "event_id")
-    new = F.when(F.col("ts") <= F.lag("ts").over(order) + F.expr(f"interval {gap_seconds} seconds"), 0).otherwise(1)
-    own = events.withColumn("new", new).withColumn("burst", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return own.groupBy(*keys, "burst").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")).drop("burst")
+    gap = F.expr(f"interval {gap_seconds} seconds")
+    return _runs(events.withColumn("hit", F.lit(True)), lambda before: F.col("ts") <= before("ts") + gap, keys).select(*keys, "began", "ended", "n", "last_event")
 
 
 def utilization(backlog: Column, capacity: Column) -> Column:

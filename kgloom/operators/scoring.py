@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgloom.operators.checkpoints import kept
+
 # Fixed values: (lower, upper, mid, rate) of the blended profile's sigmoids, and its weights, by (source, property).
 SIGMOIDS = {("omnicorp", "literature_co-occurrence"): (-1, 1, 0, 0.00033), ("text-mining", "publications"): (-1, 1, 0, 4e-4), ("text-mining", "confidence_score"): (-1, 1, 0, 3), ("p_value source", "p_value"): (0, 1, 0.05, -150), ("unknown", "publications"): (-1, 1, 0, 0.574213221), ("unknown", "literature_co-occurrence"): (-1, 1, 0, 0.001373265360835), ("unknown", "affinity"): (-1, 1, 0, 0.4)}
 QUERY_EDGE = -1 / math.log(1e-3)
 BASE_WEIGHT = 0.01
 ARTICLES = 27_840_000
+#: A value that more than this part of the rows has is looked up by broadcast.
+HOT_VALUES = 1000
 TRUST = {"probability": 0.8, "normalized_google_distance": 0.8, "jaccard_index": 0.5, "probability_treats": 0.8, "paired_concept_frequency": 0.5, "observed_expected_ratio": 0.8, "chi_square": 0.8, "chi_square_pvalue": 0.8, "MAGMA-pvalue": 1, "Genetics-quantile": 1, "pValue": 1, "fisher_exact_test_p-value": 0.8, "Richards-effector-genes": 0.5, "feature_coefficient": 1, "CMAP similarity score": 1}
 
 
@@ -37,17 +41,35 @@ def noisy_or(scores: Column, base: Column) -> Column:
     return 1 - F.aggregate(scores, 1 - base, lambda acc, s: acc * (1 - s))
 
 
-def quantile_rank(order: Column) -> Column:
-    """The share of rows at or below, as ``cume_dist``."""
-    return F.cume_dist().over(W.orderBy(order))
-
-
-def ties_broken(rank_score: Column, *order: Column) -> Column:
-    """Scores of the first 1000 rows in thousandths, strictly falling by one at least, not below 0: an integer running minimum."""
+def quantile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the share of rows at or below, as ``cume_dist``.
+
+    Equal values are counted first and the counts dealt by range; a range's values add the counts of the ranges before. Values that many
+    rows have are few and join as a broadcast.
+    """
+    df = kept(df)  # it is read three times
+    ranged = kept(df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_k")).repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum("_k").alias("_own"))  # a row a range
+    ahead = sums.select("_part", (F.sum("_own").over(W.orderBy("_part")) - F.col("_own")).alias("_ahead"))
+    total = ranged.agg(F.sum("_k")).first()[0] or 1
+    upto = F.col("_ahead") + F.sum("_k").over(W.partitionBy("_part").orderBy("_v"))
+    ranks = ranged.join(F.broadcast(ahead), "_part").select("_v", (upto / total).alias(name), "_k")
+    hot = ranks.where(F.col("_k") * HOT_VALUES > total).drop("_k")  # fewer than HOT_VALUES
+    rest = ranks.where(F.col("_k") * HOT_VALUES <= total).drop("_k")
+    same = lambda other: df[value].eqNullSafe(other["_v"])
+    few = df.join(F.broadcast(hot), same(hot))
+    return few.union(df.join(F.broadcast(hot), same(hot), "left_anti").join(rest, same(rest))).drop("_v")
+
+
+def ties_broken(df: DataFrame, key: str, rank_score: str, *order: Column) -> DataFrame:
+    """``key, score``: scores of the first 1000 rows in thousandths, strictly falling by one at least, not below 0: an integer running
+    minimum; 0 for all others."""
     w = W.orderBy(*order)
     i = F.row_number().over(w)
-    own = F.round(rank_score * 1000).cast("long") + i
-    return F.when(i <= 1000, F.greatest(F.lit(0), F.min(own).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - i) / 1000.0).otherwise(0.0)
+    own = F.round(F.col(rank_score) * 1000).cast("long") + i
+    first = kept(df.orderBy(*order).limit(1000))  # all that the window sees
+    top = first.select(key, (F.greatest(F.lit(0), F.min(own).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) - i) / 1000.0).alias("score"))
+    return top.union(df.join(F.broadcast(first.select(key)), key, "left_anti").select(key, F.lit(0.0).alias("score")))
 
 
 def logistic(x: Column, steep: float, mid: float) -> Column:

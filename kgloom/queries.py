@@ -293,15 +293,17 @@ def _best(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_BEST + " select result_id, round(cume_dist() over (order by a), 6) as rank from r")
 def q26_quantile_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return _best(spark, sf).select("result_id", F.round(scoring.quantile_rank(F.col("a")), 6).alias("rank"))
+    return scoring.quantile_rank(_best(spark, sf), "a", "rank").select("result_id", F.round("rank", 6).alias("rank"))
 
 
 _COMBINED = _BEST + ", m as (select result_id, (cume_dist() over (order by a) + cume_dist() over (order by b) + cume_dist() over (order by c)) / 3 as s from r)"
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    s = sum(scoring.quantile_rank(F.col(k)) for k in "abc") / 3
-    return _best(spark, sf).select("result_id", s.alias("s")).select("result_id", F.round(F.when(F.col("s") < 0.001, F.col("s") + 0.001).otherwise(F.col("s")), 6).alias("score"))
+    own = _best(spark, sf)
+    for k in "abc":
+        own = scoring.quantile_rank(own, k, f"rank_{k}")
+    return own.select("result_id", ((F.col("rank_a") + F.col("rank_b") + F.col("rank_c")) / 3).alias("s")).select("result_id", F.round(F.when(F.col("s") < 0.001, F.col("s") + 0.001).otherwise(F.col("s")), 6).alias("score"))
 
 
 @query(_COMBINED + " select result_id, round(case when s < 0.001 then s + 0.001 else s end, 6) as score from m")
@@ -313,7 +315,7 @@ def q27_combined_rank(spark: SparkSession, sf: str) -> DataFrame:
    (select result_id, round(case when s < 0.001 then s + 0.001 else s end, 6) as score from m))
  select result_id, case when i <= 1000 then greatest(0, min(cast(round(score * 1000) as bigint) + i) over (order by i rows unbounded preceding) - i) / 1000.0 else 0.0 end as score from o""")
 def q28_break_ties(spark: SparkSession, sf: str) -> DataFrame:
-    return _combined(spark, sf).select("result_id", scoring.ties_broken(F.col("score"), F.col("score").desc(), F.col("result_id")).alias("score"))
+    return scoring.ties_broken(_combined(spark, sf), "result_id", "score", F.col("score").desc(), F.col("result_id"))
 
 
 @query("select round(sqrt(sum(w * w)), 6) as norm from (select sum(num_publications * 1.0) as w from kg_edges group by subject, object)")
