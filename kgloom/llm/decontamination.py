@@ -1,9 +1,9 @@
 """Operator 5: benchmark passages in documents, by SimHash windows of each item's size.
 
-A window has as many words as the item. It can reach the similarity only if nearly all its shingles are the benchmark's, so
+A window has as many words as the item; a text with fewer shingles than the item is its one window for it. A window can reach the similarity only if nearly all its shingles are the benchmark's, so
 only such windows get a fingerprint (this loses none). The fingerprint's four blocks of 16 bits find every item
 fingerprint within ``RADIUS`` bits: two that differ in no more have a block that differs in a quarter of it at most, and all such
-block values are looked up. Candidates are held against the item by weighted Jaccard similarity, a shingle weighing as
+block values are looked up; the one window of a short text meets every item that it shares a shingle with. Candidates are held against the item by weighted Jaccard similarity, a shingle weighing as
 often as it occurs. Words are runs of letters, digits and underscores, in lower case; shingles have five words, or all
 of a shorter item.
 
@@ -120,13 +120,19 @@ class Benchmark:
         #: for each shingle length and number of shingles: the index and the items in it
         self.sizes: dict[int, dict[int, tuple[HammingIndex, list[int]]]] = {}
         self.known: dict[int, np.ndarray] = {}
+        #: for each shingle length: all shingles in order, and their items
+        self.having: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         groups: dict[tuple[int, int], list[int]] = {}
         for k, own in enumerate(by_words):
             groups.setdefault((min(words, len(own)), len(shingles[k])), []).append(k)
         for (n, m), members in groups.items():
             self.sizes.setdefault(n, {})[m] = (HammingIndex(prints[members], radius), members)
         for n, of in self.sizes.items():
-            self.known[n] = np.unique(np.concatenate([shingles[k] for _, members in of.values() for k in members]))
+            own = [k for _, members in of.values() for k in members]
+            held = np.concatenate([shingles[k] for k in own])
+            order = np.argsort(held, kind="stable")
+            self.known[n] = np.unique(held)
+            self.having[n] = held[order], np.repeat(own, [len(shingles[k]) for k in own])[order]
 
     def find(self, text: str) -> list[tuple]:
         """``item id, start, end, similarity, distance`` of the best window of each item; the earliest of equals."""
@@ -160,11 +166,12 @@ class Benchmark:
             hits = np.concatenate([[0], np.cumsum(quick)])
             shingles = None
             for m, (index, members) in of.items():
-                if len(quick) < m:
+                size = min(m, len(quick))  # a text with fewer shingles is one window
+                if size < m and (offset or size < self.similarity * m - 1e-9):
                     continue
-                # similarity s needs 2s/(1+s) of the window's shingles in the item
-                needed = 2 * self.similarity / (1 + self.similarity) * m - 1e-9
-                starts = np.flatnonzero(hits[m:] - hits[:-m] >= needed)
+                # similarity s needs s/(1+s) of both sides' shingles in common
+                needed = self.similarity / (1 + self.similarity) * (m + size) - 1e-9
+                starts = np.flatnonzero(hits[size:] - hits[:-size] >= needed)
                 if not len(starts):
                     continue
                 if shingles is None:
@@ -173,15 +180,23 @@ class Benchmark:
                     shingles = window_hashes(hashes, n)
                 for lo in range(0, len(starts), 4096):
                     part = starts[lo : lo + 4096]
-                    a, b = part[0], part[-1] + m
-                    for s, fp in zip(part.tolist(), fingerprints(shingles[a:b], part - a, m).tolist(), strict=True):
-                        for place, distance in index.within(fp):
+                    a, b = part[0], part[-1] + size
+                    for s, fp in zip(part.tolist(), fingerprints(shingles[a:b], part - a, size).tolist(), strict=True):
+                        for place, distance in index.within(fp) if size == m else self._sharing(n, members, index.prints, shingles, fp):
                             k = members[place]
-                            bag, mine = self.bags[k], _bag(shingles[s : s + m])
+                            bag, mine = self.bags[k], _bag(shingles[s : s + size])
                             common = sum(min(c, bag.get(h, 0)) for h, c in mine.items())
-                            sim = common / (2 * m - common)
+                            sim = common / (m + size - common)
                             if sim >= self.similarity - 1e-12 and (k not in best or (-sim, s + offset) < (-best[k][0], best[k][1])):
-                                best[k] = (sim, s + offset, m + n - 1, distance)
+                                best[k] = (sim, s + offset, size + n - 1, distance)
+
+    def _sharing(self, n: int, members: list[int], prints: np.ndarray, shingles: np.ndarray, fingerprint: int) -> list[tuple[int, int]]:
+        """(position, distance) of the members with a shingle of a short text, at any distance."""
+        held, items = self.having[n]
+        own = np.unique(shingles)
+        ranges = zip(np.searchsorted(held, own, "left").tolist(), np.searchsorted(held, own, "right").tolist(), strict=True)
+        places = np.flatnonzero(np.isin(members, np.unique(np.concatenate([items[a:b] for a, b in ranges]))))
+        return [(int(p), int(d)) for p, d in zip(places, np.bitwise_count(prints[places] ^ np.uint64(fingerprint)), strict=True)]
 
 
 def blocks(benchmark: DataFrame, chars: int = ITEM_CHARS) -> Iterator[list[tuple[int | None, str]]]:

@@ -197,6 +197,34 @@ def test_benchmark_items_are_found(spark, sf, docs, empty):
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_a_short_text_is_held_against_the_whole_item():
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 4000, size))) for k, size in enumerate([16, 23, 37, 59, 59, 3])]
+    bench = decontamination.Benchmark(items)
+
+    def bag(w, n):
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    found = tried = 0
+    for k, text in items:
+        w = text.split()
+        copies = [w[:-c] for c in range(1, min(14, len(w) - 1))] + [w[c:] for c in range(1, min(14, len(w) - 1))] + [w[:c] + w[c + 1 :] for c in range(len(w))]
+        for copy in copies:
+            if not copy:
+                continue
+            want = {}
+            for j, other in items:
+                o = other.split()
+                n = min(5, len(o))
+                a, b = bag(copy, n), bag(o, n)
+                if len(copy) < len(o) and len(copy) >= n and sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                    want[j] = sum((a & b).values()) / sum((a | b).values())
+            got = {h[0]: h[3] for h in bench.find(" ".join(copy))}
+            assert got == pytest.approx(want), (k, copy)
+            found, tried = found + len(want), tried + 1
+    assert 50 < found < tried
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
