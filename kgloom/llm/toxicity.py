@@ -43,7 +43,9 @@ POWER = 2
 CLEAN_WEIGHT = 3
 LONGEST = 40
 THRESHOLD = 0.7
-_R = 64
+#: No letter has this code point or a higher one.
+_PAST_LETTERS = 0x40000
+_SPACE = -1
 _AT_ONCE = 400_000
 
 # Marks and digits used in place of letters.
@@ -51,15 +53,15 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 
 
 def _code_table() -> np.ndarray:
-    """A code under 64 for letters below U+0250, 0 for what never matches, 255 for white space."""
-    table, letters = np.zeros(0x250, np.int32), {}
-    for c in range(0x250):
+    """The folded letter's code point for letters of any script, 0 for what never matches, -1 for white space."""
+    table = np.zeros(_PAST_LETTERS, np.int32)
+    for c in range(_PAST_LETTERS):
         own = chr(c).lower()
         own = _LEET.get(own, own)
         if own.isspace():
-            table[c] = 255
+            table[c] = _SPACE
         elif own.isalpha() and len(own) == 1:
-            table[c] = letters.setdefault(own, len(letters) + 1) if len(letters) < _R - 1 or own in letters else 0
+            table[c] = ord(own)
     return table
 
 
@@ -71,7 +73,7 @@ _SENTENCE = r"(?<=[.!?\n])\s+"
 
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], 0)
+    return np.where(points < _PAST_LETTERS, _CODES[np.minimum(points, _PAST_LETTERS - 1)], 0)
 
 
 def closed_up(text: str) -> str:
@@ -79,20 +81,26 @@ def closed_up(text: str) -> str:
 
 
 class Landmarks:
-    """Strings and their weighted subsequences, looked up by code triples."""
+    """Strings and their weighted subsequences, looked up by triples of the letters that the strings have."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
+        letters = sorted({int(x) for s in strings for x in codes(s) if x > 0})
+        self.size = r = len(letters) + 1
+        self.letter = np.zeros(_PAST_LETTERS, np.int32)
+        self.letter[letters] = np.arange(1, r)
         features = []
         for s in strings:
-            c, own = codes(s), Counter()
+            c, own = self.letter[np.maximum(codes(s), 0)], Counter()
             for i, j in _PAIRS:
                 for k in range(len(c) - j):
                     if c[k] and c[k + i] and c[k + j]:
-                        own[int(c[k]) * _R * _R + int(c[k + i]) * _R + int(c[k + j])] += DECAY ** (j + 1)
+                        own[(int(c[k]) * r + int(c[k + i])) * r + int(c[k + j])] += DECAY ** (j + 1)
             features.append(own)
         m = len(strings)
         self.own = np.array([sum(v * v for v in f.values()) for f in features])
+        if not all(self.own):
+            raise ValueError("a landmark has three letters at least")
         kernel = np.array([[sum(v * b.get(u, 0.0) for u, v in a.items()) for b in features] for a in features]).reshape(m, m)
         scale = np.sqrt(np.maximum(self.own, 1e-12))
         values, vectors = np.linalg.eigh(kernel / scale[:, None] / scale + 1e-3 * np.eye(m)) if m else (np.zeros(0), np.zeros((0, 0)))
@@ -101,21 +109,28 @@ class Landmarks:
         self.of = np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[2] for r in rows])
         u = np.array([r[0] for r in rows], np.int64)
-        self.at = np.searchsorted(u, np.arange(_R**3 + 1)).astype(np.int32)
-        self.has = np.diff(self.at) > 0
+        self.triples, first = np.unique(u, return_index=True)
+        self.at = np.append(first, len(u))
+        self.starts = np.zeros(r * r, bool)
+        self.starts[self.triples // r] = True
 
     def of_words(self, c: np.ndarray, word: np.ndarray, n_words: int) -> np.ndarray:
         """Kernel values, words by landmarks, of the characters ``c`` that belong to ``word``."""
         m = len(self.strings)
+        c = self.letter[c].astype(np.int64)
         keys, values = [], []
         for i, j in _PAIRS:
             n = len(c) - j
             if n <= 0:
                 continue
-            u = (c[:n] * _R + c[i : i + n]) * _R + c[j : j + n]
-            hit = np.flatnonzero(self.has[np.where(u < _R**3, u, 0)] & (u < _R**3) & (word[:n] == word[j : j + n]))
-            first = self.at[u[hit]]
-            count = self.at[u[hit] + 1] - first
+            two = c[:n] * self.size + c[i : i + n]
+            hit = np.flatnonzero(self.starts[two] & (word[:n] == word[j : j + n]))
+            u = two[hit] * self.size + c[j : j + n][hit]
+            place = np.minimum(np.searchsorted(self.triples, u), len(self.triples) - 1)
+            known = self.triples[place] == u
+            hit, place = hit[known], place[known]
+            first = self.at[place]
+            count = self.at[place + 1] - first
             ends = np.cumsum(count)
             entry = np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
             keys.append(np.repeat(word[hit], count) * m + self.of[entry])
@@ -142,7 +157,7 @@ class Landmarks:
         own = [codes(closed_up(x) + "\n") for x in texts]
         of = np.repeat(np.arange(len(own)), [len(x) for x in own])
         c = np.concatenate(own)
-        space = c == 255
+        space = c == _SPACE
         begins = np.concatenate([[True], space[:-1]])
         start = np.maximum.accumulate(np.where(begins, np.arange(len(c)), 0))
         begins |= (np.arange(len(c)) - start) % LONGEST == 0
@@ -204,7 +219,7 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
             texts_of.setdefault(w, set()).add(k)
     held = []
     for s, n in inside.items():
-        if n >= least and n * ratio > 8 * against[s]:
+        if n >= least and n * ratio > 8 * against[s] and (codes(s) > 0).sum() >= 3:
             own = set().union(*(texts_of[w] for w in where[s]))
             if len(own) >= least and len(own) * ratio > 8 * against[s]:
                 held.append((s, len(own)))

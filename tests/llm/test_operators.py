@@ -296,6 +296,32 @@ def test_the_order_of_rules_changes_no_verdict(docs):
     assert {r.name for r in quality.ordered(docs, own)} == {r.name for r in own}
 
 
+@pytest.mark.parametrize("insult", ["дуралейка", "βλακέντιος", "žvėrūkšlis", "大笨蛋混账东西"])
+def test_toxicity_in_any_script(insult):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(300)] + ["".join(chr(0x430 + x) for x in rng.integers(0, 32, 6)) for _ in range(300)]
+
+    def text(k, *more):
+        own = [words[x] for x in rng.integers(0, 600, 30)]
+        return " ".join([*own[:15], *more, *own[15:]]) + f" {k}."
+
+    toxic = [text(k, "blockheaded" if k % 2 else insult) for k in range(240)]
+    clean = [text(k) for k in range(600)]
+    model = toxicity.fit(toxic[:160], clean[:400])
+    assert all(model.landmarks.own > 0)
+    scores = model.scores(toxic[160:]), model.scores(clean[400:])
+    assert np.isfinite(np.concatenate(scores)).all()
+    assert min(scores[0]) >= toxicity.THRESHOLD > max(scores[1])
+    assert model.scores([text(0, insult.upper())])[0] >= toxicity.THRESHOLD
+
+
+def test_signs_without_letters_are_no_landmark():
+    toxic = [f"some text ²³¹²³ and badword{chr(97 + k % 26)}s {k}" for k in range(200)]
+    clean = [f"some other text and good words {k}" for k in range(400)]
+    chosen = toxicity.choose_landmarks(toxic, clean)
+    assert chosen and not any("²" in s for s in chosen)
+
+
 def test_toxicity_on_held_out_texts(spark, empty):
     rng = np.random.default_rng(4)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
