@@ -22,9 +22,10 @@ def _own_folder() -> str:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that setting (tests) gets one of its own.
+    The cluster names it in ``spark.checkpoint.dir``. A session without that setting gets one below its warehouse, or, where
+    driver and executors are one process (tests), a temporary one.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or _own_folder()
+    base = spark.conf.get(CHECKPOINT_KEY, None) or (_own_folder() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
     return f"{base.rstrip('/')}/kgloom/{label}-{uuid.uuid4().hex}"
 
 
@@ -32,7 +33,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: a cut of the lineage that survives lost executors."""
     path = f"{work_dir(df.sparkSession, label)}/{label}.parquet"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at).getParent()
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

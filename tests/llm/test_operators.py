@@ -399,5 +399,16 @@ def test_similar_sets_share_a_signature():
             if len(b) <= 1 or 100 * common < 85 * (len(a) + len(nxt) - common):
                 break
             b = nxt
-        assert np.intersect1d(jaccard.signatures(a, 85), jaccard.signatures(b, 85)).size
-        assert np.bitwise_count((jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)).sum() <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        sig, of = jaccard.signatures([a, b], 85)
+        assert np.intersect1d(sig[of == 0], sig[of == 1]).size
+        sketches = jaccard.Sketches(np.array([len(a), len(b)]), [jaccard.parities(x).tobytes() for x in (a, b)])
+        assert sketches.may_link(np.array([0, 1]), np.array([1, 0]), 85).all()
+
+
+def test_parities_part_unlike_sets():
+    rng = np.random.default_rng(8)
+    for size in (40, 300, 2500):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.append(a[rng.permutation(len(a))[size // 2 :]], rng.integers(0, 1 << 63, size // 2, dtype=np.uint64)))
+        sketches = jaccard.Sketches(np.array([len(a), len(b)]), [jaccard.parities(x).tobytes() for x in (a, b)])
+        assert not sketches.may_link(np.array([0]), np.array([1]), 80)[0]
