@@ -1,26 +1,28 @@
 """Operator 6: main text of HTML pages by nearest-URL page differencing.
 
-A page's markup is read into blocks of text with the kind of place they stand in: inside an article or main element,
-in a part that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), or elsewhere.
-Pages are put in the order of host, path and id; each is paired with the neighbour of its host whose path shares
-the longer beginning, its own lines and the neighbour's are aligned by their longest common subsequence, and the shared lines
-go: a template's lines recur on the next page, an article's don't. Lines inside an article or main element stay
-even if the neighbour has them, since articles quote and repeat each other; where a page has such an element its other
-lines go. So differencing decides for pages without one.
-
-Pairing needs no host in one task: pages are sorted by range, each range pairs its own neighbours, and the pages at its
+A page's markup is read into blocks of text (lines) with the kind of place they stand in: inside an article or main element,
+in a part that is never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), or
+open, where the markup doesn't tell. Open lines are decided by differencing: the distinct URLs of each host are put in order of
+path and URL, each is paired with the neighbour whose path shares the longer beginning (the earlier one on a tie), the
+page's open lines are aligned with that URL's by their longest common subsequence, and the shared ones go: a template's lines recur
+on the next page, an article's don't. Lines inside an article or main element stay even if the neighbour has them, since articles quote
+and repeat each other.
+
+Copies of a page are one URL, so a page never meets itself, and equal pages get equal text. Of different pages under one URL the one
+with the smallest id, then the smallest line hashes, stands for the URL. Pages without open lines need no neighbour and aren't shuffled.
+Pairing needs no host in one task: URLs are sorted by range, each range pairs its own neighbours, and the URLs at its
 two ends meet those of the next ranges in a table of two rows a range.
 
-Nulls: a null html gives an empty text, a null url an empty host and path. Repeated rows give a row each (a page's copy
-under the same URL is no neighbour). Empty tables give no row. Extra columns are ignored. Pages are read whole.
+Nulls: a null html gives an empty text; a null url has an empty host and path and is one URL beside the others without a host. Repeated
+rows and repeated or null page_ids give a row each. Empty tables give no row. Extra columns are ignored. Pages are read whole.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,12 +44,10 @@ _MAIN = frozenset("article main".split())
 _APART_HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo".split())
 _MAIN_HINTS = frozenset("article-body articlebody entry-content post-content post-body story-body main-content main".split())
 _WORDS = re.compile(r"[a-z0-9]+")
-#: Matching pairs of lines beyond which lines are compared without their order.
-MOST_MATCHES = 2_000_000
 
 
 def _place(tag: str, attributes: str, above: str) -> str:
-    """Where an element's content stands: "apart", "main" or "else"."""
+    """Where an element's content stands: "apart", "main" or "open"."""
     if above == "apart" or tag in _APART and not (tag == "header" and above == "main"):
         return "apart"
     for m in _HINT.finditer(attributes):
@@ -67,7 +67,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     own: list[str] = []
-    at, place = 0, "else"
+    at, place = 0, "open"
 
     def end_block() -> None:
         if own:
@@ -98,7 +98,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if new != place:
                 end_block()
             stack.append((tag, new))
-        now = stack[-1][1] if stack else "else"
+        now = stack[-1][1] if stack else "open"
         if now != place:
             end_block()
         place = now
@@ -109,116 +109,147 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
 
 def lcs_marks(a: list[int], b: list[int]) -> list[bool]:
-    """Which elements of ``a`` are in a longest common subsequence with ``b``."""
-    where = defaultdict(list)
-    for j, x in enumerate(b):
-        where[x].append(j)
+    """Which elements of ``a`` are in a longest common subsequence with ``b``.
+
+    A row of lengths is a number whose bit j is 0 where the length grows at ``b[j]``, and a row follows from the one before by
+    one addition. Every so many rows are kept, and those between are made again on the way back, so memory grows with
+    ``len(b) * sqrt(len(a))`` bits.
+    """
     marks = [False] * len(a)
-    if sum(len(where[x]) for x in a if x in where) > MOST_MATCHES:
-        left = Counter(b)
-        for i, x in enumerate(a):
-            marks[i] = left[x] > 0
-            left[x] -= 1
-        return marks
-    ends: list[int] = []
-    last: list[tuple] = []  # a chain of matches that ends in each
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, last[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                last.append(link)
-            else:
-                ends[k], last[k] = j, link
-    link = last[-1] if last else None
-    while link:
-        marks[link[0]] = True
-        link = link[1]
+    where: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        where[x] |= 1 << j
+    at = [i for i, x in enumerate(a) if x in where]  # no other line can match
+    every = max(1, math.isqrt(len(at)))
+    full = (1 << len(b)) - 1
+
+    def rows(first: int, row: int) -> list[int]:
+        found = []
+        for i in at[first : first + every]:
+            found.append(row)
+            met = row & where[a[i]]
+            row = ((row + met) | (row - met)) & full
+        return [*found, row]
+
+    kept, row = [], full
+    for first in range(0, len(at), every):
+        kept.append(row)
+        row = rows(first, row)[-1]
+    j = len(b)
+    for k in reversed(range(len(kept))):
+        own = rows(k * every, kept[k])
+        for i in reversed(range(len(own) - 1)):
+            # the last place whose length grows by now; if it grew before this row too, the row adds nothing here
+            j = (~own[i + 1] & ((1 << j) - 1)).bit_length()
+            if not j:
+                return marks
+            if own[i] >> (j - 1) & 1:
+                marks[at[k * every + i]] = True
+                j -= 1
     return marks
 
 
-_READ = "page_id long, url string, host string, path string, main array<string>, rest array<string>"
+_READ = "page_id long, url string, host string, path string, lines array<string>, main array<int>"
 
 
-def read_blocks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, host, path, main, rest``: lines of article or main elements, and lines elsewhere."""
+def read_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``page_id, url, host, path, lines, main``: a page's lines outside the parts that are never main text, and which stand in an article or
+    main element (1) or are open (0)."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     arrow = arrow_schema(_READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(x) for x in batch.column(4).to_pylist()]
-            lines = [[[t for p, t in own if p == place] for own in found] for place in ("main", "else")]
-            yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(i).to_pylist(), pa.string() if i else pa.int64()) for i in range(4)), *(pa.array(x, pa.list_(pa.string())) for x in lines)], schema=arrow)
+            found = [[(t, p) for p, t in blocks(x) if p != "apart"] for x in batch.column(4).to_pylist()]
+            own = [[t for t, _ in x] for x in found], [[int(p == "main") for _, p in x] for x in found]
+            yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(i).to_pylist(), arrow.field(i).type) for i in range(4)), pa.array(own[0], pa.list_(pa.string())), pa.array(own[1], pa.list_(pa.int32()))], schema=arrow)
 
     return base.mapInArrow(run, _READ)
 
 
-def _shared_start(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def shared_start(a: str, b: str) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+_NEAR = "key string, host string, path string, hashes array<long>, part int, place int, before string, before_hashes array<long>, after string, after_hashes array<long>"
 
 
 def neighbours(read: DataFrame) -> DataFrame:
-    """``page_id, host, path, part, place, before, after``: lines (as hashes) of both neighbours within the host, with the shared path
-    lengths; ``read`` is a stored table. The first and last page of a range also get those of the ranges beside it."""
-    hashed = read.select("page_id", "host", "path", F.transform("rest", lambda x: F.xxhash64(x)).alias("lines"))
-    dealt = hashed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    schema = "page_id long, host string, path string, part int, place int, lines array<long>, before string, before_lines array<long>, after string, after_lines array<long>"
-    arrow = arrow_schema(schema)
+    """``key, near``: for each distinct URL the open lines, as hashes, of the nearest other URL of its host; null without one."""
+    hashes = F.transform(F.filter("lines", lambda x, i: F.get(F.col("main"), i) == 0), lambda x: F.xxhash64(x))
+    page = F.struct(F.coalesce("page_id", F.lit(0)), hashes.alias("hashes"))
+    urls = read.groupBy(F.coalesce("url", F.lit("")).alias("key"), "host", "path").agg(F.min(page).alias("page")).select("key", "host", "path", "page.hashes")
+    dealt = urls.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    arrow = arrow_schema(_NEAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, kept, done, place = TaskContext.get().partitionId(), None, None, 0
+        part, kept, last, place = TaskContext.get().partitionId(), None, None, 0
 
         def row(prev, now, after, place):
             near = [x if x and x[1] == now[1] else None for x in (prev, after)]
-            return (now[0], now[1], now[2], part, place, now[3], *(v for x in near for v in ((x[2], x[3]) if x else (None, None))))
+            return (*now, part, place, *(v for x in near for v in ((x[2], x[3]) if x else (None, None))))
 
         for batch in batches:
             out = []
             for now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kept is not None:
-                    out.append(row(done, kept, now, place))
+                    out.append(row(last, kept, now, place))
                     place += 1
-                done, kept = kept, now
+                last, kept = kept, now
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
         if kept is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row(done, kept, None, -1 - place), arrow, strict=True)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row(last, kept, None, -1 - place), arrow, strict=True)], schema=arrow)
 
-    found = stored(dealt.mapInArrow(run, schema), "neighbours")
-    # place 0 is a range's first page, a negative place its last; -1 is both
-    ends = found.where("place <= 0").select("part", "place", "page_id", "host", "path", "lines")
-    order = W.orderBy("part", F.col("place") < 0)  # two rows a range
-    side = ends.select("part", "place", *(F.when(f("host").over(order) == F.col("host"), f(c).over(order)).alias(f"{name}_{c}") for name, f in (("lag", F.lag), ("lead", F.lead)) for c in ("path", "lines")))
+    found = stored(dealt.mapInArrow(run, _NEAR), "neighbours")
+    # place 0 is a range's first URL, a negative place its last; -1 is both. Two rows a range, whatever the input
+    ends = found.where("place <= 0").select("part", "place", "host", "path", "hashes")
+    order = W.orderBy("part", F.col("place") < 0)
+    side = ends.select("part", "place", *(F.when(f("host").over(order) == F.col("host"), f(c).over(order)).alias(f"{name}_{c}") for name, f in (("lag", F.lag), ("lead", F.lead)) for c in ("path", "hashes")))
     met = found.join(side, ["part", "place"], "left")
     first, last = F.col("place").isin(0, -1), F.col("place") < 0
-    return met.select("page_id", "path", "lines", F.when(first, F.col("lag_path")).otherwise(F.col("before")).alias("before"), F.when(first, F.col("lag_lines")).otherwise(F.col("before_lines")).alias("before_lines"), F.when(last, F.col("lead_path")).otherwise(F.col("after")).alias("after"), F.when(last, F.col("lead_lines")).otherwise(F.col("after_lines")).alias("after_lines"))
-
+    ways = [F.when(at, F.col(f"{far}_{c}")).otherwise(F.col(own)) for at, far, names in ((first, "lag", ("before", "before_hashes")), (last, "lead", ("after", "after_hashes"))) for c, own in zip(("path", "hashes"), names, strict=True)]
+    arrow_near = arrow_schema("key string, near array<long>")
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row."""
-    read = stored(read_blocks(pages), "blocks")
-    arrow = arrow_schema("id long, shared array<int>")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for own, before, before_hashes, after, after_hashes in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                ahead = before is not None and (after is None or shared_start(own, before) >= shared_start(own, after))
+                near.append(before_hashes if ahead else after_hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.list_(pa.int64()))], schema=arrow_near)
+
+    return met.select("key", "path", *ways).mapInArrow(choose, "key string, near array<long>")
+
+
+def decided(pages: DataFrame) -> DataFrame:
+    """``page_id, url, lines, n_open, n_shared``: the main text's lines of every row, how many of its lines the markup left open, and how many of
+    those went as shared."""
+    read = read_lines(pages)
+    is_open = F.exists("main", lambda x: x == 0)
+    zero = F.lit(0)
+    whole = read.where(~is_open).select("page_id", "url", "lines", zero.alias("n_open"), zero.alias("n_shared"))
+    left = read.where(is_open)
+    near = stored(neighbours(left), "near")
+    hashed = left.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).join(near, F.coalesce("url", F.lit("")) == F.col("key"))
+    schema = "page_id long, url string, lines array<string>, n_open int, n_shared int"
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, shared = [], []
-            for page_id, own, lines, before, before_lines, after, after_lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # a page of the same path is a copy of this one, not a sibling
-                sides = [(_shared_start(own, p), x) for p, x in ((before, before_lines), (after, after_lines)) if p is not None and p != own]
-                ids.append(page_id)
-                shared.append([int(m) for m in lcs_marks(lines, max(sides, key=lambda s: s[0])[1])] if sides else [0] * len(lines))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], schema=arrow)
-
-    # only pages without an article or main element need the comparison
-    bare = F.size("main") == 0
-    marks = neighbours(read).mapInArrow(run, "id long, shared array<int>").groupBy("id").agg(F.first("shared").alias("shared"))
-    own = F.when(~bare, F.col("main")).when(F.col("shared").isNull(), F.col("rest")).otherwise(F.filter("rest", lambda x, i: F.coalesce(F.get(F.col("shared"), i), F.lit(0)) == 0))
-    joined = read.join(marks, read["page_id"] == marks["id"], "left").withColumn("text", F.array_join(own, "\n"))
-    return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            kept, n_open, n_shared = [], [], []
+            for lines, main, hashes, near in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                at = [k for k, m in enumerate(main) if not m]
+                gone = {k for k, m in zip(at, lcs_marks([hashes[k] for k in at], near or []), strict=True) if m}
+                kept.append([x for k, x in enumerate(lines) if k not in gone])
+                n_open.append(len(at))
+                n_shared.append(len(gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, f.type) for v, f in zip((kept, n_open, n_shared), list(arrow)[2:], strict=True))], schema=arrow)
+
+    return whole.unionByName(hashed.select("page_id", "url", "lines", "main", "hashes", "near").mapInArrow(run, schema))
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """``page_id, url, text, n_chars, n_open, n_shared`` of every row."""
+    text = F.array_join("lines", "\n")
+    return decided(pages).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_open", "n_shared")

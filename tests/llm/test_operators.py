@@ -256,6 +256,48 @@ def test_lcs_marks_are_longest():
         assert sum(marks) == best and _within([x for x, m in zip(a, marks, strict=True) if m], b)
 
 
+def _lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("n", "m", "kinds"), [(2100, 1900, 1), (700, 900, 3), (900, 700, 400)])
+def test_lcs_of_many_equal_lines(n, m, kinds):
+    rng = np.random.default_rng(n)
+    a, b = rng.integers(0, kinds, n).tolist(), rng.integers(0, kinds, m).tolist()
+    marks = html_text.lcs_marks(a, b)
+    assert sum(marks) == (m if kinds == 1 else _lcs_length(a, b)) and _within([x for x, k in zip(a, marks, strict=True) if k], b)
+
+
+def test_differencing_equals_an_all_pairs_search(spark):
+    """Open lines that the nearest other URL of the host has, in order, go; copies and pages under one URL don't count as neighbours."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(240):
+        url = f"http://h{rng.integers(4)}.org/{'abc'[rng.integers(3)]}/{rng.integers(40)}{['', '?q=1', '?q=2'][rng.integers(3)]}"
+        lines = ["Site name", *(f"own {rng.integers(60)}" for _ in range(rng.integers(1, 6))), "Imprint"]
+        rows.append((k, url, "".join(f"<div>{x}</div>" for x in lines), lines))
+    rows += [(900 + i, *rows[i][1:]) for i in range(30)]
+    rows += [(1000, None, "<p>a</p>", ["a"]), (1001, "no scheme", "<p>a</p><p>b</p>", ["a", "b"]), (1001, "no scheme", "<p>a</p><p>b</p>", ["a", "b"])]
+    stands = {}
+    for i, url, _, lines in sorted(rows, key=lambda r: r[0]):
+        stands.setdefault(url or "", lines)
+    split = lambda u: u.partition("://")[2].partition("?")[0].partition("/")[::2]
+    want = Counter()
+    for i, url, _, lines in rows:
+        own, order = split(url or ""), sorted((split(u), u) for u in stands)
+        at = order.index((own, url or ""))
+        sides = [(html_text.shared_start(own[1], order[k][0][1]), -k, order[k][1]) for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0][0] == own[0]]
+        marks = html_text.lcs_marks(lines, stands[max(sides)[2]]) if sides else [False] * len(lines)
+        want[(i, "\n".join(x for x, m in zip(lines, marks, strict=True) if not m), len(lines), sum(marks))] += 1
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(7)
+    assert Counter((r.page_id, r.text, r.n_open, r.n_shared) for r in html_text.extracted(df).collect()) == want
+
+
 def _within(a, b):
     it = iter(b)
     return all(x in it for x in a)
