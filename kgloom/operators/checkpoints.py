@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 
 def kept(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the folder that the cluster names in ``spark.checkpoint.dir``; where it names none (tests), in
-    a folder of its own."""
+    a folder below the warehouse, or a temporary one if driver and executors are one process."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kgloom-"))
+        own = "file://" + tempfile.mkdtemp(prefix="kgloom-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -44,6 +44,20 @@ def collapsed(edges: DataFrame, weight: F.Column, how: str = "sum") -> DataFrame
     return g.agg(F.sum("w").alias("w"))
 
 
+def shaped(edges: DataFrame, weight: str, default: float = 0.0, directed: bool = True, multi: bool = False) -> DataFrame:
+    """``u, v, parallel, w``: the edges as a directed or undirected graph, one row an edge or, collapsed, one a pair with weights added. A missing weight
+    is the default; an edge without an end is none."""
+    u, v = (F.col("subject"), F.col("object")) if directed else (F.least("subject", "object"), F.greatest("subject", "object"))
+    own = edges.where("subject is not null and object is not null").select(u.alias("u"), v.alias("v"), F.coalesce(weight, F.lit(default)).alias("w"))
+    return own.select("u", "v", F.lit(1).cast("long").alias("parallel"), "w") if multi else own.groupBy("u", "v").agg(F.count("*").alias("parallel"), F.sum("w").alias("w"))
+
+
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges with one end or both among ``node_id``; a semi-join an end, so that no edge comes twice."""
+    s, o = nodes.select(F.col("node_id").alias("subject")), nodes.select(F.col("node_id").alias("object"))
+    return edges.join(s, "subject", "left_semi").unionByName(edges.join(s, "subject", "left_anti").join(o, "object", "left_semi"))
+
+
 def frobenius(edges: DataFrame, weight: F.Column) -> DataFrame:
     """The norm of the adjacency matrix, parallel edges added."""
     return collapsed(edges, weight).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -55,13 +69,14 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
     Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does. A step is a join and an aggregation over a
     checkpointed table of nodes.
     """
-    pairs = edges.select("subject", "object").distinct()
+    pairs = kept(edges.select("subject", "object").distinct())
     out = pairs.groupBy("subject").agg(F.count("*").alias("degree"))
-    links = pairs.join(out, "subject").cache()
+    links = kept(pairs.join(out, "subject"))  # each step reads it
     nodes = pairs.select(F.col("subject").alias("node_id")).union(pairs.select("object")).distinct()
     jump = targets.select("node_id").distinct().join(nodes, "node_id", "left_semi")
     n = jump.count()
-    base = nodes.join(jump.withColumn("p", F.lit(1.0 / max(1, n))), "node_id", "left").fillna(0.0, ["p"]).join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left").cache()
+    base = nodes.join(jump.withColumn("p", F.lit(1.0 / max(1, n))), "node_id", "left").fillna(0.0, ["p"]).join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left")
+    base = kept(base)
     rank = base.select("node_id", F.col("p").alias("r"))
     for _ in range(iterations):
         lost = base.where("degree is null").join(rank, "node_id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
@@ -78,6 +93,7 @@ def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame) -> Da
     over. One job a level.
     """
     steps = supports.join(aux.withColumnRenamed("edge_id", "to"), "aux_id").select("edge_id", "to").distinct()
+    steps = kept(steps)  # each level reads it
     found = kept(edges.select("edge_id", F.lit(0).alias("depth")).distinct())
     frontier = found
     for depth in count(1):
@@ -194,12 +210,25 @@ def resistance_score(g: pd.DataFrame) -> float:
     return effective_resistance(np.diag(a.sum(axis=1)) - a, [(probes[0], probes[-1])]) if len(probes) > 1 else float("-inf")
 
 
-def score_graphs(edges: DataFrame, score: Callable[[pd.DataFrame], float], key: str = "result_id") -> DataFrame:
+def score_graphs(edges: DataFrame, score: Callable[[pd.DataFrame], float], key: str = "result_id", nudge: float = 0.0) -> DataFrame:
     """``key, score`` of each result's small weighted graph, rows ``key, u, v, w``. A result's graph has as many edges as its query
-    at most a few dozen, so groups are small."""
+    at most a few dozen, so groups are small. ``nudge`` moves scores off the ties of rounding to six places."""
     kind = dict(edges.dtypes)[key]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [g[key].iloc[0]], "score": [round(score(g), 6)]})
-
-    return edges.groupBy(key).applyInPandas(run, f"{key} {kind}, score double")
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(k, round(score(g) + nudge, 6)) for k, g in rows.groupby(key, sort=False)]
+        return pd.DataFrame(found, columns=[key, "score"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows of a graph that the next batch may go on with
+        for rows in batches:
+            rows = rows if held is None else pd.concat([held, rows])
+            last = rows[key] == rows[key].iloc[-1]
+            held = rows[last]
+            if not last.all():
+                yield scored(rows[~last])
+        if held is not None:
+            yield scored(held)
+
+    own = edges.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
+    return own.mapInPandas(run, f"{key} {kind}, score double")

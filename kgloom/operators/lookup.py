@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.checkpoints import kept
+
 
 def match(query_graph: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Bind each query edge to an edge that has its predicates and whose ends have the query nodes' ids and categories.
@@ -54,10 +56,11 @@ def match(query_graph: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """``node, hop`` of every node within ``depth`` undirected hops of ``start`` (``node``), at its first hop."""
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(edges.select("object", "subject"))
+    both = kept(both.distinct())  # each hop reads it
     found = start.select("node", F.lit(0).alias("hop")).distinct()
     frontier = found
     for hop in range(1, depth + 1):
         reached = both.join(frontier, both["a"] == frontier["node"], "left_semi").select(F.col("b").alias("node")).distinct()
-        frontier = reached.join(found, "node", "left_anti").select("node", F.lit(hop).alias("hop"))
+        frontier = kept(reached.join(found, "node", "left_anti").select("node", F.lit(hop).alias("hop")))
         found = reduce(DataFrame.union, [found, frontier])
     return found

@@ -108,3 +108,25 @@ def orphaned(pending: DataFrame, alive: DataFrame, floors: DataFrame, now: Colum
 def last_n(df: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame:
     """Each group's last ``n`` rows."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def snapshot(backlog: DataFrame, workers: DataFrame, used: DataFrame, capacity: float) -> DataFrame:
+    """``stream, backlog, peak, workers, disk_used_pct, severity``: rollups by stream beside each other; a stream without workers is critical,
+    an unknown capacity (0) gives 0 per cent."""
+    share = F.round(100 * F.col("used") / capacity + 1e-9, 2) if capacity else F.lit(0.0)
+    own = backlog.join(workers, "stream", "left").join(F.broadcast(used))  # one row
+    alive = F.coalesce("workers", F.lit(0))
+    return own.select("stream", "backlog", "peak", alive.alias("workers"), share.alias("disk_used_pct"), F.when(alive == 0, "critical").otherwise("info").alias("severity"))
+
+
+def dashboard(events: DataFrame) -> DataFrame:
+    """``stream, bucket, total, position, class``: hourly points of the streams with a value above 0, each with its stream's total, its place in the span
+    in per cent (a span is a minute at least) and its class of load against the stream's highest point."""
+    points = events.groupBy("stream", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"), F.max("value").alias("y"))
+    whole = points.groupBy("stream").agg(F.sum("n").alias("total"), F.max("y").alias("top")).where("top > 0")
+    second = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    span = events.agg(F.min(second(F.col("ts"))).alias("since"), F.max(second(F.col("ts"))).alias("until"))
+    own = points.join(whole, "stream").join(F.broadcast(span))  # one row
+    at = (second(F.col("bucket")) - F.col("since")) / F.greatest(F.lit(60.0), F.col("until") - F.col("since")) * 100
+    load = F.col("y") / F.col("top")
+    return own.select("stream", "bucket", "total", at.alias("position"), F.when(load < 0.3, "low").when(load < 0.8, "busy").otherwise("full").alias("class"))

@@ -35,3 +35,17 @@ def with_source(sources: Column, source: str) -> Column:
     """The sources with one more unless it is there; null is none."""
     own = F.coalesce(sources, F.array().cast("array<string>"))
     return F.when(F.array_contains(own, source), own).otherwise(F.array_append(own, F.lit(source)))
+
+
+def overlaid(members: DataFrame, most: int | None = MOST_PAIRS) -> DataFrame:
+    """``result_id, a, b, shared, n_a, n_b, edge_id, aux_id``: a support edge for each pair of nodes that a result binds, with the results that both
+    nodes share and those of each, in the result's support graph. Beyond ``most`` pairs (None: no guard) nothing is overlaid."""
+    own = members.select("result_id", "node_id").distinct()
+    counts = own.groupBy("node_id").agg(F.count("*").alias("n"))
+    found = pairs(members)
+    if most is not None and (found := guarded(found, most)) is None:
+        return overlaid(members.limit(0), None)
+    a, b = own.withColumnRenamed("node_id", "a"), own.withColumnRenamed("node_id", "b")
+    bound = a.join(b, "result_id").where("a < b").join(found, ["a", "b"])
+    out = bound.join(counts.toDF("a", "n_a"), "a").join(counts.toDF("b", "n_b"), "b")
+    return out.select("result_id", "a", "b", "shared", "n_a", "n_b", F.concat_ws("|", F.lit("omnicorp"), "a", "b").alias("edge_id"), F.concat(F.lit("OMNICORP_support_graph_"), F.col("result_id").cast("string")).alias("aux_id"))

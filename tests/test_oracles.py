@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from kgloom import queries as q
+from kgloom import pipeline_queries, queries as q  # noqa: F401 (its queries register themselves)
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

@@ -7,11 +7,11 @@ from kgloom.functions import scalars
 from kgloom.plans import planner
 from kgloom.sources import messages
 
-CREATIVE = {"nodes": {"SN": {"categories": ["biolink:ChemicalEntity"]}, "ON": {"ids": ["MONDO:0001"]}}, "edges": {"e": {"subject": "SN", "object": "ON", "predicates": ["biolink:treats"], "knowledge_type": "inferred"}}}
+CREATIVE = {"nodes": {"drug": {"categories": ["biolink:Drug"]}, "illness": {"ids": ["DISEASE:77"]}}, "edges": {"e": {"subject": "drug", "object": "illness", "predicates": ["biolink:treats"], "knowledge_type": "inferred"}}}
 
 
 def test_examining_queries():
-    assert planner.examine(CREATIVE) == {"infer": True, "pathfinder": False, "question": "ON", "answer": "SN"}
+    assert planner.examine(CREATIVE) == {"infer": True, "pathfinder": False, "question": "illness", "answer": "drug"}
     assert planner.examine({"nodes": {}, "paths": {"p": {}}})["pathfinder"]
     with pytest.raises(ValueError):
         planner.examine({"nodes": {"a": {"ids": ["x"]}, "b": {"ids": ["y"]}}, "edges": {"e": {"subject": "a", "object": "b", "knowledge_type": "inferred"}}})
@@ -19,7 +19,7 @@ def test_examining_queries():
 
 def test_equivalent_queries_have_one_text():
     other = json.loads(json.dumps(CREATIVE))
-    other["nodes"]["SN"]["is_set"] = False
+    other["nodes"]["drug"]["is_set"] = False
     other["edges"]["e"] |= {"predicates": ["biolink:treats_or_applied_or_studied_to_treat"], "attribute_constraints": []}
     assert planner.canonical(CREATIVE) == planner.canonical(other)
 
@@ -28,7 +28,7 @@ def test_rules_expand_a_query():
     rule = {"nodes": {"$source": {"ids": ["$source_id"]}, "$target": {"ids": ["$target_id"]}, "g": {}}, "edges": {}}
     first, second = planner.expand(CREATIVE, {planner.rule_key(CREATIVE["edges"]["e"]): [rule]})
     assert "knowledge_type" not in first["edges"]["e"]
-    assert second["nodes"] == {"SN": {}, "ON": {"ids": ["MONDO:0001"]}, "g": {}}
+    assert second["nodes"] == {"drug": {}, "illness": {"ids": ["DISEASE:77"]}, "g": {}}
 
 
 def test_workflows():
@@ -52,5 +52,5 @@ def test_messages_round_trip(spark, tmp_path):
 def test_scalars(spark):
     df = spark.createDataFrame([("500ms", "1.5Ki", "10-2"), ("2h", "7MB", "10"), (None, "bad", "10-x"), ("7", "", "a-b-4")], "d string, s string, i string")
     rows = df.select(scalars.duration_seconds(F.col("d")), scalars.size_bytes(F.col("s")), scalars.next_stream_id(F.col("i"))).collect()
-    assert [tuple(r) for r in rows] == [(0.5, 1536, "10-3"), (7200.0, 7000000, "10-1"), (0.0, 0, "10-x"), (7.0, 0, "a-b-5")]
+    assert [tuple(r) for r in rows] == [(0.5, 1536, "10-3"), (7200.0, 7000000, "10-1"), (0.0, 0, "10-x"), (7.0, 0, "a-b-4")]
     assert scalars.choose_bucket(60) == 30 and scalars.choose_bucket(86400) == 600 and scalars.choose_bucket(1e9) == 86400
