@@ -1,10 +1,12 @@
 """Operator 4: secrets by pattern, and by a battery of randomness tests.
 
-Base spans are pattern matches. The battery looks at every other token of 20 characters or more: it infers the token's
-encoding (the smallest alphabet that holds it), and tests its symbols for uniform frequencies (chi-squared), for runs about the
-median and for serial correlation. A token counts as random if none of the three rejects uniform noise, and if
-so even frequencies are too unlikely in written words of that length: the latter's probability grows as
-tokens get shorter, and Benjamini-Hochberg holds the share of false finds among a text's tokens at ``RATE``.
+Base spans are pattern matches. The battery looks at every other token of ``SHORTEST`` characters or more: it infers the token's
+encoding (the smallest alphabet that holds it) and takes three statistics of its symbols: chi-squared for uniform frequencies, runs
+of character classes (digits, letters and odd capitals where the encoding has digits or both cases; vowels and consonants where it has
+letters of one case alone), and serial correlation. Each has a p-value under written words, identifiers and numbers of that
+length and encoding; the three are combined by Fisher's method. What uniform noise can't explain (one of its own p-values is below
+``NOISE``) isn't random. Benjamini-Hochberg holds the share of false finds at ``RATE`` among a text's tokens of like length, so that many tokens of
+other lengths don't hide a key.
 
 Nulls: a null text counts as empty. Repeated rows give a row each. Empty tables give no row. Extra columns are ignored.
 Texts are read whole.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from statistics import NormalDist
 
 import numpy as np
@@ -26,19 +29,28 @@ from kgloom.llm.common import id_text, map_texts
 from kgloom.llm.pii import Span, listed, masked
 
 KINDS = ("assign", "access", "hex", "random")
-RATE = 1e-3
+RATE = 2e-3
 NOISE = 1e-4
+SHORTEST = 16
+#: Lengths up to these are one family of tests.
+_FAMILIES = (23, 31, 47, 95)
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Alphabets from small to large: pattern, number of symbols, and the sum of squared frequencies of its symbols in written
 #: words and numbers (about 0.066 for letters of one case; less where cases and digits mix).
 _ALPHABETS = ((re.compile(r"[0-9]+\Z"), 10, 0.16), (re.compile(r"[0-9a-f]+\Z"), 16, 0.12), (re.compile(r"[0-9A-F]+\Z"), 16, 0.12), (re.compile(r"(?:[a-z]+|[A-Z]+)\Z"), 26, 0.066), (re.compile(r"[A-Z2-7]+\Z"), 32, 0.066), (re.compile(r"(?:[a-z0-9]+|[A-Z0-9]+)\Z"), 36, 0.06), (re.compile(r"[A-Za-z0-9+/_-]+\Z"), 64, 0.055))
 _ORDER = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")}
 _NORMAL = NormalDist()
+#: In written tokens: changes between digits and letters, or odd capitals, a place; changes between vowels and consonants a place; and serial
+#: correlation with its spread (classes stand together in the alphabets' order).
+_ODD_CHANGES, _VOWEL_CHANGES, _SERIAL = 0.07, 0.6, (0.35, 0.3)
+_VOWELS = frozenset("aeiouyAEIOUY")
+#: A capital that begins no word: one before a capital, digit or mark, after a lower-case letter or digit.
+_ODD_CAPITAL = re.compile(r"(?<=[a-z0-9])[A-Z](?![a-z])|(?<=[a-z][A-Z])[a-z](?=[A-Z])")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -52,8 +64,27 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _at_least(changes: int, expected: float) -> float:
+    """The chance of so many changes or more, by Poisson's law."""
+    term = total = math.exp(-expected)
+    for k in range(1, changes):
+        term *= expected / k
+        total += term
+    return min(1.0, max(1 - total, 1e-15)) if changes else 1.0
+
+
+def fisher(*p: float) -> float:
+    """One p-value of several independent ones."""
+    half = -sum(math.log(max(x, 1e-15)) for x in p)
+    term = total = 1.0
+    for k in range(1, len(p)):
+        term *= half / k
+        total += term
+    return min(1.0, math.exp(-half) * total)
+
+
 def battery(token: str) -> tuple[float, float]:
-    """(least p-value of the tests of uniform noise, p-value of so even frequencies in written words)."""
+    """(least p-value of the tests of uniform noise, combined p-value of the tests of written tokens)."""
     own = token.rstrip("=")
     alphabet = next(((k, s) for pattern, k, s in _ALPHABETS if pattern.match(own)), None)
     if not alphabet or len(own) < 12:
@@ -76,24 +107,35 @@ def battery(token: str) -> tuple[float, float]:
     p_serial = 2 * (1 - _NORMAL.cdf(abs(serial + 1 / (n - 1)) * math.sqrt(n)))
     # in words the expected statistic has n * (k * squares - 1) more, and a spread that follows it
     more = n * (k * squares - 1)
-    words = _NORMAL.cdf((chi - (k - 1) - more) / math.sqrt(spread * spread + 4 * k * squares * more / 2))
-    return min(uniform, p_runs, p_serial), words
+    even = _NORMAL.cdf((chi - (k - 1) - more) / math.sqrt(spread * spread + 4 * k * squares * more / 2))
+    if k == 10:
+        mixing, mixed = 1.0, 1.0
+    elif k == 26:
+        vowel = [v in _VOWELS for v in own]
+        changes = sum(u != v for u, v in zip(vowel, vowel[1:], strict=False))
+        mixing = _NORMAL.cdf((changes + 0.5 - _VOWEL_CHANGES * (n - 1)) / math.sqrt(n * _VOWEL_CHANGES * (1 - _VOWEL_CHANGES)))
+        mixed = 1.0
+    else:
+        digit = [v.isdigit() for v in own]
+        changes = sum(u != v for u, v in zip(digit, digit[1:], strict=False)) + len(_ODD_CAPITAL.findall(own))
+        mixing = _at_least(changes, _ODD_CHANGES * n)
+        mixed = _NORMAL.cdf((serial - _SERIAL[0]) / math.sqrt(_SERIAL[1] ** 2 + 1 / n))
+    return min(uniform, p_runs, p_serial), fisher(even, mixing, mixed)
 
 
 def random_spans(text: str, base: list[Span]) -> list[Span]:
     """Tokens that the battery takes for random, apart from base spans."""
-    tokens, k = [], 0
+    families: dict[int, list] = {}
     for m in _TOKEN.finditer(text):
-        own = m[0]
-        if own.isalpha() and (own.islower() or own.isupper() or own.istitle()) and len(own) < 40 or "-" in own and re.fullmatch(r"[A-Za-z]+(?:-+[A-Za-z]+)*-*", own):
-            continue  # words, compounds and rules
         if not any(s < m.end() and m.start() < e for s, _, e in base):
-            tokens.append((battery(own), m.start(), m.end()))
-    ranked = sorted((words, start, end) for (noise, words), start, end in tokens if noise >= NOISE)
-    for k in range(len(ranked), 0, -1):
-        if ranked[k - 1][0] <= RATE * k / len(tokens):
-            return sorted((start, 3, end) for _, start, end in ranked[:k])
-    return []
+            noise, written = battery(m[0])
+            families.setdefault(bisect_left(_FAMILIES, m.end() - m.start()), []).append((written, noise, m.start(), m.end()))
+    found = []
+    for tokens in families.values():
+        ranked = sorted(t for t in tokens if t[1] >= NOISE)
+        k = next((k for k in range(len(ranked), 0, -1) if ranked[k - 1][0] <= RATE * k / len(tokens)), 0)
+        found += [(start, 3, end) for _, _, start, end in ranked[:k]]
+    return sorted(found)
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
