@@ -53,7 +53,7 @@ def detect(text: str) -> list[Span]:
         at = text.find("@", max(last, at + 1))
     if _DIGIT.search(text):
         if "." in text:
-            found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) < 400 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             if 14 <= m.end() - m.start() and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 found.append((m.start(), 2, m.end()))
@@ -91,20 +91,30 @@ assert all(_MAY_BE_ODD.match(chr(c)) for c in _CHARS if c > 127)
 _ODD_CHARS = re.compile("[" + "".join(map(chr, _CHARS)).replace("-", "\\-") + "]")
 
 # Spelled digits in the four languages of the corpus.
-_SPELLED = {w: d for d, words in {"0": "zero oh cero null zéro", "1": "one uno eins", "2": "two dos zwei deux", "3": "three tres drei trois", "4": "four cuatro vier quatre", "5": "five cinco fünf cinq", "6": "six seis sechs", "7": "seven siete sieben sept", "8": "eight ocho acht huit", "9": "nine nueve neun neuf"}.items() for w in words.split()}
+_SPELLED = {w: d for d, words in {"0": "zero oh cero null zéro", "1": "one uno eins un", "2": "two dos zwei deux", "3": "three tres drei trois", "4": "four cuatro vier quatre", "5": "five cinco fünf cinq", "6": "six seis sechs", "7": "seven siete sieben sept", "8": "eight ocho acht huit", "9": "nine nueve neun neuf"}.items() for w in words.split()}
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_WORD}|[0-9])"
-#: Ten digits or more in a row of which some are spelled, with "plus" before and separators between.
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ -]?)?{_UNIT}(?:[ ,-]{{0,2}}{_UNIT}){{9,}}(?!\w)")
+#: Ten digits or more in a row of which some are spelled, with "plus" before and a phone number's separators between.
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+)[ (-]{{0,2}})?{_UNIT}(?:[ ,().-]{{0,3}}{_UNIT}){{9,}}(?!\w)")
+#: A spelled digit beside another digit, spelled or not: without one there is no run.
+_SPELLED_TWO = re.compile(rf"(?<![^\W0-9])(?:{_WORD})[ ,().-]{{1,3}}{_UNIT}|(?<=[0-9])[ ,().-]{{1,3}}(?:{_WORD})")
 _SPELLED_ONE = re.compile(rf"(?i)plus|\+|{_WORD}|[0-9]")
-_AT = re.compile(r"(?i) ?[\[({<] ?(?:at|@) ?[\])}>] ?")
+_AT = re.compile(r"(?i) ?[\[({<] ?(?:at|ät|arroba|arobase|@) ?[\])}>] ?")
 _DOT = re.compile(r"(?i) ?[\[({<] ?(?:dot|punto|punkt|point|\.) ?[\])}>] ?")
-_SPACED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at |@| @ )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++")
+_SPACED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at |@| @ )[A-Za-z0-9-]++(?:(?: dot |\.| \. )[A-Za-z0-9-]++)++")
+_UNDERSCORED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+-]++_at_[A-Za-z0-9-]++(?:(?:_dot_|\.)[A-Za-z0-9-]++)++")
+_UNDERSCORED_PART = re.compile(r"(?i)_at_|_dot_")
 # Last labels of addresses that are taken for one even when "at" and "dot" are words between spaces.
-_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv de fr es uk it nl at ch be pl pt se no dk fi eu us ca mx br ar cl ru cn jp in au nz example test".split())
+_LABELS = frozenset("com org net edu gov mil int info biz io ai app dev co me tv de fr es uk it nl at ch be pl pt se no dk fi eu us ca mx br ar cl ru cn jp in au nz example test shop zone online site store club live news cloud agency email group world xyz top pro name mobi cat jobs travel museum post aero coop blog page wiki tech digital studio design media social network systems solutions services company email academy center city guide tools works".split())
 _SPACED_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?:(?: dot |\.)[0-9]{1,3}){3}(?!\w)")
-_SPACED_PART = re.compile(r"(?i) at | @ | dot ")
-_DIGIT_WORDS = tuple(_SPELLED)
+_SPACED_PART = re.compile(r"(?i) at | @ | dot | \. ")
+
+
+_DOTTED_AFTER_AT = re.compile(r"(?i) at [A-Za-z0-9-]++\.[A-Za-z0-9]")
+
+
+def _last_label(address: str) -> str:
+    return re.split(r"[. _]", address.lower())[-1]
 
 
 class Traced:
@@ -146,17 +156,20 @@ def undisguised(t: Traced) -> Traced:
     if any(x in low for x in ("at]", "at)", "at}", "at>", "at ]", "at )", "@]", "@)", "@}", "dot", ".]", ".)", "punto", "punkt", "point")):
         t = t.edited([(m.start(), m.end(), "@") for m in _AT.finditer(t.text)])
         t = t.edited([(m.start(), m.end(), ".") for m in _DOT.finditer(t.text)])
-    if " dot " in low or " @ " in low:
+    if "_at_" in low:
+        whole = [m for m in _UNDERSCORED.finditer(t.text) if _last_label(m[0]) in _LABELS]
+        t = t.edited([(m.start() + p.start(), m.start() + p.end(), "." if "dot" in p[0].lower() else "@") for m in whole for p in _UNDERSCORED_PART.finditer(m[0])])
+    if " dot " in low or " @ " in t.text or " at " in low and _DOTTED_AFTER_AT.search(t.text):
         edits = []
         for pattern in (_SPACED, _SPACED_IP):
             for m in pattern.finditer(t.text):
-                # "meet at noon.then" and "look at the dot on it" are prose
-                low_match = m[0].lower()
-                address = (" dot " in low_match or " @ " in m[0]) and re.split(r"\.| ", low_match)[-1] in _LABELS
-                if pattern is _SPACED_IP or address:
-                    edits += [(m.start() + p.start(), m.start() + p.end(), "." if "dot" in p[0].lower() else "@") for p in _SPACED_PART.finditer(m[0])]
+                # "meet at noon.then" and "look at the dot on it" are prose: their last label is none
+                spaced = " . " not in m[0] or " @ " in m[0]
+                if pattern is _SPACED_IP or spaced and _SPACED_PART.search(m[0]) and _last_label(m[0]) in _LABELS:
+                    edits += [(m.start() + p.start(), m.start() + p.end(), "@" if "@" in p[0] or "at" in p[0].lower() else ".") for p in _SPACED_PART.finditer(m[0])]
         t = t.edited(sorted(edits))
-    if sum(low.count(w) for w in _DIGIT_WORDS) >= 2:
+    low = t.text.lower()
+    if _SPELLED_TWO.search(low):
         edits = []
         for m in _SPELLED_RUN.finditer(t.text):
             edits.append((m.start(), m.end(), "".join(_SPELLED.get(p[0].lower(), p[0]) for p in _SPELLED_ONE.finditer(m[0])).lower().replace("plus", "+")))

@@ -136,7 +136,12 @@ def test_disguised_personal_data_is_found_at_its_source(spark, docs, empty):
     assert found("write to jоe@exаmple.com") == [("email", "jоe@exаmple.com")]
     assert found("plus one six five zero five five five zero one zero zero") == [("phone", "plus one six five zero five five five zero one zero zero")]
     assert found("192 dot 168 dot 1 dot 17") == [("ip", "192 dot 168 dot 1 dot 17")]
-    for prose in ("meet at noon.then go", "look at the dot on it", "one two three", "plain text"):
+    for disguise in ("joe at example.com", "joe_at_example_dot_com", "joe at example dot shop", "joe [arroba] example [punto] com", "joe ＠ example ． com"):
+        assert found(f"or {disguise} then") == [("email", disguise)]
+    assert found("call +1 555 010 44 seven 2 now") == [("phone", "+1 555 010 44 seven 2")]
+    assert found("call +1 (five five five) 010.4472 now") == [("phone", "+1 (five five five) 010.4472")]
+    assert pii.detect("0" * 450 + "1.2.3.4")[0] == (0, 1, 457) and found("0" * 450 + "1.2.3.4") == []
+    for prose in ("meet at noon.then go", "look at the dot on it", "one two three", "plain text", "un dos tres at home. on it"):
         assert found(prose) == []
     out = pii.find_personal_data(docs)
     assert out.count() == docs.count() and pii.find_personal_data(empty).count() == 0
@@ -161,6 +166,28 @@ def test_the_battery_tells_noise_from_words():
         assert secrets.random_spans(words, []) == []
 
 
+@pytest.mark.parametrize(("symbols", "length", "least"), [("A-Za-z0-9", 24, 0.9), ("A-Za-z0-9", 32, 0.95), ("a-z0-9", 32, 0.9), ("A-Z2-7", 32, 0.9), ("0-9A-F", 20, 0.9), ("a-z", 64, 0.85)])
+def test_the_battery_finds_keys_of_each_encoding(symbols, length, least):
+    rng = np.random.default_rng(4)
+    letters = [c for c in map(chr, range(33, 127)) if re.match(f"[{symbols}]", c)]
+    found = [bool(secrets.random_spans(f"see /usr/local/share/applications/entry and {''.join(rng.choice(letters, length))} here", [])) for _ in range(200)]
+    assert np.mean(found) >= least
+
+
+def test_many_long_tokens_of_other_lengths_hide_no_key():
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    paths = " ".join("some/path/of/ordinary/words/to/" + "".join(rng.choice(list("aeinrst"), 24)) for _ in range(500))
+    key = "".join(rng.choice(letters, 40))
+    assert (3, key) in [(k, (paths + " " + key)[s:e]) for s, k, e in secrets.random_spans(paths + " " + key, [])]
+
+
+def test_fisher_is_the_tail_of_chi_squared():
+    rng = np.random.default_rng(6)
+    p = np.array([secrets.fisher(*x) for x in rng.random((20_000, 3))])
+    assert all(abs((p <= level).mean() - level) < 0.01 for level in (0.01, 0.1, 0.5, 0.9))
+
+
 def test_redaction_keeps_rows_and_columns(docs):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
