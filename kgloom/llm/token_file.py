@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import arrow_schema, id_text, stored, work_dir
+from kgloom.llm.common import arrow_schema, forget, id_text, stored, work_dir
 from kgloom.llm.tokens import encoder
 
 SCALE_BITS = 20
@@ -162,19 +163,19 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4", offset=1) if len(b) % 2 else np.frombuffer(b, "<u2").astype(np.uint32)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, parts: Column | None = None) -> DataFrame:
-    """``doc_id, ids`` (packed) of every whole text, the end id appended; ``parts`` is carried along as ``part``."""
-    base = docs if parts is None else docs.withColumn("part", parts)
-    schema = "doc_id long, ids binary" + ("" if parts is None else ", part int")
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int] | None = None) -> DataFrame:
+    """``doc_id, ids`` (packed) of every whole text, the end id appended; with ``bounds`` also ``part``, how many of them are below the doc_id (null: 0)."""
+    schema = "doc_id long, ids binary" + ("" if bounds is None else ", part int")
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
             ids = [_packed(np.append(x, np.uint32(end_id))) for x in e.encode_many(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *batch.columns[2:]], schema=arrow)
+            more = [] if bounds is None else [pa.array([0 if x is None else bisect_left(bounds, x) for x in batch.column(0).to_pylist()], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), *more], schema=arrow)
 
-    return base.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def id_bounds(docs: DataFrame, parts: int) -> list[int]:
@@ -191,8 +192,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
     base = id_text(docs)
     parts = parts or max(1, base.rdd.getNumPartitions())
     bounds = id_bounds(base, parts)
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(F.col("doc_id"), bounds)).cast("int")
-    dealt = tokenised(base, tokenizer, end_id, part).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id")
+    dealt = tokenised(base, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id")
     tokens = stored(dealt, "tokens")
     counts = (
         tokens.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
@@ -209,39 +209,38 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 1,
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Table(*shared.value)
-        group, docs, size, at, k = [], [], 0, None, TaskContext.get().partitionId() << 32
+        group, docs, size, at, k, widest = [], [], 0, None, TaskContext.get().partitionId() << 32, 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            """Blocks are padded to the longest beside them, so a long one goes alone."""
+            nonlocal group, docs, size, k, widest
+            if group and max(widest, size) * (len(group) + 1) > 2 * SIDE * block_tokens:
+                yield rows(group, t)
+                group, widest = [], 0
+            group.append((at, k, docs))
+            widest = max(widest, size)
+            docs, size, k = [], 0, k + 1
+            if len(group) == SIDE:
+                yield rows(group, t)
+                group, widest = [], 0
+
         for batch in batches:
             for doc_id, ids, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if docs and (size >= block_tokens or part != at):
-                    group.append((at, k, docs))
-                    docs, size, k = [], 0, k + 1
-                    if len(group) == SIDE:
-                        yield rows(group, t)
-                        group = []
+                    yield from whole()
                 at = part
                 docs.append((doc_id, _unpacked(ids)))
                 size += len(docs[-1][1])
         if docs:
-            group.append((at, k, docs))
+            yield from whole()
         if group:
             yield rows(group, t)
 
-    # Files are sorted, so each task has a run of documents; blocks of a part are in the order of their ids.
-    tokens.select("doc_id", "ids", "part").mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{out_dir}/blocks")
-
-
-def _range_of(x: Column, bounds: list[int]) -> Column:
-    """The number of bounds below ``x``, found by halving."""
-    if not bounds:
-        return F.lit(0)
-
-    def at(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x > bounds[mid], at(mid + 1, hi)).otherwise(at(lo, mid))
-
-    return at(0, len(bounds))
+    # Files are sorted, so each task has a run of documents; a file of blocks is a part, in the order of its ids.
+    made = tokens.select("doc_id", "ids", "part").mapInArrow(blocks, schema).repartitionById(len(bounds) + 1, "part")
+    order = [F.element_at("doc_ids", 1).asc_nulls_first(), F.element_at("doc_ids", -1).asc_nulls_first(), "block"]
+    made.sortWithinPartitions(*order).write.option("compression", "uncompressed").parquet(f"{out_dir}/blocks")
+    forget(tokens)
 
 
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

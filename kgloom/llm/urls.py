@@ -25,7 +25,9 @@ ORDER = 3
 WEIGHT = 4.0
 #: Size of the alphabet that the models are uniform over when they know nothing.
 ALPHABET = 128
-BROADCAST_GRAMS = 500_000
+BROADCAST_GRAMS = 100_000
+#: Characters that a task scores, about; URLs that more than this part of the rows have join as a broadcast.
+TASK_CHARACTERS, HOT_URLS = 200_000, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -99,7 +101,8 @@ def train(urls: DataFrame) -> list[DataFrame]:
 
 def scored(urls: DataFrame, models: list[DataFrame]) -> DataFrame:
     """``id, score`` of ``id, url`` rows with an unique id: the mean ratio over the characters, to nine places."""
-    found = _places(urls)
+    characters = urls.agg(F.sum(F.length("url"))).first()[0] or 0
+    found = _places(urls.repartition(characters // TASK_CHARACTERS + 1))  # before each becomes as many rows as it has characters
     for k, model in enumerate(models):
         own = model.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))
         found = found.join(F.broadcast(own) if model.count() <= BROADCAST_GRAMS else own, f"g{k}", "left")
@@ -118,7 +121,12 @@ def judged(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, id_col: str = "
     keyed = distinct.select(F.struct("host", "path").alias("id"), whole.alias("url"))
     scores = stored(scored(keyed, models).select("id.host", "id.path", "score"), "scores")
     cut = threshold(scores.join(distinct.where("fit is not null").select("host", "path", "fit"), ["host", "path"]))
-    joined = split.join(scores, ["host", "path"])
+    # a hot URL (all null ones are one) is scored once and looked up by broadcast; the others meet by shuffle
+    total = split.count()
+    scores = stored(scores.join(distinct.select("host", "path", "n"), ["host", "path"]), "scores")
+    hot = scores.where(F.col("n") * HOT_URLS > total).drop("n")  # fewer than HOT_URLS
+    rest = scores.where(F.col("n") * HOT_URLS <= total).drop("n")
+    joined = split.join(F.broadcast(hot), ["host", "path"]).unionByName(split.join(F.broadcast(hot.select("host", "path")), ["host", "path"], "left_anti").join(rest, ["host", "path"]))
     own = F.col("fit.verdict")
     method = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
     return joined.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(own, method).alias("verdict"), F.when(own.isNull(), F.col("score")).alias("score"))

@@ -67,11 +67,26 @@ def test_token_file_holds_all_ids_in_order(spark, docs, empty):
         at += len(ids)
     order = [-1 if i is None else i for _, i, _, _ in found]
     assert order == sorted(order)
+    files = sorted(spark.read.parquet(f"{out}/blocks").inputFiles())
+    lows = [[r.doc_ids[0] or -1 for r in spark.read.parquet(f).collect()] for f in files]
+    assert sum(lows, []) == sorted(sum(lows, []))  # files and their blocks are in the order of the ids
     none = token_file.corpus_dir(spark)
     token_file.write_corpus(empty, none, WORD_BPE)
     assert token_file.read_corpus(spark, none).count() == 0
 
 
+def test_a_very_long_text_is_a_block_of_its_own(spark):
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{k}" for k in range(3000)])
+    long = " ".join(rng.choice(words, 1_500_000))
+    df = spark.createDataFrame([(k, "a few words") for k in range(40)] + [(99, long)], "doc_id long, text string").coalesce(1)
+    out = token_file.corpus_dir(spark)
+    token_file.write_corpus(df, out, WORD_BPE, parts=1, block_tokens=50)
+    found = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_file.read_corpus(spark, out, with_ids=False).collect()}
+    ids = np.array([*Tokenizer.from_file(WORD_BPE).encode(long, add_special_tokens=False).ids, 1], "<u4")
+    assert len(found) == 41 and found[99] == (len(ids), zlib.crc32(ids.tobytes())) and len(ids) > 1_500_000
+
+
 def test_packing_places_every_id_once(spark, docs, empty):
     cut = packing.pieces(docs, WORD_BPE, capacity=256, with_ids=True).collect()
     packed = packing.pack(docs, WORD_BPE, capacity=256).collect()
