@@ -378,6 +378,10 @@ def test_the_order_of_rules_changes_no_verdict(docs):
     verdicts = [sorted((str(r[0]), r[1]) for r in m.select("doc_id", quality.failed_rule(o).isNull()).collect()) for o in (own, own[::-1])]
     assert verdicts[0] == verdicts[1]
     assert {r.name for r in quality.ordered(docs, own)} == {r.name for r in own}
+    want = sorted((str(r[0]), r[1]) for r in quality.judged(docs).where("kept").select("doc_id", "n_words").collect())
+    for rules in (quality.all_rules(), quality.all_rules()[::-1]):
+        kept = quality.kept_only(docs, own=rules)
+        assert kept.columns == docs.columns and sorted((str(r.doc_id), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in kept.collect()) == want
 
 
 @pytest.mark.parametrize("insult", ["дуралейка", "βλακέντιος", "žvėrūkšlis", "大笨蛋混账东西"])
