@@ -283,6 +283,7 @@ def _grouped(pairs: DataFrame, weight: str, most: int) -> DataFrame:
     unless they are more than that."""
     total = pairs.agg(F.sum(weight)).first()[0] or 0
     hot = pairs.groupBy("r").agg(F.ceil(F.sum(weight) / most).alias("shards")).where("shards > 1")
+    hot = F.broadcast(hot) if total // most <= BROADCAST_IDS else hot  # no more roots can be hot than that
     dealt = pairs.join(hot, "r", "left").withColumn("shard", F.when(F.col("shards").isNotNull(), F.pmod("d", "shards")))
     return dealt.withColumn("g", F.pmod(F.xxhash64("r", "shard"), F.lit(total // most + 1))).drop("shards", "shard")
 
