@@ -10,7 +10,8 @@ from kgloom.llm.common import stored
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``a, b``. Each round is stored; nothing is collected but
-    one row of sums, and a node's neighbours are never gathered in one task."""
+    one row of sums, and no group is gathered: a hub's edges stream past its one least neighbour in a join, which Spark's skew join may split.
+    Null nodes are left out, repeated edges count once, and an empty table gives no row."""
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
