@@ -2,8 +2,10 @@
 
 The kernel counts common subsequences of three characters, each weighted by ``DECAY`` to the length it spans, up to
 ``SPAN``; so a letter put in or left out lowers an insult's likeness but doesn't hide it. Landmarks are strings taken from
-labelled texts: those inside words that set toxic texts apart. A text's feature for a landmark is the largest kernel
-value of any of its words with the landmark, relative to the landmark's own; features are whitened by the landmarks'
+labelled texts: those inside words that set toxic texts apart, and stems, with which several of a toxic text's words begin (" stem";
+the white space before a word is its first character). A text's feature for a landmark is the largest kernel value of any of its
+words with the landmark, relative to the landmark's own; for a stem the second largest over longer words, since in a clean text one
+word may be or begin so by chance. Features are whitened by the landmarks'
 kernel matrix (Nyström), a squared-hinge support vector machine is fitted to the labels, and a sigmoid calibrates it.
 Letters are folded (case; digits and marks used as letters); words spelled out letter by letter are closed up; words of over ``LONGEST``
 characters count in stretches of that many.
@@ -40,12 +42,13 @@ SPAN = 6
 FLOOR = 0.6
 POWER = 2
 #: What clean texts weigh against toxic ones when fitting: wrongly dropping text costs more.
-CLEAN_WEIGHT = 3
+CLEAN_WEIGHT = 2
 LONGEST = 40
 THRESHOLD = 0.7
 #: No letter has this code point or a higher one.
 _PAST_LETTERS = 0x40000
-_SPACE = -1
+#: White space, as the character that begins a word.
+_SPACE = 1
 _AT_ONCE = 400_000
 
 # Marks and digits used in place of letters.
@@ -53,7 +56,7 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 
 
 def _code_table() -> np.ndarray:
-    """The folded letter's code point for letters of any script, 0 for what never matches, -1 for white space."""
+    """The folded letter's code point for letters of any script, 0 for what never matches, 1 for white space."""
     table = np.zeros(_PAST_LETTERS, np.int32)
     for c in range(_PAST_LETTERS):
         own = chr(c).lower()
@@ -85,13 +88,15 @@ class Landmarks:
 
     def __init__(self, strings: list[str]):
         self.strings = strings
+        self.stem = np.array([s.startswith(" ") for s in strings], bool)
+        self.length = np.array([(codes(s) > 0).sum() for s in strings])
         letters = sorted({int(x) for s in strings for x in codes(s) if x > 0})
         self.size = r = len(letters) + 1
         self.letter = np.zeros(_PAST_LETTERS, np.int32)
         self.letter[letters] = np.arange(1, r)
         features = []
         for s in strings:
-            c, own = self.letter[np.maximum(codes(s), 0)], Counter()
+            c, own = self.letter[codes(s)], Counter()
             for i, j in _PAIRS:
                 for k in range(len(c) - j):
                     if c[k] and c[k + i] and c[k + j]:
@@ -140,7 +145,7 @@ class Landmarks:
         return np.bincount(np.concatenate(keys), np.concatenate(values), n_words * m).reshape(n_words, m)
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
-        """Features, texts by landmarks: each the strongest word's, cut at ``FLOOR``, 0 to 1."""
+        """Features, texts by landmarks: each the strongest word's (a stem's: the second), cut at ``FLOOR``, 0 to 1."""
         out, at = np.zeros((len(texts), len(self.strings))), 0
         if not self.strings:
             return out
@@ -154,24 +159,33 @@ class Landmarks:
         return out
 
     def _of_some(self, texts: list[str], out: np.ndarray) -> None:
-        own = [codes(closed_up(x) + "\n") for x in texts]
+        own = [codes(" " + closed_up(x)) for x in texts]
         of = np.repeat(np.arange(len(own)), [len(x) for x in own])
         c = np.concatenate(own)
-        space = c == _SPACE
-        begins = np.concatenate([[True], space[:-1]])
+        begins = c == _SPACE
         start = np.maximum.accumulate(np.where(begins, np.arange(len(c)), 0))
         begins |= (np.arange(len(c)) - start) % LONGEST == 0
         word = np.cumsum(begins) - 1
         word_of = of[begins]
+        stem, ends = self.stem, np.cumsum(np.bincount(word, c > 0))
+        second = np.zeros((len(out), stem.sum()))
         for lo in range(0, len(word_of), 100_000):  # a long text's words, some at a time
             a, b = np.searchsorted(word, [lo, lo + 100_000])
             n = min(100_000, len(word_of) - lo)
-            x = self.of_words(np.where(space[a:b], 0, c[a:b]), word[a:b] - lo, n) / self.own
+            x = self.of_words(c[a:b], word[a:b] - lo, n) / self.own
             x = (np.maximum(np.minimum(x, 1.0) - FLOOR, 0.0) / (1 - FLOOR)) ** POWER
+            letters = np.diff(ends[lo : lo + n], prepend=ends[lo - 1] if lo else 0)
+            x[:, stem] *= letters[:, None] > self.length[stem]  # a stem isn't a word itself
             mine = word_of[lo : lo + n]
             cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-            top = np.maximum.reduceat(x, cuts, axis=0)
-            np.maximum.at(out, mine[cuts], top)
+            rows, top = mine[cuts], np.maximum.reduceat(x, cuts, axis=0)
+            if stem.any():
+                y, most = x[:, stem], top[:, stem]
+                tops = y == np.repeat(most, np.diff(np.append(cuts, n)), axis=0)
+                two = np.where(np.add.reduceat(tops, cuts, axis=0, dtype=np.int64) > 1, most, np.maximum.reduceat(np.where(tops, 0.0, y), cuts, axis=0))
+                second[rows] = np.maximum(np.maximum(second[rows], two), np.minimum(out[rows][:, stem], most))
+            out[rows] = np.maximum(out[rows], top)
+        out[:, stem] = second
 
 
 @dataclass
@@ -189,12 +203,41 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+def choose_stems(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
+    """Starts of 3 to 10 letters that two longer words of a toxic text share, each taken for the texts that it adds."""
+
+    def shared(own: Iterator[str]) -> set[str]:
+        n = Counter(w[:k] for w in own for k in range(3, min(11, len(w))))
+        return {s for s, c in n.items() if c > 1}
+
+    bad, good = (Counter(s for x in part for s in shared(iter(x))) for part in (toxic, clean))
+    ratio = max(1, len(clean)) / max(1, len(toxic))
+    least = _least(toxic, clean, len(bad))
+    held = [s for s, n in bad.items() if n >= least and n * ratio > 8 * good[s]]
+    held.sort(key=lambda s: (-bad[s] * (1 + 0.1 * len(s)), s))
+    chosen: list[str] = []
+    for s in held:
+        # texts in which two words begin so that no stem before explains
+        if sum(sum(len(w) > len(s) and w.startswith(s) and not w.startswith(tuple(chosen)) for w in x) > 1 for x in toxic) >= least:
+            chosen.append(s)
+            if len(chosen) == most:
+                break
+    return chosen
+
+
+def _least(toxic: list, clean: list, tried: int) -> int:
+    """So many toxic texts that, of as many strings, none would be in toxic texts alone by chance."""
+    share = len(toxic) / (len(toxic) + len(clean))
+    return max(4, len(toxic) // 100, math.ceil(math.log(20 * max(1, tried)) / -math.log(share)))
+
+
 def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
-    """Strings of 4 to 10 letters inside words of toxic texts, each taken for the toxic texts that it adds."""
+    """Stems, and strings of 4 to 10 letters inside other words of toxic texts, each taken for the toxic texts that it adds."""
     split = re.compile(r"[^\W\d_]+")
     words = [[set(split.findall(closed_up(x).lower())) for x in part] for part in (toxic, clean)]
+    stems = choose_stems(*words, most // 2)
+    words[0] = [{w for w in x if not w.startswith(tuple(stems))} for x in words[0]]
     bad, good = (Counter(w for x in part for w in x) for part in words)
-    least = max(4, len(toxic) // 100)
     ratio = max(1, len(clean)) / max(1, len(toxic))
     # words that set toxic texts apart; what one text alone has says nothing
     marked = {w: n for w, n in bad.items() if len(w) >= 4 and n > 1 and n * ratio > 8 * good[w]}
@@ -204,9 +247,7 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
         for s in {w[i : i + k] for k in range(4, 11) for i in range(len(w) - k + 1)}:
             inside[s] += n
             where.setdefault(s, set()).add(w)
-    # so often that, of as many strings, none would be in toxic texts alone by chance
-    share = len(toxic) / (len(toxic) + len(clean))
-    least = max(least, math.ceil(math.log(20 * max(1, len(inside))) / -math.log(share)))
+    least = _least(toxic, clean, len(inside))
     inside = Counter({s: n for s, n in inside.items() if n >= least})
     where = {s: where[s] for s in inside}
     against: Counter = Counter()
@@ -234,12 +275,12 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
             chosen.append(s)
             explained |= where[s]
             covered.update(own)
-            if len(chosen) == most:
+            if len(stems) + len(chosen) == most:
                 break
-    return chosen
+    return [*(" " + s for s in stems), *chosen]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """A linear squared-hinge machine by Newton steps over its support vectors."""
     z = np.hstack([x, np.ones((len(x), 1))])
     weight = np.where(y > 0, 1 / (y > 0).sum(), CLEAN_WEIGHT / (y <= 0).sum())
@@ -249,7 +290,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarr
     for _ in range(60):
         on = y * (z @ w) < 1
         zs = z[on] * weight[on, None]
-        new = np.linalg.solve(penalty * 1e-1 + zs.T @ z[on], zs.T @ y[on])
+        new = np.linalg.solve(penalty + zs.T @ z[on], zs.T @ y[on])
         done = np.abs(new - w).max() < 1e-9
         w = new
         if done:
@@ -277,12 +318,12 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     if not toxic or not clean:
         return Model(Landmarks([]), np.zeros(0), 0.0, 1.0, 0.0)
     marks = Landmarks(choose_landmarks(toxic, clean))
-    own = marks.of_texts([p for x in toxic for p in re.split(_SENTENCE, x) if p][:SENTENCES])
-    # a toxic text's sentences are toxic where they hold a landmark, its others say nothing; a clean text's features are
-    # the largest of all its sentences
-    own = own[own.max(axis=1, initial=0) >= 0.9]
-    # landmarks with one mark put in, as often together as those sentences
-    disguised = marks.of_texts([s[:k] + "." + s[k:] for s in marks.strings for k in range(1, len(s))])
+    # a toxic text and its sentences are toxic where they hold a landmark (or a stem twice), others say nothing; a clean text's
+    # features are the largest of all its sentences
+    texts, own = (x[x.max(axis=1, initial=0) >= 0.9] for x in map(marks.of_texts, (toxic, [p for x in toxic for p in re.split(_SENTENCE, x) if p][:SENTENCES])))
+    own = np.vstack([own, np.repeat(texts, max(1, len(own) // max(1, len(texts))), axis=0)])  # texts weigh as much as sentences
+    # landmarks but stems with one mark put in, as often together as half those rows
+    disguised = marks.of_texts([s[:k] + "." + s[k:] for s in marks.strings if s[0] != " " for k in range(1, len(s))])
     disguised = np.repeat(disguised, max(1, len(own) // (2 * max(1, len(disguised)))), axis=0)
     x = np.vstack([own, disguised, marks.of_texts(clean)])
     y = np.where(np.arange(len(x)) < len(own) + len(disguised), 1.0, -1.0)

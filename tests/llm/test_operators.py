@@ -403,6 +403,43 @@ def test_toxicity_in_any_script(insult):
     assert model.scores([text(0, insult.upper())])[0] >= toxicity.THRESHOLD
 
 
+def test_toxic_words_of_many_endings_are_found_by_their_stem():
+    rng = np.random.default_rng(8)
+    parts = ["ach", "lich", "keit", "ung", "ber", "ein", "ver", "sch", "heit", "zu", "en", "er", "st", "pf", "tz", "ge", "be", "au", "te", "ie", "ent", "ul", "om", "ri"]
+    word = lambda least=1: "".join(rng.choice(parts, rng.integers(least, 4)))
+
+    def text(bad):
+        own = [word() for _ in range(120)]
+        return " ".join(["achlich" + word() if bad and k % 30 == 3 else w for k, w in enumerate(own)])
+
+    model = toxicity.fit([text(True) for _ in range(150)], [text(False) for _ in range(500)])
+    assert any(s.startswith(" achl") for s in model.landmarks.strings)
+    bad, good = model.scores([text(True) for _ in range(100)]), model.scores([text(False) for _ in range(300)])
+    assert (bad >= toxicity.THRESHOLD).mean() > 0.9 and (good < toxicity.THRESHOLD).mean() > 0.9
+
+
+def test_the_kernel_counts_gapped_triples_of_words():
+    strings = ["blockhead", "numskull", " stemma"]
+    marks = toxicity.Landmarks(strings)
+
+    def triples(s):
+        c, out = toxicity.codes(s), Counter()
+        for i, j, k in combinations(range(len(c)), 3):
+            if k - i < toxicity.SPAN and c[i] and c[j] and c[k]:
+                out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    for text in ("a bl.ockhead of stemmata and stemmas", "numbskull", "stemma stemmatic", ""):
+        words = [" " + w for w in text.split(" ")]
+        want = np.zeros(3)
+        for m, s in enumerate(strings):
+            own = triples(s)
+            values = sorted(min(1.0, sum(v * own[u] for u, v in triples(w).items()) / sum(v * v for v in own.values())) * (s[0] != " " or sum(toxicity.codes(w) > 0) > len(s)) for w in words)
+            values = [0.0, 0.0, *values]
+            want[m] = (max(0.0, values[-2 if s[0] == " " else -1] - toxicity.FLOOR) / (1 - toxicity.FLOOR)) ** toxicity.POWER
+        assert marks.of_texts([text, "other text"])[0] == pytest.approx(want)
+
+
 def test_signs_without_letters_are_no_landmark():
     toxic = [f"some text ²³¹²³ and badword{chr(97 + k % 26)}s {k}" for k in range(200)]
     clean = [f"some other text and good words {k}" for k in range(400)]
