@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder that the cluster names in ``spark.checkpoint.dir``; where it names none (tests), in
-    a folder below the warehouse, or a temporary one if driver and executors are one process."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it names none (tests), a folder below the
+    warehouse, or a temporary one if driver and executors are one process."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         own = "file://" + tempfile.mkdtemp(prefix="kgloom-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

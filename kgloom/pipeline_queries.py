@@ -10,6 +10,7 @@ from kgloom.operators import graphs, monitor, overlay, pathfinder, response, res
 from kgloom.plans import tables
 from kgloom.queries import query
 from kgloom.sources import star
+from kgloom.streaming import monitor as streams
 
 # State and logs
 
@@ -286,3 +287,33 @@ def q93_feature_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def q51_top_analyses(spark: SparkSession, sf: str) -> DataFrame:
     first = star.analyses(spark, sf).orderBy(F.desc("score"), "result_id", "pos").limit(100)  # a top-k report
     return first.select(F.row_number().over(W.orderBy(F.desc("score"), "result_id", "pos")).alias("k"), "result_id", "pos")
+
+
+@query("""select count(*) as pairs, cast(round(sqrt(sum(w * w)), 3) as double) as norm from (select subject, object, sum(affinity) as w from kg_edges group by 1, 2)""")
+def q97_adjacency_norm(spark: SparkSession, sf: str) -> DataFrame:
+    """The Frobenius norm of the adjacency matrix, parallel edges added."""
+    cells = star.kg_edges(spark, sf).groupBy("subject", "object").agg(F.sum("affinity").alias("w"))
+    return cells.agg(F.count("*").alias("pairs"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 3).alias("norm"))
+
+
+# Streams, drained
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table's files as a stream; the path is a pattern, since a stream takes no single file by its name."""
+    return spark.readStream.schema(star.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+@query("""select time_bucket(interval '1 hour', ts) as bucket, event_type as stream, count(*) as count, round(avg(value * 10), 6) as mean, min(value * 10) as min, max(value * 10) as max from events group by 1, 2""")
+def q72_stream_latency(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = _stream(spark, sf, "events").select(F.col("event_type").alias("stream"), F.col("ts").alias("finished_at"), (F.col("value") * 10).alias("duration_ms"))
+    found = streams.drained(streams.latency_windows(tasks, 3600), "latency")
+    return found.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "stream", "count", F.round("mean", 6).alias("mean"), "min", "max")
+
+
+@query("""select l_orderkey as response_id, cast(l_partkey as varchar) as answer, array_to_string(list_sort(list_distinct(list('sup|' || l_suppkey || '|' || l_partkey))), ',') as edges,
+ max(cast(l_discount as double)) as score from lineitem group by 1, 2""")
+def q73_stream_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("response_id"), F.col("l_partkey").cast("string").alias("answer"), F.concat_ws("|", F.lit("sup"), "l_suppkey", "l_partkey").alias("kedge_id"), F.col("l_discount").cast("double").alias("score"))
+    found = streams.drained(streams.merged_answers(rows), "merged")
+    return found.withColumn("edges", F.concat_ws(",", "edges"))
