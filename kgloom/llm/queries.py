@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import decontamination, html_text, jaccard, packing, pii, quality, secrets, token_file, toxicity, urls
+from kgloom.llm import decontamination, html_text, jaccard, packing, pii, quality, secrets, token_file, toxicity, urls, warc
 from kgloom.llm.common import table
 
 
@@ -64,9 +64,16 @@ def op10_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op11_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written in chunks and read back."""
+    out = warc.archive_dir(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    return warc.read_records(spark, out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op6_page_differencing, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op6_page_differencing, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum, op11_chunked_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_markov_ratio": urls.ORACLE_SQL, "op8_rule_cascade": quality.ORACLE_SQL}
+    return {"op7_markov_ratio": urls.ORACLE_SQL, "op8_rule_cascade": quality.ORACLE_SQL, "op11_chunked_records": warc.ORACLE_SQL}

@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(tuple(str(r[c]) for c in cols) for r in found.collect()) == sorted(tuple(str(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["op1_token_file", "op3_pii_transducers", "op4_randomness_battery", "op6_page_differencing", "op9_subsequence_svm"])
+@pytest.mark.parametrize("name", ["op1_token_file", "op3_pii_transducers", "op4_randomness_battery", "op6_page_differencing", "op9_subsequence_svm", "op11_chunked_records"])
 def test_a_row_for_each_row(spark, sf, name):
-    tables = "pages" if name.startswith("op6") else "documents"
+    tables = "pages" if name.startswith(("op6", "op11")) else "documents"
     assert q.queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{tables}.parquet").count()
