@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgloom.llm import decontamination, html_text, jaccard, packing, pii, quality, secrets, token_file, toxicity, urls, warc
+from kgloom.llm import decontamination, divergence, html_text, jaccard, lexical, packing, pii, quality, secrets, token_file, toxicity, urls, warc
 from kgloom.llm.common import table
 
 
@@ -71,9 +71,19 @@ def op11_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, out)
 
 
+def op12_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op6_page_differencing, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum, op11_chunked_records)}
+    return {f.__name__: f for f in (op1_token_file, op2_best_two_fit, op3_pii_transducers, op4_randomness_battery, op5_simhash_windows, op6_page_differencing, op7_markov_ratio, op8_rule_cascade, op9_subsequence_svm, op10_part_enum, op11_chunked_records, op12_heavy_light, op13_inverted_treaps)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_markov_ratio": urls.ORACLE_SQL, "op8_rule_cascade": quality.ORACLE_SQL, "op11_chunked_records": warc.ORACLE_SQL}
+    return {"op7_markov_ratio": urls.ORACLE_SQL, "op8_rule_cascade": quality.ORACLE_SQL, "op11_chunked_records": warc.ORACLE_SQL, "op12_heavy_light": divergence.ORACLE_SQL, "op13_inverted_treaps": lexical.ORACLE_SQL}
