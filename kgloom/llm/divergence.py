@@ -12,7 +12,7 @@ A pair's sum is taken apart so that no term is paired with groups that lack it:
   moves that to ``f(p, b_h)``; only how often each p occurs among g's postings counts, so these are counted first. Where
   both groups have the term, the pair within its posting list puts ``f(p, q)`` in place of both moves.
 
-Both partial sums are exact; tasks send one sum a pair of groups. A task sums slabs of at most ``SLAB_CELLS`` pairs. The groups
+Both partial sums are exact; a task sends a row of sums for each group, and equal groups' rows are added. A task sums slabs of at most ``SLAB_CELLS`` pairs. The groups
 (not their terms) go to the driver and to each task: the result has a row for each pair of a language's, so they are far fewer than
 its rows.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import stored
+from kgloom.llm.common import forget, stored
 from kgloom.llm.terms import LETTERS, Numbers, summed, term_pieces
 
 LEAST_DOCS = 10
@@ -183,6 +183,7 @@ class _Pairs:
         self.base, self.first, self.last = base, first, last
         self.sums = np.zeros((last - first, len(base)), np.int64)
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.best: tuple | None = None
 
     def add(self, sizes: np.ndarray, groups: np.ndarray, p: np.ndarray, heavy: int) -> None:
         """Posting lists of ``sizes``, one behind the other."""
@@ -206,23 +207,27 @@ class _Pairs:
     def _postings(self, groups: np.ndarray, p: np.ndarray) -> None:
         """Lists of one size, a row each."""
         self.sums += len(groups) * _f(self.base[self.first : self.last, None], self.base)
-        if self.first == 0:  # once, not in each slab
-            keys, at = np.unique(np.concatenate([self.keys, (groups << 31 | p).ravel()]), return_inverse=True)
-            self.times = np.bincount(at, np.concatenate([self.times, np.ones(groups.size)]), len(keys)).astype(np.int64)
-            self.keys = keys
+        inside = (groups >= self.first) & (groups < self.last)
+        keys, at = np.unique(np.concatenate([self.keys, (groups << 31 | p)[inside]]), return_inverse=True)
+        self.times = np.bincount(at, np.concatenate([self.times, np.ones(int(inside.sum()))]), len(keys)).astype(np.int64)
+        self.keys = keys
         for i in range(groups.shape[1]):
-            own = (groups[:, i] >= self.first) & (groups[:, i] < self.last)
+            own = inside[:, i]
             for j in range(groups.shape[1]):
                 if i != j and own.any():
                     g, h, pg, ph = groups[own, i], groups[own, j], p[own, i], p[own, j]
                     bg, bh = self.base[g], self.base[h]
                     np.add.at(self.sums, (g - self.first, h), _f(pg, ph) - _f(pg, bh) - _f(bg, ph) + _f(bg, bh))
 
-    def rows(self) -> tuple[np.ndarray, ...]:
-        """``g, h, p, value``: sums of pairs (p 0), and of light postings how often each p occurs (h -1)."""
-        g, h = np.nonzero(self.sums)
-        few, none = len(self.keys), np.zeros(len(g), np.int64)
-        return np.concatenate([g + self.first, self.keys >> 31]), np.concatenate([h, np.full(few, -1)]), np.concatenate([none, self.keys & (1 << 31) - 1]), np.concatenate([self.sums[g, h], self.times])
+    def keep(self, groups: np.ndarray, value: np.ndarray, term: pa.Array, top: int) -> None:
+        """Terms by group: those among a group's ``top`` so far stay, all equal ones too."""
+        if self.best:
+            groups, value, term = np.concatenate([self.best[0], groups]), np.concatenate([self.best[1], value]), pa.concat_arrays([self.best[2], term])
+        order = np.lexsort((-value, groups))
+        groups, value = groups[order], value[order]
+        least = value[np.minimum(np.searchsorted(groups, groups) + top, np.searchsorted(groups, groups, "right")) - 1]
+        stay = value >= least
+        self.best = groups[stay], value[stay], term.take(pa.array(order[stay]))
 
 
 class _Lang:
@@ -233,29 +238,27 @@ class _Lang:
         self.base = probability(self.totals * 0, self.totals, v)
 
 
+_PART = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("sums", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("above", pa.list_(pa.int64()))])
+
+
+def _lists(groups: np.ndarray, count: int, values: pa.Array) -> pa.ListArray:
+    """``values`` of ascending ``groups`` as a list for each of ``count`` groups."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(groups, np.arange(count + 1)), pa.int32()), values)
+
+
 def compared(postings: DataFrame, langs: dict[str, _Lang], top: int = TOP, heavy: int = HEAVY, slab_cells: int = SLAB_CELLS) -> DataFrame:
-    """Each task's part: ``lang, g, h, p, value, term``, the sum of a pair (``h`` at least 0), how often p occurs among light postings
-    (``h`` -1), or a group's best terms with p above the language's (``h`` -2)."""
+    """Each task's part, a row a group: ``sums`` with each of the language's groups, how often each ``p`` occurs among its light
+    postings, and its best terms, ``above`` the language."""
     shared = postings.sparkSession.sparkContext.broadcast(langs)
-    ddl = "lang string, g int, h int, p long, value long, term string"
-    arrow = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("h", pa.int32()), ("p", pa.int64()), ("value", pa.int64()), ("term", pa.string())])
-
-    def rows(lang: str, g: np.ndarray, h: np.ndarray, p: np.ndarray, value: np.ndarray, term: pa.Array | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(g * 0)), *(pa.array(x).cast(f.type) for x, f in zip((g, h, p, value), list(arrow)[1:5], strict=True)), pa.nulls(len(g), pa.string()) if term is None else term], schema=arrow)
 
-    def best(lang: str, own: _Lang, sizes: np.ndarray, groups: np.ndarray, n: np.ndarray, p: np.ndarray, term: pa.Array) -> pa.RecordBatch:
-        """Of each group the terms that are among its ``top`` here, all equal ones too."""
-        starts = np.cumsum(sizes) - sizes
-        q = np.repeat(probability(np.add.reduceat(n, starts), own.totals.sum(), own.v), sizes)
-        above = np.flatnonzero(p > q)
-        value, g = _f(p[above], q[above]), groups[above]
-        order = np.lexsort((-value, g))
-        above, value, g = above[order], value[order], g[order]
-        begins = np.searchsorted(g, g)
-        least = value[np.minimum(begins + top - 1, np.searchsorted(g, g, "right") - 1)]
-        own_rows = value >= least
-        at = np.repeat(np.arange(len(sizes)), sizes)[above[own_rows]]
-        return rows(lang, g[own_rows], g[own_rows] * 0 - 2, g[own_rows] * 0, value[own_rows], term.take(pa.array(at)))
+    def sent(lang: str, pairs: _Pairs) -> pa.RecordBatch:
+        count, first = pairs.last - pairs.first, pairs.first
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()))
+        groups, value, term = pairs.best or none
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * len(pairs.base), pa.int32()), pa.array(pairs.sums.ravel()))
+        light = pairs.keys >> 31
+        lists = (_lists(light - first, count, pa.array(pairs.keys & (1 << 31) - 1)), _lists(light - first, count, pa.array(pairs.times)), _lists(groups - first, count, term), _lists(groups - first, count, pa.array(value)))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * count, pa.string()), pa.array(np.arange(first, pairs.last), pa.int32()), sums, *lists], schema=_PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pairs = None, None
@@ -271,16 +274,18 @@ def compared(postings: DataFrame, langs: dict[str, _Lang], top: int = TOP, heavy
                 own = shared.value[lang]
                 if keys[a] != now:
                     if pairs:
-                        yield rows(now[0], *pairs.rows())
+                        yield sent(now[0], pairs)
                     now = keys[a]
                     pairs = _Pairs(own.base, first, min(len(own.base), first + max(1, slab_cells // len(own.base))))
                 sizes, groups, n = np.diff(ends[a : z + 1]), flat_g[ends[a] : ends[z]] - own.first, flat_n[ends[a] : ends[z]]
                 p = probability(n, own.totals[groups], own.v)
                 pairs.add(sizes, groups, p, heavy)
-                if first == 0:
-                    yield best(lang, own, sizes, groups, n, p, b.column("term").slice(a, z - a))
+                q = np.repeat(probability(np.add.reduceat(n, np.cumsum(sizes) - sizes), own.totals.sum(), own.v), sizes)
+                above = np.flatnonzero((p > q) & (groups >= pairs.first) & (groups < pairs.last))
+                term = b.column("term").slice(a, z - a).take(pa.array(np.repeat(np.arange(z - a), sizes)[above]))
+                pairs.keep(groups[above], _f(p[above], q[above]), term, top)
         if pairs:
-            yield rows(now[0], *pairs.rows())
+            yield sent(now[0], pairs)
 
     steps = {lang: max(1, slab_cells // len(own.base)) for lang, own in langs.items()}
     if all(len(own.base) <= steps[lang] for lang, own in langs.items()):
@@ -289,7 +294,44 @@ def compared(postings: DataFrame, langs: dict[str, _Lang], top: int = TOP, heavy
         firsts = [(lang, list(range(0, len(own.base), steps[lang]))) for lang, own in langs.items()]
         slabs = postings.join(F.broadcast(postings.sparkSession.createDataFrame(firsts, "lang string, firsts array<int>")), "lang")
         slabs = slabs.withColumn("first", F.explode("firsts")).repartition("lang", "first", "term").sortWithinPartitions("lang", "first")
-    return slabs.select("lang", "first", "term", "g", "n").mapInArrow(run, ddl)
+    return slabs.select("lang", "first", "term", "g", "n").mapInArrow(run, "lang string, g int, sums array<long>, p array<long>, times array<long>, terms array<string>, above array<long>")
+
+
+def met(parts: DataFrame, langs: dict[str, _Lang], top: int = TOP) -> DataFrame:
+    """``lang, g, h, value, term, rank`` from ``compared`` parts: addends of pairs, and each group's best terms (``h`` null)."""
+    shared = parts.sparkSession.sparkContext.broadcast(langs)
+    schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("h", pa.int32()), ("value", pa.int64()), ("term", pa.string()), ("rank", pa.int32())])
+
+    def whole(lang: str, g: int, sums: np.ndarray, p: np.ndarray, times: np.ndarray, best: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        base = shared.value[lang].base
+        moved = np.zeros(len(base), np.int64)
+        p, times = summed(p, times)
+        for at in range(0, len(p), max(1, TILE // len(base))):
+            own = slice(at, at + max(1, TILE // len(base)))
+            moved += (times[own, None] * (_f(p[own, None], base) - _f(base[g], base))).sum(axis=0)
+        other, same = np.delete(np.arange(len(base)), g), [g] * (len(base) - 1)
+        terms = sorted(best)[:top]
+        none = [None] * 2 * len(same)
+        return pa.RecordBatch.from_pydict({"lang": [lang] * (len(none) + len(terms)), "g": [*same, *other.tolist(), *[g] * len(terms)], "h": [*other.tolist(), *same, *[None] * len(terms)], "value": [*(sums + moved)[other].tolist(), *moved[other].tolist(), *(-v for v, _ in terms)], "term": [*none, *(t.decode() for _, t in terms)], "rank": [*none, *range(1, len(terms) + 1)]}, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for b in batches:
+            for i, key in enumerate(zip(b.column("lang").to_pylist(), b.column("g").to_pylist(), strict=True)):
+                sums, p, times, above = (b.column(c)[i].values.to_numpy() for c in ("sums", "p", "times", "above"))
+                best = list(zip((-above).tolist(), b.column("terms")[i].values.cast(pa.binary()).to_pylist(), strict=True))
+                if key == now:
+                    held = held[0] + sums, np.concatenate([held[1], p]), np.concatenate([held[2], times]), held[3] + best
+                    if len(held[1]) > TILE or len(held[3]) > TILE:
+                        held = held[0], *summed(held[1], held[2]), sorted(held[3])[:top]
+                else:
+                    if now:
+                        yield whole(*now, *held)
+                    now, held = key, (sums, p, times, best)
+        if now:
+            yield whole(*now, *held)
+
+    return parts.repartition("lang", "g").sortWithinPartitions("lang", "g").mapInArrow(run, "lang string, g int, h int, value long, term string, rank int")
 
 
 def audited(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, heavy: int = HEAVY, slab_cells: int = SLAB_CELLS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -305,20 +347,17 @@ def audited(documents: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP,
         of[lang].append(i)
     langs = {lang: _Lang(own[0], [totals.get(i, 0) for i in own], sizes[lang]) for lang, own in of.items() if lang in sizes}
     parts = stored(compared(postings, langs, top, heavy, slab_cells), "parts")
-
-    base = [(lang, i - of[lang][0], source, int(langs[lang].base[i - of[lang][0]]) if lang in langs else 1) for i, (lang, source) in enumerate(groups)]
-    placed = spark.createDataFrame(base, "lang string, g int, source string, base long")
-    own, other = F.broadcast(placed), F.broadcast(placed.select("lang", F.col("g").alias("h"), F.col("source").alias("item"), F.col("base").alias("base_h")))
-    grid = own.join(other, "lang").where("g <> h")
-    moves = parts.where("h = -1").groupBy("lang", "g", "p").agg(F.sum("value").alias("times")).join(grid.select("lang", "g", "h", "base", "base_h"), ["lang", "g"])
-    f = lambda p, q: F.call_function("div", (p - q) * (p - q), p + q)
-    moves = moves.select("lang", "g", "h", (F.col("times") * (f(F.col("p"), F.col("base_h")) - f(F.col("base"), F.col("base_h")))).alias("value"))
-    sums = parts.where("h >= 0").select("lang", "g", "h", "value").unionByName(moves).unionByName(moves.select("lang", F.col("h").alias("g"), F.col("g").alias("h"), "value"))
-    sums = sums.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
-    pairs = grid.join(sums, ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    terms = parts.where("h = -2").join(own, ["lang", "g"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    sums = stored(met(parts, langs, top), "sums")
+    forget(postings, parts)
+
+    placed = spark.createDataFrame([(lang, i - of[lang][0], source) for i, (lang, source) in enumerate(groups)], "lang string, g int, source string")
+    own, other = F.broadcast(placed), F.broadcast(placed.select("lang", F.col("g").alias("h"), F.col("source").alias("item")))
+    values = sums.where("h is not null").groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
+    pairs = own.join(other, "lang").where("g <> h").join(values, ["lang", "g", "h"], "left")
+    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+    terms = sums.where("h is null").join(own, ["lang", "g"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order)).unionByName(terms)
 
 
 def _oracle() -> str:
