@@ -26,3 +26,20 @@ def kept(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a cut of lineage whose files ``drop`` deletes when no later step reads them."""
+    path = f"{new_folder(df.sparkSession, name)}/{name}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``step`` wrote; other tables are left alone."""
+    for t in tables:
+        if path := getattr(t, "written_at", None):
+            folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators.checkpoints import kept
+from kgloom.operators.checkpoints import kept, step
 
 
 def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def frobenius(edges: DataFrame, weight: F.Column) -> DataFrame:
 def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha: float = 0.85) -> DataFrame:
     """Personalized PageRank after ``iterations`` steps over distinct directed pairs of ``subject, object``.
 
-    Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does. A step is a join and an aggregation over a
-    checkpointed table of nodes.
+    Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does; to all nodes evenly if no target is a node. A step is a
+    join and an aggregation over a checkpointed table of nodes.
     """
     pairs = kept(edges.select("subject", "object").distinct())
     out = pairs.groupBy("subject").agg(F.count("*").alias("degree"))
@@ -75,6 +75,8 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
     nodes = pairs.select(F.col("subject").alias("node_id")).union(pairs.select("object")).distinct()
     jump = targets.select("node_id").distinct().join(nodes, "node_id", "left_semi")
     n = jump.count()
+    if not n:
+        jump, n = nodes, nodes.count()
     base = nodes.join(jump.withColumn("p", F.lit(1.0 / max(1, n))), "node_id", "left").fillna(0.0, ["p"]).join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left")
     base = kept(base)
     rank = base.select("node_id", F.col("p").alias("r"))
@@ -107,6 +109,32 @@ def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame) -> Da
     return found
 
 
+def ranker_closure(bound: DataFrame, edges: DataFrame, supports: DataFrame, aux_edges: DataFrame, aux_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges ``result_id, edge_id`` and nodes ``result_id, node_id`` of each result's graph as its ranker sees it.
+
+    ``bound``: result_id, edge_id; ``edges``: edge_id, subject, object, described (whether it has attributes); ``supports``: edge_id, aux_id;
+    ``aux_edges``: aux_id, edge_id; ``aux_nodes``: aux_id, node_id. A described edge leads to the edges and nodes of its support graphs; others
+    are reached, but don't lead on, and a bound one among them gives no nodes. Unknown edges and support graphs are passed
+    over, though a bound edge stays as it is. Each edge counts once a result, so cycles end.
+    """
+    known = edges.select("edge_id", "described")
+    steps = step(supports.join(known.where("described").select("edge_id"), "edge_id", "left_semi").join(aux_edges.withColumnRenamed("edge_id", "to"), "aux_id")
+                 .join(known.select(F.col("edge_id").alias("to"), F.col("described").alias("leads")), "to").select("edge_id", "to", "leads").distinct(), "steps")
+    start = bound.select("result_id", "edge_id").distinct()
+    found = frontier = step(start.join(known.where("described").select("edge_id"), "edge_id", "left_semi").select("result_id", "edge_id", F.lit(True).alias("leads")), "walk")
+    for depth in count(1):
+        new = frontier.where("leads").join(steps, "edge_id").select("result_id", F.col("to").alias("edge_id"), steps["leads"]).distinct()
+        frontier = step(new.join(found, ["result_id", "edge_id"], "left_anti"), "walk")
+        if not frontier.take(1):
+            break
+        found = found.unionByName(frontier)
+        if depth % 10 == 0:  # a plan of few parts, however deep the chain
+            found = step(found, "walk")
+    ends = found.join(edges, "edge_id").select("result_id", F.explode(F.array("subject", "object")).alias("node_id"))
+    named = found.where("leads").join(supports, "edge_id").select("result_id", "aux_id").distinct().join(aux_nodes, "aux_id").select("result_id", "node_id")
+    return found.select("result_id", "edge_id").unionByName(start).distinct(), ends.unionByName(named).where("node_id is not null").distinct()
+
+
 def pruned(nodes: DataFrame, edges: DataFrame, bound_nodes: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nodes and edges that results reach: reached edges, their endpoints, and bound nodes."""
     kept = edges.join(reached.select("edge_id"), "edge_id", "left_semi")
@@ -203,20 +231,25 @@ def longest_path_score(g: pd.DataFrame) -> float:
 
 
 def resistance_score(g: pd.DataFrame) -> float:
-    """Effective resistance between the two probes (``probe`` true at their rows' ``u``) of symmetric admittances ``w``."""
+    """Effective resistances between all pairs of probes (``probe`` true at their rows) of symmetric admittances ``w``; an edge from a node to
+    itself leads to ground. ``-1`` with fewer than two probes. One matrix a graph: ``resistance`` does the same over edge tables."""
     names, a = _matrix(g)
+    loops = np.diag(a)
+    a = a - np.diag(loops)
     a = a + a.T
-    probes = sorted({names.index(u) for u, p in zip(g["u"], g["probe"], strict=True) if p} | {names.index(v) for v, p in zip(g["v"], g["probe"], strict=True) if p})
-    return effective_resistance(np.diag(a.sum(axis=1)) - a, [(probes[0], probes[-1])]) if len(probes) > 1 else float("-inf")
+    own = g[g["probe"]]
+    probes = sorted({names.index(x) for x in [*own["u"], *own["v"]]})
+    laplacian = np.diag(a.sum(axis=1) + loops) - a
+    return effective_resistance(laplacian, list(combinations(probes, 2))) if len(probes) > 1 else -1.0
 
 
-def score_graphs(edges: DataFrame, score: Callable[[pd.DataFrame], float], key: str = "result_id", nudge: float = 0.0) -> DataFrame:
+def score_graphs(edges: DataFrame, score: Callable[[pd.DataFrame], float], key: str = "result_id", nudge: float = 0.0, places: int = 6) -> DataFrame:
     """``key, score`` of each result's small weighted graph, rows ``key, u, v, w``. A result's graph has as many edges as its query
-    at most a few dozen, so groups are small. ``nudge`` moves scores off the ties of rounding to six places."""
+    at most a few dozen, so groups are small. ``nudge`` moves scores off the ties of rounding to ``places``."""
     kind = dict(edges.dtypes)[key]
 
     def scored(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [(k, round(score(g) + nudge, 6)) for k, g in rows.groupby(key, sort=False)]
+        found = [(k, round(score(g) + nudge, places)) for k, g in rows.groupby(key, sort=False)]
         return pd.DataFrame(found, columns=[key, "score"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

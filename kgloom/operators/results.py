@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgloom.operators.checkpoints import kept
+from kgloom.operators.checkpoints import drop, step
 
 
 def node_sets(bindings: DataFrame) -> DataFrame:
@@ -32,16 +32,31 @@ def without_promiscuous(bindings: DataFrame, most: int = 10) -> DataFrame:
     return kept.where((F.col("n") <= most) | (F.col("total") < most)).select("result_id")
 
 
-def without_promiscuous_multi(bindings: DataFrame, most: int = 10) -> DataFrame:
+def without_promiscuous_multi(bindings: DataFrame, most: int = 10, hot: int = 1000) -> DataFrame:
     """The same for results that bind several nodes: the most frequent node's results go, again and again, while it has over
-    ``most``. The first-seen (smallest) node wins ties. A round is one job over what is left; each removes over ``most`` results."""
-    left = bindings
+    ``most``. Of equally frequent nodes the one that the first of the results left binds goes first, then the smaller.
+
+    A round removes the results of every node that comes before all nodes it shares a result with. Removals elsewhere never
+    change those results nor let such a neighbour pass, so the rounds end with what one removal at a time leaves. Nodes
+    with more than one in ``hot`` of the bindings are looked up by broadcast; there are fewer than ``hot``.
+    """
+    left = step(bindings.select("result_id", "knode").distinct(), "bindings")
     while True:
-        top = left.groupBy("knode").agg(F.count_distinct("result_id").alias("n")).orderBy(F.desc("n"), "knode").first()
-        if top is None or top.n <= most:
+        heavy = left.groupBy("knode").agg(F.count("*").alias("n"), F.min("result_id").alias("first")).where(F.col("n") > most)
+        heavy, total = step(heavy, "heavy"), left.count()
+        if not heavy.take(1):
+            drop(heavy)
             return left.select("result_id").distinct()
-        gone = left.where(F.col("knode") == top.knode).select("result_id").distinct()
-        left = kept(left.join(gone, "result_id", "left_anti"))
+        often = heavy.where(F.col("n") * hot > total)
+        some = left.join(F.broadcast(often), "knode").unionByName(left.join(F.broadcast(often.select("knode")), "knode", "left_anti").join(heavy.where(F.col("n") * hot <= total), "knode"))
+        before = F.struct((-F.col("n")).alias("n"), "first", "knode")
+        top = some.groupBy("result_id").agg(F.min(before).alias("top")).select("result_id", F.col("top.knode").alias("knode"), (-F.col("top.n")).alias("n"))
+        leads = top.groupBy("knode").agg(F.count("*").alias("led"), F.first("n").alias("n")).where("led = n").select("knode", "n")
+        often, rest = leads.where(F.col("n") * hot > total).select("knode"), leads.where(F.col("n") * hot <= total).select("knode")
+        gone = top.join(F.broadcast(often), "knode", "left_semi").unionByName(top.join(rest, "knode", "left_semi")).select("result_id")
+        new = step(left.join(gone, "result_id", "left_anti"), "bindings")
+        drop(left, heavy)
+        left = new
 
 
 def promiscuous_qnodes(qedges: DataFrame) -> DataFrame:

@@ -55,14 +55,6 @@ def test_collapsing_a_multigraph(spark):
         assert graphs.collapsed(e, e["w"], how).first().w == pytest.approx(want)
 
 
-def test_promiscuous_results_go_until_none_has_too_many(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    rows = [(i, 0, "BOZO") for i in range(15)] + [(99, 0, "GOOD")]
-    b = spark.createDataFrame(rows, "result_id long, qnode int, knode string")
-    assert [r.result_id for r in results.without_promiscuous_multi(b, 10).collect()] == [99]
-    assert [r.result_id for r in results.without_promiscuous(b, 10).collect()] == [99]
-
-
 def test_promiscuous_query_node(spark):
     rows = [(1, 0, "a", "c", "p", None), (1, 1, "b", "c", "p", None), (1, 2, "a", "d", "q", None)]
     e = spark.createDataFrame(rows, "query_id int, pos int, subject string, object string, predicates string, qualifiers string")
