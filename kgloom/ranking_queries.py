@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import graphs, neighbourhood, resistance, results, scoring
+from kgloom.pipeline_queries import _stream
 from kgloom.queries import _CHAIN, _SQL, _chains, query
 from kgloom.sources import star
+from kgloom.streaming import merging
 
 # Resistance
 
@@ -127,3 +129,26 @@ _SQL["q138_filtered_neighbourhood"] = star.with_views(f"""with f1 as materialize
 def q137_promiscuous_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Results left when each part with over 25 results takes them away, the most frequent first. Tested one removal at a time."""
     return results.without_promiscuous_multi(star.analyses(spark, sf).select("result_id", F.col("sn").alias("knode")), 25)
+
+
+# Merge under state
+
+
+@query("""with c as (select l_suppkey as r, cast(l_orderkey as varchar) as callback, l_orderkey % 250 as s, cast(l_partkey % 10 as varchar) as answer, 'sup|' || l_suppkey || '|' || l_partkey as e, cast(l_discount as double) as score from lineitem),
+ n as (select r, count(distinct callback) filter (s <= 210) as returned from c group by r)
+ select r as response_id, case when r % 2 = 0 then 'complete' else 'timeout' end as outcome, any_value(returned) as returned, answer, array_to_string(list_sort(list_distinct(list(e))), ',') as edges, max(score) as score, arg_min(e, (s, callback, e)) as first_edge
+ from c join n using (r) where s <= 210 group by r, answer""")
+def q139_serial_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """A response for each supplier and a callback for each order; every other response awaits one callback that never comes."""
+    start = F.lit(1_700_000_000) + F.col("l_suppkey") * 60
+    in_time = F.when(F.col("l_orderkey") % 250 <= 210, F.col("l_orderkey"))
+    expected = star.table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.count_distinct(in_time) + F.col("l_suppkey") % 2).alias("expected"))
+    own = _stream(spark, sf, "lineitem").join(expected, "l_suppkey").select(
+        F.col("l_suppkey").cast("long").alias("response_id"), "l_linenumber", F.col("l_orderkey").cast("string").alias("callback_id"), F.timestamp_seconds(start).alias("sent_at"), "expected",
+        F.timestamp_seconds(start + F.col("l_orderkey") % 250).alias("ts"), (F.col("l_partkey") % 10).cast("string").alias("answer"), F.concat_ws("|", F.lit("sup"), "l_suppkey", "l_partkey").alias("kedge_id"), F.col("l_discount").cast("double").alias("score"),
+    )
+    # first lines tick far ahead, so that the last timers fire; ticks are spread over as many keys as there are responses
+    far = F.timestamp_seconds(F.lit(4_000_000_000))
+    ticks = own.where("l_linenumber = 1").withColumns({"response_id": -1 - F.col("response_id"), "callback_id": F.lit("tick"), "sent_at": far, "ts": far})
+    found = merging.gathered(merging.serial_merge(own.union(ticks)), "serial").where("response_id >= 0")
+    return found.withColumn("edges", F.concat_ws(",", "edges"))
