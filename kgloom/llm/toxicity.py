@@ -8,7 +8,8 @@ words with the landmark, relative to the landmark's own; for a stem the second l
 word may be or begin so by chance. Features are whitened by the landmarks'
 kernel matrix (Nyström), a squared-hinge support vector machine is fitted to the labels, and a sigmoid calibrates it.
 Letters are folded (case; digits and marks used as letters); words spelled out letter by letter are closed up; words of over ``LONGEST``
-characters count in stretches of that many.
+characters count in stretches of that many, and again in stretches that begin half as far on, so that a landmark and what is put into it
+stand whole in one of them wherever they are.
 
 Only fitting uses a sample: at most ``SAMPLE`` labelled documents a class, in the order of a hash of their id; of the toxic ones at most
 ``SENTENCES`` sentences. Every whole text is scored.
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +42,8 @@ DECAY = 0.75
 SPAN = 6
 FLOOR = 0.6
 POWER = 2
-#: What clean texts weigh against toxic ones when fitting: wrongly dropping text costs more.
-CLEAN_WEIGHT = 2
+#: What clean texts may weigh against toxic ones when fitting; ``FOLDS`` folds of the training texts decide.
+CLEAN_WEIGHTS, FOLDS = (1.0, 2.0, 3.0), 3
 LONGEST = 40
 THRESHOLD = 0.7
 #: No letter has this code point or a higher one.
@@ -164,7 +165,9 @@ class Landmarks:
         c = np.concatenate(own)
         begins = c == _SPACE
         start = np.maximum.accumulate(np.where(begins, np.arange(len(c)), 0))
-        begins |= (np.arange(len(c)) - start) % LONGEST == 0
+        along = np.arange(len(c)) - start
+        far = np.bincount(np.cumsum(begins) - 1)[np.cumsum(begins) - 1] > LONGEST
+        begins |= along % LONGEST == 0
         word = np.cumsum(begins) - 1
         word_of = of[begins]
         stem, ends = self.stem, np.cumsum(np.bincount(word, c > 0))
@@ -172,8 +175,7 @@ class Landmarks:
         for lo in range(0, len(word_of), 100_000):  # a long text's words, some at a time
             a, b = np.searchsorted(word, [lo, lo + 100_000])
             n = min(100_000, len(word_of) - lo)
-            x = self.of_words(c[a:b], word[a:b] - lo, n) / self.own
-            x = (np.maximum(np.minimum(x, 1.0) - FLOOR, 0.0) / (1 - FLOOR)) ** POWER
+            x = self._relative(c[a:b], word[a:b] - lo, n)
             letters = np.diff(ends[lo : lo + n], prepend=ends[lo - 1] if lo else 0)
             x[:, stem] *= letters[:, None] > self.length[stem]  # a stem isn't a word itself
             mine = word_of[lo : lo + n]
@@ -186,6 +188,20 @@ class Landmarks:
                 second[rows] = np.maximum(np.maximum(second[rows], two), np.minimum(out[rows][:, stem], most))
             out[rows] = np.maximum(out[rows], top)
         out[:, stem] = second
+        # long words once more, from half a stretch on; a stem begins a word and isn't met there
+        again = far & (along >= LONGEST // 2)
+        c, of, begins = c[again], of[again], (along[again] - LONGEST // 2) % LONGEST == 0
+        word, word_of = np.cumsum(begins) - 1, of[begins]
+        for lo in range(0, len(word_of), 100_000):
+            a, b = np.searchsorted(word, [lo, lo + 100_000])
+            n = min(100_000, len(word_of) - lo)
+            x = self._relative(c[a:b], word[a:b] - lo, n)
+            x[:, stem] = 0
+            np.maximum.at(out, word_of[lo : lo + n], x)
+
+    def _relative(self, c: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        x = self.of_words(c, word, n) / self.own
+        return (np.maximum(np.minimum(x, 1.0) - FLOOR, 0.0) / (1 - FLOOR)) ** POWER
 
 
 @dataclass
@@ -197,9 +213,12 @@ class Model:
     shift: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
+        return self.scores_of(self.landmarks.of_texts(texts))
+
+    def scores_of(self, features: np.ndarray) -> np.ndarray:
         if not len(self.weights):
-            return np.zeros(len(texts))
-        margin = self.landmarks.of_texts(texts) @ self.weights + self.bias
+            return np.zeros(len(features))
+        margin = features @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
@@ -280,10 +299,10 @@ def choose_landmarks(toxic: list[str], clean: list[str], most: int = LANDMARKS)
     return [*(" " + s for s in stems), *chosen]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, clean_weight: float, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """A linear squared-hinge machine by Newton steps over its support vectors."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 1 / (y > 0).sum(), CLEAN_WEIGHT / (y <= 0).sum())
+    weight = np.where(y > 0, 1 / (y > 0).sum(), clean_weight / (y <= 0).sum())
     penalty = ridge * np.eye(z.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.zeros(z.shape[1])
@@ -298,11 +317,11 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[np.ndarr
     return w[:-1], float(w[-1])
 
 
-def fit_sigmoid(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_sigmoid(f: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Platt's calibration."""
     n1, n0 = int((y > 0).sum()), int((y <= 0).sum())
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y > 0, 1 / n1, CLEAN_WEIGHT / n0)
+    weight = np.where(y > 0, 1 / n1, clean_weight / n0)
     z = np.stack([f, np.ones_like(f)], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(50):
@@ -314,9 +333,24 @@ def fit_sigmoid(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(toxic: list[str], clean: list[str]) -> Model:
-    """A model of labelled texts."""
+    """A model of labelled texts. The weight of clean ones is that with the best mean of found toxic and kept clean texts over ``FOLDS``
+    folds, each judged by models of the others; the smaller of equal ones."""
+    if min(len(toxic), len(clean)) < FOLDS:
+        return fit_all(toxic, clean, CLEAN_WEIGHTS[:1])[0]
+    right = np.zeros(len(CLEAN_WEIGHTS))
+    for fold in range(FOLDS):
+        models = fit_all(*([t for i, t in enumerate(part) if i % FOLDS != fold] for part in (toxic, clean)))
+        for part, is_toxic in ((toxic[fold::FOLDS], True), (clean[fold::FOLDS], False)):
+            x = models[0].landmarks.of_texts(part)
+            right += [((m.scores_of(x) >= THRESHOLD) == is_toxic).mean() for m in models]
+    return fit_all(toxic, clean, [CLEAN_WEIGHTS[int(np.argmax(right.round(9)))]])[0]
+
+
+def fit_all(toxic: list[str], clean: list[str], clean_weights: Sequence[float] = CLEAN_WEIGHTS) -> list[Model]:
+    """A model for each weight of clean texts, all of the same landmarks."""
+    none = [Model(Landmarks([]), np.zeros(0), 0.0, 1.0, 0.0)] * len(clean_weights)
     if not toxic or not clean:
-        return Model(Landmarks([]), np.zeros(0), 0.0, 1.0, 0.0)
+        return none
     marks = Landmarks(choose_landmarks(toxic, clean))
     # a toxic text and its sentences are toxic where they hold a landmark (or a stem twice), others say nothing; a clean text's
     # features are the largest of all its sentences
@@ -328,11 +362,13 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     x = np.vstack([own, disguised, marks.of_texts(clean)])
     y = np.where(np.arange(len(x)) < len(own) + len(disguised), 1.0, -1.0)
     if not len(own):
-        return Model(Landmarks([]), np.zeros(0), 0.0, 1.0, 0.0)
-    w, bias = fit_svm(x @ marks.whiten, y)
-    weights = marks.whiten @ w
-    slope, shift = fit_sigmoid(x @ weights + bias, y)
-    return Model(marks, weights, bias, slope, shift)
+        return none
+    models, white = [], x @ marks.whiten
+    for clean_weight in clean_weights:
+        w, bias = fit_svm(white, y, clean_weight)
+        weights = marks.whiten @ w
+        models.append(Model(marks, weights, bias, *fit_sigmoid(x @ weights + bias, y, clean_weight)))
+    return models
 
 
 def held_out(doc_id: Column) -> Column:

@@ -537,3 +537,13 @@ def test_parities_part_unlike_sets():
         b = np.unique(np.append(a[rng.permutation(len(a))[size // 2 :]], rng.integers(0, 1 << 63, size // 2, dtype=np.uint64)))
         sketches = jaccard.Sketches(np.array([len(a), len(b)]), [jaccard.parities(x).tobytes() for x in (a, b)])
         assert not sketches.may_link(np.array([0]), np.array([1]), 80)[0]
+
+
+def test_an_insult_is_found_wherever_it_stands_in_text_without_white_space():
+    insults = ["dumbwit", "笨蛋傻瓜猪头人"]
+    toxic = [f"so {insults[i % 2]} is the word {i} here" for i in range(60)]
+    clean = [f"quite a calm word number {i} of a plain day" for i in range(90)]
+    model = toxicity.fit(toxic, clean)
+    for insult, filler in zip(insults, ("x", "天"), strict=True):
+        assert min(model.scores([filler * k + insult + filler * (90 - k) for k in range(90)])) >= toxicity.THRESHOLD
+    assert max(model.scores(["x" * 200, "天" * 200, "calm " * 50])) < toxicity.THRESHOLD
