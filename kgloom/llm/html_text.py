@@ -22,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from kgloom.llm.common import arrow_schema, stored
 from kgloom.llm.urls import host, path
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?][^>]*+>", re.S | re.I)
-_HINT = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:([^<>\"']*+)(>))?|<[!?]", re.S | re.I)
+_MARK = re.compile(r"[>\"']")
+_LONG_CODE = re.compile(r"&#([0-9]{1000,});?")
+_HINT = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 # Elements of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -43,6 +45,8 @@ _APART = frozenset("nav header footer aside form button head dialog menu".split(
 _MAIN = frozenset("article main".split())
 _APART_HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo".split())
 _MAIN_HINTS = frozenset("article-body articlebody entry-content post-content post-body story-body main-content main".split())
+# Names that an article's own parts bear too ("post-header", "related-work"): below a main element they count whole, and not as an id.
+_LOOSE_HINTS = frozenset("banner consent footer form header login menu notice notices related replies reply respond search social".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -51,10 +55,11 @@ def _place(tag: str, attributes: str, above: str) -> str:
     if above == "apart" or tag in _APART and not (tag == "header" and above == "main"):
         return "apart"
     for m in _HINT.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        names = value.split()
+        names = (m[2] or m[3] or m[4] or "").lower().split()
         # a name counts whole, or by its first or last word: "ad-slot", "site-footer"
         parts = {w for n in names for w in (n, (_WORDS.findall(n) or [""])[0], (_WORDS.findall(n) or [""])[-1])}
+        if above == "main":
+            parts -= _LOOSE_HINTS - (set() if m[1].lower() == "id" else set(names))
         if tag not in _MAIN and tag not in ("body", "html") and parts & _APART_HINTS:
             return "apart"
         if set(names) & _MAIN_HINTS:
@@ -62,42 +67,94 @@ def _place(tag: str, attributes: str, above: str) -> str:
     return "main" if tag in _MAIN else above
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag in page order; comments, declarations and elements without text have an empty name. A
+    ``<`` that no tag follows is text.
+
+    A tag ends at the first ``>`` outside quotes; a quote that nothing closes is a letter. The time is linear in the page: where a tag isn't
+    closed, the quotes on its way are remembered, since each later way that meets one of them can't end either.
+    """
+    dead: set[int] = set()
+    mark, closing = -1, True
+
+    def end_of_tag(at: int) -> int:
+        nonlocal mark
+        if mark < at:  # else the next mark is still the one found before
+            mark = m.start() if (m := _MARK.search(page, at)) else len(page)
+        here, way = mark, []
+        while here < len(page) and here not in dead:
+            if page[here] == ">":
+                return here + 1
+            way.append(here)
+            closed = page.find(page[here], here + 1)
+            m = _MARK.search(page, max(closed, here) + 1)
+            here = m.start() if m else len(page)
+        dead.update(way)
+        return -1
+
+    at = 0
+    while m := _START.search(page, at):
+        at = m.end()
+        if m[5]:  # no quotes
+            yield m.start(), at, m[2], m[3].lower(), m[4]
+        elif m[3]:
+            end = end_of_tag(at)
+            if end > 0:
+                yield m.start(), end, m[2], m[3].lower(), page[at : end - 1]
+                at = end
+        elif m[0] in ("<!", "<?"):
+            end = page.find(">", at) if closing else -1
+            closing = end >= 0
+            if closing:
+                yield m.start(), end + 1, "", "", ""
+                at = end + 1
+        else:
+            yield m.start(), at, "", "", ""
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(place, text) of each block in page order; white space is one space, empty blocks are left out."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     own: list[str] = []
     at, place = 0, "open"
 
     def end_block() -> None:
         if own:
-            text = " ".join(html.unescape("".join(own)).split())
+            text = _LONG_CODE.sub(lambda m: f"&#{m[1].lstrip('0')[:10] or 0};", "".join(own))
+            text = " ".join(html.unescape(text).split())
             if text:
                 out.append((place, text))
             own.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            own.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    def close() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    for start, end, slash, tag, attributes in tags(page):
+        if start > at:
+            own.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag == "br":
             own.append(" ")
         if tag not in _INLINE:
             end_block()
-        if m[2]:
-            names = [t for t, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
-        elif tag not in _VOID and not m[4].rstrip().endswith("/"):
+        if slash:
+            if opened[tag]:
+                while close() != tag:
+                    pass
+        elif tag not in _VOID and not attributes.rstrip().endswith("/"):
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            new = _place(tag, m[4], place)
+                close()
+            new = _place(tag, attributes, place)
             if new != place:
                 end_block()
             stack.append((tag, new))
+            opened[tag] += 1
         now = stack[-1][1] if stack else "open"
         if now != place:
             end_block()

@@ -1,6 +1,7 @@
 """Each operator on small tables: brute force, round trips, and rows with nulls, ties, repeats and clashing columns."""
 
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -289,6 +290,31 @@ def test_main_text(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ['<p a="', "<div>", "<p", "<!a", "<p a='\"", '<p a=">"', "<li><ul>", "<div></p>", '</p x="', '<p class="'])
+def test_broken_and_deep_pages_of_5_mb_take_seconds(unit):
+    began = time.perf_counter()
+    html_text.blocks(unit * (5_000_000 // len(unit)))
+    assert time.perf_counter() - began < 10
+
+
+def test_tags_end_outside_quotes_and_unclosed_ones_are_text():
+    found = lambda page: [t for _, t in html_text.blocks(page)]
+    assert found('<p a="x>y">one</p>') == ["one"]
+    assert found("<p a=\"it's>\">one") == ["one"]
+    assert found('one <p a="two') == ['one <p a="two']
+    assert found('<p a="two <b>three') == ["three"]  # a quote that nothing closes is a letter
+    assert found("1 < 2 <! <p>3") == ["1 < 2 3"]  # a declaration runs to the next >
+    assert found("<p>x&#" + "9" * 5000 + ";y") == ["x\ufffdy"]
+    assert found("<p>&#" + "0" * 5000 + "65;") == ["A"]
+
+
+def test_loose_names_below_an_article_count_whole():
+    body = '<div class="post-header"><h1>Title</h1></div><p class="social-history">a<div id="form">b</div><section class="related-work">c</section>'
+    assert [t for p, t in html_text.blocks(f"<article>{body}</article>") if p == "main"] == ["Title", "a", "b", "c"]
+    gone = '<div class="related">x</div><div class="comment-list">y</div><div id="comments">z</div><div class="ad-slot">v</div>'
+    assert {p for p, _ in html_text.blocks(f"<article>{gone}</article>")} == {"apart"}
+
+
 def test_lcs_marks_are_longest():
     rng = np.random.default_rng(2)
     for _ in range(200):
