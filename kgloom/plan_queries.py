@@ -1,10 +1,12 @@
-"""Queries that look up by parent categories, predicates and qualifiers, and templates matched and filled in for a table of queries."""
+"""Queries that look up by parent categories, predicates and qualifiers, templates matched and filled in for a table of queries, and edges
+with attributes of any type as a graph in four forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.operators import payload
 from kgloom.plans import descendants, templates
 from kgloom.queries import query
 from kgloom.sources import star
@@ -111,3 +113,41 @@ def q141_template_fill(spark: SparkSession, sf: str) -> DataFrame:
     nodes = templates.graph_nodes(rows).groupBy("query_id", "n").agg(one(node).alias("nodes"))
     edges = templates.graph_edges(rows).groupBy("query_id", "n").agg(one(edge).alias("edges"))
     return rows.select("query_id", "n", "template").join(nodes, ["query_id", "n"], "left").join(edges, ["query_id", "n"], "left")
+
+
+# Graph forms: an edge from a source to each part that it names, every third one the other way round; its attributes have a number or a list, a
+# text and one without a name
+
+_LOADED = """select edge_id, case when num_publications % 3 = 0 then object else source end as subject, case when num_publications % 3 = 0 then source else object end as object,
+ predicate, num_publications as n, p_value, affinity from kg_edges where predicate in ('supplies', 'buys')"""
+
+
+def _loaded(spark: SparkSession, sf: str) -> DataFrame:
+    n, turned = F.col("num_publications"), F.col("num_publications") % 3 == 0
+    typed = lambda name, kind, value: F.struct(F.lit(name).cast("string").alias("original_attribute_name"), F.lit(kind).cast("string").alias("attribute_type_id"), F.parse_json(value).alias("value"))
+    p, a = F.to_json(F.array(F.col("p_value"))), F.col("affinity").cast("string")
+    given = F.array(typed("p", "x", F.substring(p, F.lit(2), F.length(p) - 2)), typed("", "a", F.concat(F.lit('"'), a, F.lit('"'))), typed(None, None, n.cast("string")))
+    more = F.when(n > 1, F.array(typed("p", None, F.lit('"late"')))).otherwise(F.slice(given, 1, 0))
+    return star.kg_edges(spark, sf).where("predicate in ('supplies', 'buys')").select("edge_id", F.col("edge_id").alias("pos"), F.when(turned, F.col("object")).otherwise(F.col("source")).alias("subject"), F.when(turned, F.col("source")).otherwise(F.col("object")).alias("object"), "predicate", F.concat(given, more).alias("attributes"))
+
+
+@query(f"""with e as ({_LOADED}), m as (select subject as u, object as v, edge_id as id, predicate, n, 1 - p_value as w, affinity as a from e), l as (select least(u, v) as u, greatest(u, v) as v, id, predicate, n, w, a from m),
+ r as (select *, row_number() over (partition by u, v order by id desc) as back, row_number() over (partition by u, v order by id) as front from l)
+ select 'multi' as form, u, v, id, floor(w * 1000000 + 0.5) as weight, case when n > 1 then 2 else 1 end as n_p, cast(n as varchar) as third from m
+ union all select 'full', u, v, max(id), floor(arg_max(w, id) * 1000000 + 0.5), cast(arg_max(case when n > 1 then 2 else 1 end, id) as int), arg_max(cast(n as varchar), id) from m group by u, v
+ union all select 'sum', u, v, null, floor(sum(a) * 1000 + 0.5 + 1e-7), null, null from l group by u, v
+ union all select 'mean', u, v, null, floor(sum(a * pow(0.5, back - case when front = 1 then 1 else 0 end)) * 1000 + 0.5 + 1e-7), null, null from r group by u, v
+ union all select 'max', u, v, null, floor(max(w) * 1000000 + 0.5), null, null from l group by u, v""")
+def q142_graph_forms(spark: SparkSession, sf: str) -> DataFrame:
+    edges, none = _loaded(spark, sf), F.lit(None)
+    one_less = lambda x: 1 - x
+    whole = lambda w, by, more=0.0: F.floor(F.col(w) * by + 0.5 + more).cast("double").alias("weight")
+    multi = payload.placed(edges, True, "p", 1.0, one_less)
+    n_p = F.when(F.element_at("flat", F.lit("p")).startswith("["), 2).otherwise(1).alias("n_p")
+    data = ("u", "v", "id", whole("weight", 1000000), n_p, F.element_at("flat", F.lit("attr_2")).alias("third"))
+    rows = multi.select(F.lit("multi").alias("form"), *data).union(payload.collapsed_full(multi).select(F.lit("full"), *data))
+    loose, by_p = payload.placed(edges, False, "a"), payload.placed(edges, False, "p", 1.0, one_less)
+    for form, source, by, more in (("sum", loose, 1000, 1e-7), ("mean", loose, 1000, 1e-7), ("max", by_p, 1000000, 0.0)):
+        got = payload.collapsed_weights(source, form)
+        rows = rows.union(got.select(F.lit(form), "u", "v", none.cast("string"), whole("weight", by, more), none.cast("int"), none.cast("string")))
+    return rows
