@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from kgloom import monitor_queries, pipeline_queries, plan_queries, queries as q, ranking_queries  # noqa: F401 (their queries register themselves)
+from kgloom import monitor_queries, pipeline_queries, plan_queries, queries as q, ranking_queries, store_queries  # noqa: F401 (their queries register themselves)
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
