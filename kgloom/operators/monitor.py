@@ -105,9 +105,12 @@ def orphaned(pending: DataFrame, alive: DataFrame, floors: DataFrame, now: Colum
     return own.where(idle >= F.coalesce("floor", F.lit(default)))
 
 
-def last_n(df: DataFrame, n: int, keys: list[str], *order: Column) -> DataFrame:
-    """Each group's last ``n`` rows."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+def last_n(df: DataFrame, n: int, keys: list[str], *order: Column, parts: int = 64) -> DataFrame:
+    """Each group's last ``n`` rows. A group's rows are dealt by their hash first and each part keeps its last ``n``, so one task sees at most
+    ``n`` rows of each of ``parts`` parts."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    few = df.withColumn("_p", part).withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_p").orderBy(*order))).where(F.col("_n") <= n)
+    return few.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n", "_p")
 
 
 def snapshot(backlog: DataFrame, workers: DataFrame, used: DataFrame, capacity: float) -> DataFrame:

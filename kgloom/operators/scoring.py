@@ -71,23 +71,37 @@ def noisy_or(scores: Column, base: Column) -> Column:
 
 
 def quantile_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``df`` with the share of rows at or below, as ``cume_dist``.
+    """``df`` with the share of rows at or below, as ``cume_dist``."""
+    return quantile_ranks(df, {value: name})
 
-    Equal values are counted first and the counts dealt by range; a range's values add the counts of the ranges before. Values that many
-    rows have are few and join as a broadcast.
+
+def quantile_ranks(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    """``df`` with a column for each of the values that ``named`` maps: the share of rows at or below, as ``cume_dist``.
+
+    Values compare as doubles. Equal values of all columns are counted first and the counts dealt by range of column and value, in one pass; a range's values add
+    the counts of the ranges before. Values that many rows have are few and join as a broadcast; their rows are spread over the
+    tasks of the join with the other values, where they meet nothing.
     """
-    df = kept(df)  # it is read three times
-    ranged = kept(df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_k")).repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
-    sums = ranged.groupBy("_part").agg(F.sum("_k").alias("_own"))  # a row a range
-    ahead = sums.select("_part", (F.sum("_own").over(W.orderBy("_part")) - F.col("_own")).alias("_ahead"))
-    total = ranged.agg(F.sum("_k")).first()[0] or 1
-    upto = F.col("_ahead") + F.sum("_k").over(W.partitionBy("_part").orderBy("_v"))
-    ranks = ranged.join(F.broadcast(ahead), "_part").select("_v", (upto / total).alias(name), "_k")
-    hot = ranks.where(F.col("_k") * HOT_VALUES > total).drop("_k")  # fewer than HOT_VALUES
-    rest = ranks.where(F.col("_k") * HOT_VALUES <= total).drop("_k")
-    same = lambda other: df[value].eqNullSafe(other["_v"])
-    few = df.join(F.broadcast(hot), same(hot))
-    return few.union(df.join(F.broadcast(hot), same(hot), "left_anti").join(rest, same(rest))).drop("_v")
+    df = kept(df)  # it is read twice
+    columns = list(named)
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("_n"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns))))
+    counted = df.select(cells.alias("_c")).groupBy("_c._n", "_c._v").agg(F.count("*").alias("_k"))
+    ranged = kept(counted.repartitionByRange("_n", "_v").withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_n", "_part").agg(F.sum("_k").alias("_own"))  # a row a range and column
+    ahead = sums.select("_n", "_part", (F.sum("_own").over(W.partitionBy("_n").orderBy("_part")) - F.col("_own")).alias("_ahead"))
+    total = ranged.where("_n = 0").agg(F.sum("_k")).first()[0] or 1
+    upto = F.col("_ahead") + F.sum("_k").over(W.partitionBy("_n", "_part").orderBy("_v"))
+    ranks = ranged.join(F.broadcast(ahead), ["_n", "_part"]).select("_n", "_v", (upto / total).alias("_rank"), (F.col("_k") * HOT_VALUES > total).alias("_hot"))
+    out = df
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("_n") == i)
+        hot = own.where("_hot").select(F.col("_v").alias("_w"), F.col("_rank").alias("_often"))  # fewer than HOT_VALUES
+        rest = own.where("not _hot").select(F.col("_v").alias("_w"), F.col("_rank").alias("_seldom"), F.lit(0).alias("_t"))
+        out = out.join(F.broadcast(hot), F.col(c).cast("double").eqNullSafe(F.col("_w")), "left").drop("_w")
+        spread = F.when(F.col("_often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(100_000)).cast("int"))
+        out = out.withColumn("_s", spread).join(rest, F.col(c).cast("double").eqNullSafe(F.col("_w")) & (F.col("_s") == F.col("_t")), "left")
+        out = out.withColumn(named[c], F.coalesce("_often", "_seldom")).drop("_w", "_t", "_s", "_often", "_seldom")
+    return out
 
 
 def ties_broken(df: DataFrame, key: str, rank_score: str, *order: Column) -> DataFrame:

@@ -311,9 +311,7 @@ _COMBINED = _BEST + ", m as (select result_id, (cume_dist() over (order by a) +
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    own = _best(spark, sf)
-    for k in "abc":
-        own = scoring.quantile_rank(own, k, f"rank_{k}")
+    own = scoring.quantile_ranks(_best(spark, sf), {k: f"rank_{k}" for k in "abc"})
     return own.select("result_id", ((F.col("rank_a") + F.col("rank_b") + F.col("rank_c")) / 3).alias("s")).select("result_id", F.round(F.when(F.col("s") < 0.001, F.col("s") + 0.001).otherwise(F.col("s")), 6).alias("score"))
 
 

@@ -27,6 +27,27 @@ def test_quantile_rank_is_the_share_at_or_below(spark, ranges):
     assert found == pytest.approx({i: sum(x <= v for x in low) / len(low) for i, v in enumerate(low)})
 
 
+def test_several_ranks_at_once_with_hot_values_and_nulls(spark, ranges):
+    rows = [(i, [None, 5.0, i * 37 % 101 / 4][i % 3], i % 4, None if i < 400 else i) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, a double, b int, c long")
+    found = {r.id: (r.ra, r.rb, r.rc) for r in scoring.quantile_ranks(df, {"a": "ra", "b": "rb", "c": "rc"}).collect()}
+
+    def share(k):
+        low = [float("-inf") if r[k] is None else r[k] for r in rows]
+        return [sum(x <= v for x in low) / len(low) for v in low]
+
+    want = list(zip(share(1), share(2), share(3), strict=True))
+    assert len(found) == 700 and all(found[i] == pytest.approx(want[i]) for i in range(700))
+    assert scoring.quantile_ranks(df.limit(0), {"a": "ra", "b": "rb"}).count() == 0
+
+
+def test_last_rows_of_a_hot_group(spark, ranges):
+    rows = [("hot" if i % 3 else None, i * 37 % 1000, i) for i in range(900)]
+    found = monitor.last_n(spark.createDataFrame(rows, "kind string, at int, id int"), 7, ["kind"], F.desc("at"), F.desc("id"), parts=5).collect()
+    want = [r for kind in ("hot", None) for r in sorted((r for r in rows if r[0] == kind), key=lambda r: (r[1], r[2]))[-7:]]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_ties_are_broken_in_the_first_thousand(spark, ranges):
     rows = [(i, round(0.9 - i // 7 / 2000, 6)) for i in range(1500)]
     df = spark.createDataFrame(rows, "id long, score double")
