@@ -34,7 +34,7 @@ from kgloom.llm.shingles import window_hashes, window_hashes_at
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 19
-ITEM_CHARS = 32_000_000
+ITEM_CHARS = 2_000_000
 #: Words of a text that are looked at together; neighbours share as many as the longest item has.
 STRETCH = 200_000
 _WORD = re.compile(r"\w+")
@@ -209,12 +209,12 @@ def blocks(benchmark: DataFrame, chars: int = ITEM_CHARS) -> Iterator[list[tuple
         yield [(r.item_id, r.text) for r in own.collect()]  # about ``chars`` characters
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """A row for each document and item found in it."""
+def contaminated(documents: DataFrame, benchmark: DataFrame, chars: int = ITEM_CHARS, **how) -> DataFrame:
+    """A row for each document and item found in it; the items are broadcast ``chars`` characters at a time, each part against all documents."""
     spark, docs = documents.sparkSession, id_text(documents)
     arrow = arrow_schema(SCHEMA)
     found = spark.createDataFrame([], SCHEMA)
-    for k, items in enumerate(blocks(benchmark)):
+    for k, items in enumerate(blocks(benchmark, chars)):
         shared = spark.sparkContext.broadcast(Benchmark(items, **how))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -227,9 +227,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame
     return found
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", chars: int = ITEM_CHARS, **how) -> DataFrame:
     """The rows whose text holds no benchmark item, as they are."""
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, chars):
         documents = documents.where(_clean(documents.sparkSession.sparkContext.broadcast(Benchmark(items, **how)))(F.col(text_col)))
     return documents
 

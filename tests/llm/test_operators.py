@@ -235,7 +235,9 @@ def test_benchmark_items_are_found(spark, sf, docs, empty):
             if best >= 0.8:
                 want[doc_id, item_id] = best
     assert found == pytest.approx(want)
-    clean = decontamination.without_contaminated(planted, bench)
+    chars = sum(len(x or "") for _, x in items) // 3  # the same by parts of the items
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(planted, bench, chars).collect()} == found
+    clean = decontamination.without_contaminated(planted, bench, chars=chars)
     assert {r.doc_id for r in planted.collect()} - {r.doc_id for r in clean.collect()} == {d for d, _ in want}
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
