@@ -2,6 +2,9 @@
 
 Toxic documents go, one of each group of near-duplicates stays, documents with benchmark passages go, secrets are replaced
 in the rest, and what is left is packed into sequences.
+
+A null or empty text is no toxic one, has no near-duplicates, no benchmark passage and no secrets, and is packed as its end id alone. Of repeated texts one
+stays; a repeated row counts as a document of its own. An empty table gives an empty one. Extra columns go along through all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kgloom.llm import decontamination, jaccard, packing, secrets, toxicity
-from kgloom.llm.common import stored, table
+from kgloom.llm.common import forget, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored before the next."""
+    """All stages over ``documents``, each stored before the next; what the stage before stored is then deleted, so that at most two lie in
+    the shared folder at a time."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
