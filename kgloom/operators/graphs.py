@@ -158,12 +158,15 @@ def effective_resistance(laplacian: np.ndarray, pairs: list[tuple[int, int]]) ->
     return float(np.exp(-total))
 
 
-def _matrix(g: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+def _matrix(g: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A graph's nodes, its weights and which ordered pairs have an edge; one of weight 0 is an edge like any other, so it counts as a hop."""
     names = sorted(set(g["u"]) | set(g["v"]))
     at = {n: i for i, n in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    np.add.at(a, ([at[u] for u in g["u"]], [at[v] for v in g["v"]]), g["w"].to_numpy(float))
-    return names, a
+    a, wired = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), bool)
+    ends = [at[u] for u in g["u"]], [at[v] for v in g["v"]]
+    np.add.at(a, ends, g["w"].to_numpy(float))
+    wired[ends] = True
+    return names, a, wired
 
 
 def distances(adjacent: np.ndarray) -> np.ndarray:
@@ -213,18 +216,18 @@ def _noisy_or(values: list[float]) -> float:
 
 def max_flow_score(g: pd.DataFrame) -> float:
     """Noisy-or of the flows between the pairs of nodes that are farthest apart; 1 for a node alone."""
-    names, a = _matrix(g)
+    names, a, wired = _matrix(g)
     if len(names) <= 1:
         return 1.0
-    d = distances(a > 0)
+    d = distances(wired)
     far = d.max()
     return _noisy_or([max_flow(a, i, j) for i, j in zip(*np.nonzero(d == far), strict=True) if i != j]) if far > 0 else 0.0
 
 
 def longest_path_score(g: pd.DataFrame) -> float:
     """Noisy-or over the pairs farthest apart, at L hops, of the walks ``A**L / L!`` between them."""
-    _, a = _matrix(g)
-    d = distances(a > 0)
+    _, a, wired = _matrix(g)
+    d = distances(wired)
     far = int(d.max())
     walks = np.linalg.matrix_power(a, far) / float(np.prod(np.arange(1, far + 1))) if far else np.eye(len(a))
     return _noisy_or([walks[i, j] for i, j in zip(*np.nonzero(d == far), strict=True)])
@@ -233,7 +236,7 @@ def longest_path_score(g: pd.DataFrame) -> float:
 def resistance_score(g: pd.DataFrame) -> float:
     """Effective resistances between all pairs of probes (``probe`` true at their rows) of symmetric admittances ``w``; an edge from a node to
     itself leads to ground. ``-1`` with fewer than two probes. One matrix a graph: ``resistance`` does the same over edge tables."""
-    names, a = _matrix(g)
+    names, a, _ = _matrix(g)
     loops = np.diag(a)
     a = a - np.diag(loops)
     a = a + a.T
