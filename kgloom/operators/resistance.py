@@ -1,7 +1,8 @@
 """Effective resistance in many small graphs at once, by eliminating nodes from an edge table.
 
 A result's graph has a node for each query node and one for each support node; its edges are resistors. The score is
-``exp(-sum)`` of the effective resistances between all pairs of probes. All nodes but the probes are eliminated by star-mesh
+``exp(-sum)`` of the effective resistances between all pairs of probes. Graphs of up to ``SMALL`` rows are scored after one shuffle, all of one
+size in a batch together by NumPy; larger ones over an edge table, by the same steps. All nodes but the probes are eliminated by star-mesh
 steps: a node with conductances ``g_i`` and sum ``G`` gives way to edges ``g_i * g_j / G`` between its neighbours. A round takes, in every graph
 at once, the nodes of lower degree than all neighbours that will go too, so few rounds do; each is a handful of joins
 over the edge table. A step's mesh has as many edges as a node has pairs of neighbours in its own graph.
@@ -9,14 +10,23 @@ over the edge table. A step's mesh has as many edges as a node has pairs of neig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kgloom.operators import graphs
 from kgloom.operators.checkpoints import drop, step
 
 #: An edge from a node to itself leads to this node, as a resistor to ground.
 GROUND = "\x00ground"
+#: Edges and probes of a graph that one task holds as a matrix; a larger graph stays a table.
+SMALL = 256
 
 
 def rnode_edges(edges: DataFrame, nodes: DataFrame, bindings: DataFrame, kg: DataFrame) -> DataFrame:
@@ -83,10 +93,104 @@ def resistances(edges: DataFrame, probes: DataFrame, key: str = "result_id") ->
     return out
 
 
+def _without_first(g: np.ndarray, n: int) -> np.ndarray:
+    """The symmetric conductances ``g`` (graph, node, node) without the first ``n`` nodes of each graph, by star-mesh steps; diagonals are no edges."""
+    for _ in range(n):
+        row, g = g[:, 0, 1:], g[:, 1:, 1:]
+        total = row.sum(axis=1)
+        g = g + row[:, :, None] * (row / np.where(total > 0, total, 1.0)[:, None])[:, None, :]
+    return g
+
+
+def _probe_scores(g: np.ndarray, n_probes: int, grounded: bool) -> np.ndarray:
+    """The score of each graph of one size, probes last and the ground, if there is one, first. Where probes aren't joined, the least-squares potentials of that graph count."""
+    size = g.shape[1]
+    between, total = _without_first(g, size - n_probes), np.zeros(len(g))
+    for a, b in combinations(range(n_probes), 2):
+        order = [i for i in range(n_probes) if i not in (a, b)] + [a, b]
+        with np.errstate(divide="ignore"):
+            total += 1 / _without_first(between[:, order][:, :, order], n_probes - 2)[:, 0, 1]
+    score = np.exp(-total)
+    for i in np.flatnonzero(~np.isfinite(total)):
+        whole = g[i] * (1 - np.eye(size))
+        laplacian = (np.diag(whole.sum(axis=1)) - whole)[grounded:, grounded:]  # the ground has no potential
+        score[i] = graphs.effective_resistance(laplacian, list(combinations(range(len(laplacian) - n_probes, len(laplacian)), 2)))
+    return score
+
+
+def _scored(rows: pa.Table) -> pa.RecordBatch:
+    """``key, score, large`` of the graphs in ``rows`` (key, u, v, g, probe), whose rows lie together; a large one gets no score."""
+    codes = lambda c: c.dictionary_encode().indices.to_numpy()
+    key = codes(rows.column(0).combine_chunks())
+    _, first, graph, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    n_graphs, large = len(first), count > SMALL
+    score = np.full(n_graphs, np.nan)
+    u, v = rows.column(1).combine_chunks(), rows.column(2).combine_chunks()
+    probe = rows.column(4).to_numpy()
+    looped = pc.and_(pc.equal(u, v), pc.invert(rows.column(4).combine_chunks()))
+    names = codes(pa.concat_arrays([pa.array([GROUND], u.type), u, pc.if_else(looped, pa.scalar(GROUND, u.type), v)])).astype(np.int64)[1:]  # the ground is 0
+    each, many = np.concatenate([graph, graph]), int(names.max(initial=0)) + 1
+    nodes, at = np.unique(each * many + names, return_inverse=True)
+    owner, ground, is_probe, has_edge = nodes // many, nodes % many == 0, np.zeros(len(nodes), bool), np.zeros(len(nodes), bool)
+    is_probe[at[np.concatenate([probe, probe])]] = True
+    has_edge[at[~np.concatenate([probe, probe])]] = True
+    size, probes = np.bincount(owner, minlength=n_graphs), np.bincount(owner[is_probe], minlength=n_graphs)
+    bare = np.bincount(owner[is_probe & ~has_edge], minlength=n_graphs) > 0
+    grounded = np.bincount(owner[ground], minlength=n_graphs)
+    place = np.empty(len(nodes), np.int64)  # of a node in its graph, the ground first and probes last
+    place[np.lexsort((~ground, is_probe, owner))] = np.arange(len(nodes)) - np.repeat(np.cumsum(size) - size, size)
+    a, b, w = place[at[: len(graph)]], place[at[len(graph) :]], np.where(probe, 0.0, rows.column(3).to_numpy())
+    score[probes < 2] = -1.0
+    score[bare] = 0.0
+    open_, shape = ~large & ~bare & (probes > 1), (size * (SMALL + 2) + probes) * 2 + grounded
+    for s in np.unique(shape[open_]):
+        own = np.flatnonzero(open_ & (shape == s))
+        n, p = int(size[own[0]]), int(probes[own[0]])
+        slot = np.full(n_graphs, -1)
+        slot[own] = np.arange(len(own))
+        mine = slot[graph] >= 0
+        flat = (slot[graph[mine]] * n + a[mine]) * n + b[mine]
+        half = np.bincount(flat, w[mine], len(own) * n * n).reshape(len(own), n, n)
+        score[own] = _probe_scores(half + half.transpose(0, 2, 1), p, bool(grounded[own[0]]))
+    asked = large | (probes > 0)
+    return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first[asked])).combine_chunks(), pa.array(score[asked], mask=large[asked]), pa.array(large[asked])], names=["key", "score", "large"])
+
+
 def scores(edges: DataFrame, probes: DataFrame, key: str = "result_id") -> DataFrame:
     """``key, score`` of each graph with a probe: ``exp(-sum of the resistances between its probes)``; 0 if a probe has no edge, -1 with fewer
     than two probes. Where probes aren't joined by a way, the least-squares potentials of the whole graph stand in for the resistance;
-    those graphs alone are solved as matrices."""
+    those graphs alone are solved as matrices. Rows without a key or a node are passed over."""
+    kind = dict(edges.dtypes)[key]
+    whole = "key is not null and u is not null and v is not null"
+    wired = edges.where("g > 0").select(F.col(key).alias("key"), "u", "v", F.col("g").cast("double").alias("g"), F.lit(False).alias("probe"))
+    ends = probes.select(F.col(key).cast(kind).alias("key"), F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0.0).alias("g"), F.lit(True).alias("probe"))
+    rows = wired.unionByName(ends).where(whole)
+    arrow = pa.schema([("key", to_arrow_type(rows.schema["key"].dataType)), ("score", pa.float64()), ("large", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of a graph that the next batch may go on with; of one that is large already, no more than show that
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch])
+            own = own if held is None else pa.concat_tables([held, own])
+            last = pc.index(own.column(0), own.column(0)[-1]).as_py()
+            if last:
+                yield _scored(own.slice(0, last)).cast(arrow)
+            held = own.slice(last, SMALL + 1)
+        if held is not None:
+            yield _scored(held).cast(arrow)
+
+    solved = step(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"key {kind}, score double, large boolean"), "scores")
+    out = solved.where("not large").select(F.col("key").alias(key), "score")
+    beyond = solved.where("large").select(F.col("key").alias(key))
+    if beyond.take(1):
+        out = out.unionByName(table_scores(edges.join(beyond, key, "left_semi"), probes.join(beyond, key, "left_semi"), key).select(key, "score"))
+    return out
+
+
+def table_scores(edges: DataFrame, probes: DataFrame, key: str = "result_id") -> DataFrame:
+    """The same of graphs of any size over their edge table, in rounds of joins."""
     own = probes.select(key, "node").distinct()
     found = resistances(edges, own, key)
     wired = edges.where("g > 0").select(key, F.explode(F.array("u", "v")).alias("node")).distinct()

@@ -19,9 +19,10 @@ def q133_resistance_three_probes(spark: SparkSession, sf: str) -> DataFrame:
     """Probes c, s and t; t hangs on s by a bridge, and a node on c leads nowhere."""
     own = _chains(spark, sf).select("result_id", "u", "v", (F.col("w") + 0.1).alias("g"))
     ids = own.select("result_id").distinct()
-    more = [ids.select("result_id", F.lit("s").alias("u"), F.lit("t").alias("v"), (F.col("result_id") % 7 + 1).cast("double").alias("g")), ids.select("result_id", F.lit("c"), F.lit("z"), F.lit(3.0))]
+    tail = F.struct(F.lit("s").alias("u"), F.lit("t").alias("v"), (F.col("result_id") % 7 + 1).cast("double").alias("g"))
+    more = ids.select("result_id", F.explode(F.array(tail, F.struct(F.lit("c").alias("u"), F.lit("z").alias("v"), F.lit(3.0).alias("g")))).alias("e")).select("result_id", "e.*")
     probes = ids.select("result_id", F.explode(F.array(*(F.lit(x) for x in "cst"))).alias("node"))
-    return resistance.scores(own.union(more[0]).union(more[1]), probes).select("result_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
+    return resistance.scores(own.union(more), probes).select("result_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 def _closure(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
