@@ -6,7 +6,7 @@ callback; ``expected`` callbacks are awaited for ``wait`` seconds after ``sent_a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -35,9 +35,21 @@ def map_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(_PROVIDER)
 
 
+Entries = dict[tuple[str, str], tuple[float, int, str]]  # by answer and edge: the best score, and the earliest time and callback
+
+
+def _met(edges: Entries, rows: Iterable[tuple[str, str, float, int, str]]) -> Entries:
+    """``edges`` with more rows ``answer, kedge_id, score, at, callback_id``."""
+    for answer, edge, score, at, callback in rows:
+        before = edges.get((answer, edge))
+        edges[answer, edge] = (score, at, callback) if before is None else (max(before[0], score), *min(before[1:], (at, callback)))
+    return edges
+
+
 class SerialMerge(StatefulProcessor):
-    """State of a response: the callbacks met, an entry for each answer and edge with the best score and the earliest place, and how
-    many callbacks it awaits. Its rows leave when all are back or when the timer fires; until then a closed response stays, so
+    """State of a response: the callbacks met, the entries of each batch that it took (one for each answer and edge, with the best score and the
+    earliest place), and how many callbacks it awaits. Both are lists, so a batch is read and written at once, not row by row; a response that is
+    whole within its first batch writes none. Its rows leave when all are back or when the timer fires; until then a closed response stays, so
     that what comes twice or late is passed over. The timer empties the state."""
 
     def __init__(self, wait: int):
@@ -45,46 +57,49 @@ class SerialMerge(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.met = handle.getMapState("met", "callback_id string", "rows int")
-        self.edges = handle.getMapState("edges", "answer string, kedge_id string", "score double, at long, callback_id string")
+        self.met = handle.getListState("met", "callback_id string")
+        self.edges = handle.getListState("edges", "answer string, kedge_id string, score double, at long, callback_id string")
         self.open = handle.getValueState("open", "expected long, returned long, closed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        response = int(key[0])
-        batch = pd.concat(list(rows)).sort_values(["at", "callback_id"], kind="stable")
-        expected, returned, closed = self.open.get() if self.open.exists() else (None, 0, False)
-        if expected is None:
-            expected = int(batch["expected"].iloc[0])
-            self.handle.registerTimer(int(batch["deadline"].iloc[0]) + 1)
+        batch = pd.concat(list(rows))
+        at, callbacks = batch["at"].astype("datetime64[us]").astype("int64").tolist(), batch["callback_id"].tolist()
+        opened = self.open.get()
+        if opened is None:
+            first = min(range(len(at)), key=lambda i: (at[i], callbacks[i]))
+            expected, returned, closed = int(batch["expected"].iloc[first]), 0, False
+            self.handle.registerTimer(int(batch["deadline"].iloc[first]) + 1)
+        else:
+            expected, returned, closed = opened
+        if closed:
+            return
         # a callback's rows come together; one that was met in an earlier batch is a repetition
-        fresh = {c for c in batch["callback_id"].unique() if not closed and not self.met.containsKey((c,))}
-        for r in batch[batch["callback_id"].isin(fresh)].itertuples():
-            place, own = (r.answer, r.kedge_id), (float(r.score), int(r.at.timestamp() * 1_000_000), r.callback_id)
-            if self.edges.containsKey(place):
-                before = self.edges.getValue(place)
-                own = (max(before[0], own[0]), *min(tuple(before[1:]), own[1:]))
-            self.edges.updateValue(place, own)
-        for c in fresh:
-            self.met.updateValue((c,), (1,))
-        returned += len(fresh)
-        done = not closed and returned >= expected
+        known = {c for (c,) in self.met.get()} if returned else set()
+        fresh = set(callbacks) - known
+        own = zip(batch["answer"].tolist(), batch["kedge_id"].tolist(), batch["score"].astype(float).tolist(), at, callbacks, strict=True)
+        edges = _met({}, (r for r in own if r[4] in fresh) if known else own)
+        done = returned + len(fresh) >= expected
         if done:
-            yield self._rows(response, "complete", returned)
-            self.edges.clear()
-            self.met.clear()
-        self.open.update((expected, returned, closed or done))
+            yield self._rows(int(key[0]), "complete", returned + len(fresh), _met(edges, self.edges.get()) if returned else edges)
+            if returned:
+                self.edges.clear()
+                self.met.clear()
+        elif fresh:
+            self.edges.appendList([(*place, *entry) for place, entry in edges.items()])
+            self.met.appendList([(c,) for c in fresh])
+        self.open.update((expected, returned + len(fresh), done))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        expected, returned, closed = self.open.get()
+        _, returned, closed = self.open.get()
         if not closed:
-            yield self._rows(int(key[0]), "timeout", returned)
-        self.edges.clear()
-        self.met.clear()
+            yield self._rows(int(key[0]), "timeout", returned, _met({}, self.edges.get()))
+            self.edges.clear()
+            self.met.clear()
         self.open.clear()
 
-    def _rows(self, response: int, outcome: str, returned: int) -> pd.DataFrame:
+    def _rows(self, response: int, outcome: str, returned: int, edges: Entries) -> pd.DataFrame:
         by: dict[str, list] = {}
-        for (answer, edge), (score, at, callback) in self.edges.iterator():
+        for (answer, edge), (score, at, callback) in edges.items():
             by.setdefault(answer, []).append((edge, score, (at, callback, edge)))
         rows = [(response, outcome, returned, a, sorted(e for e, _, _ in own), max(s for _, s, _ in own), min(p for _, _, p in own)[2]) for a, own in sorted(by.items())]
         return pd.DataFrame(rows, columns=["response_id", "outcome", "returned", "answer", "edges", "score", "first_edge"])
