@@ -78,6 +78,11 @@ def placed(edges: DataFrame, directed: bool = True, weight_name: str | None = No
     return flat.withColumn("weight", own)
 
 
+def undirected(rows: DataFrame) -> DataFrame:
+    """``placed`` rows of a directed graph as those of the undirected one."""
+    return rows.withColumns({"u": F.least("u", "v"), "v": F.greatest("u", "v")})
+
+
 def collapsed_full(rows: DataFrame) -> DataFrame:
     """``u, v, id, predicate, flat, weight``: one edge for each pair of ends. The last edge's data stay; where it names no predicate, the last
     one that was named does. Maxima are merged before the shuffle, so a pair with many edges is no hot key."""
