@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of ``lineitem`` that a task joins or counts, so that its memory doesn't grow with the table; a small table still gives every core some.
+TASK_ROWS, LEAST_ROWS = 200_000, 20_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions keep each at ``TASK_ROWS`` rows or fewer on average."""
+    return max(1, -(-rows // TASK_ROWS), min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+
+
 def _id(prefix: str, col: str) -> F.Column:
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
@@ -32,10 +40,12 @@ def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edge_id, subject, object, predicate, source, num_publications, p_value, affinity``."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_discount", "l_tax")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = parts_for(spark, lines.count())  # from the files' footers
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
 
     def counted(df: DataFrame, key: str, short: str, prefix: str, predicate: str) -> DataFrame:
-        grouped = df.groupBy(key, "l_partkey").agg(F.count("*").alias("n"), F.round(F.avg("l_discount") + 0.0, 6).alias("p"), F.round(F.avg("l_tax") * 10 + 0.0, 6).alias("a"))
+        # most pairs have one line, so counting before the shuffle would only fill the memory of the tasks that read
+        grouped = df.repartition(n, key, "l_partkey").groupBy(key, "l_partkey").agg(F.count("*").alias("n"), F.round(F.avg("l_discount") + 0.0, 6).alias("p"), F.round(F.avg("l_tax") * 10 + 0.0, 6).alias("a"))
         edge = F.concat(F.lit(f"{short}|"), F.col(key).cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
         return grouped.select(edge.alias("edge_id"), _id(prefix, key).alias("subject"), _id("PART:", "l_partkey").alias("object"), F.lit(predicate).alias("predicate"), F.concat(F.lit("src"), (F.col(key) % 5).cast("string")).alias("source"), F.col("n").alias("num_publications"), F.col("p").alias("p_value"), F.col("a").alias("affinity"))
 
@@ -44,7 +54,7 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(short), F.col(key).cast("string")), _id(prefix, key), _id(to, other), F.lit(predicate), F.lit("src0"), F.lit(1).cast("long"), none, none)
 
     supplies = counted(lines, "l_suppkey", "sup", "SUPP:", "supplies")
-    buys = counted(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "buy", "CUST:", "buys")
+    buys = counted(lines.repartition(n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "buy", "CUST:", "buys")
     rest = [fixed("supplier", "s_suppkey", "s_nationkey", "loc|s", "SUPP:", "NATION:", "located_in"), fixed("customer", "c_custkey", "c_nationkey", "loc|c", "CUST:", "NATION:", "located_in"), fixed("nation", "n_nationkey", "n_regionkey", "prt|", "NATION:", "REGION:", "part_of")]
     out = supplies.union(buys)
     for df in rest:
@@ -60,7 +70,8 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``result_id, pos, sn, on_, kedge_id, score``: a result an order, an analysis a line."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    n = parts_for(spark, lines.count())
+    lines, orders = lines.repartition(n, "l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey").repartition(n, "o_orderkey")
     order = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     edge = F.concat(F.lit("sup|"), F.col("l_suppkey").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
