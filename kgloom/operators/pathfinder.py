@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.checkpoints import kept
+
+#: Neighbours of the source that are looked up by broadcast, some 50 MB; beyond them both sides are shuffled.
+FEW = 1_000_000
+
 
 def builder(source: str, target: str, predicates: list[str] | None = None, category: str | None = None) -> dict:
     """The query graph of three edges between two different pinned ids; the nodes between may have one category."""
@@ -26,12 +31,18 @@ def steps(edges: DataFrame) -> DataFrame:
 
 def linearized(edges: DataFrame, nodes: DataFrame, source: str, target: str) -> DataFrame:
     """``n1, n2, text`` of every path of exactly four different nodes from ``source`` to ``target``, in either direction of the edges. The pinned ends
-    prune the first and the last step, so the middle one alone joins whole edges."""
+    prune the first and the last step, so the middle one alone meets whole edges, in one pass that shuffles none of them while the source has no
+    more than ``FEW`` neighbours."""
     one = lambda df, *names: steps(df).toDF(*names)
     at = lambda x: (F.col("subject") == x) | (F.col("object") == x)
-    first = one(edges.where(at(source)), "n0", "n1", "p1").where(F.col("n0") == source)
+    first = kept(one(edges.where(at(source)), "n0", "n1", "p1").where(F.col("n0") == source))
     last = one(edges.where(at(target)), "n2", "n3", "p3").where(F.col("n3") == target)
-    middle = edges.join(first.select(F.col("n1").alias("subject")), "subject", "left_semi").unionByName(edges.join(first.select(F.col("n1").alias("object")), "object", "left_semi"))
+    near, ends = first.select("n1"), edges.select("subject", "object", "predicate")
+    small = near.count() <= FEW
+    for end in ("subject", "object"):
+        marks = near.select(F.col("n1").alias(end), F.lit(True).alias(f"{end}_near"))
+        ends = ends.join(F.broadcast(marks) if small else marks, end, "left")
+    middle = ends.where("subject_near or object_near")
     out = one(middle.select("subject", "object", "predicate").distinct(), "n1", "n2", "p2").join(first, "n1").join(last, "n2")
     out = out.where((F.col("n1") != F.col("n2")) & ~F.col("n1").isin(source, target) & ~F.col("n2").isin(source, target))
     for k in range(4):
@@ -51,8 +62,6 @@ def ranked(df: DataFrame, *order: F.Column | str) -> DataFrame:
     """``df`` with ``rank`` in the order: sorted by range, each range adds the counts of those before it."""
     from pyspark.sql import Window as W
 
-    from kgloom.operators.checkpoints import kept
-
     dealt = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
     ahead = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_ahead"))

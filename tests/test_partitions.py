@@ -2,7 +2,7 @@
 
 import pytest
 
-from kgloom.operators import overlay
+from kgloom.operators import overlay, pathfinder
 from kgloom.sources import star
 
 
@@ -28,3 +28,15 @@ def test_pairs_of_results_keep_the_parts(spark, sf, monkeypatch):
     members = star.analyses(spark, sf).select("result_id", star.F.col("sn").alias("node_id"))
     plan = overlay.pairs(members)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan and "hashpartitioning(result_id" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_paths_meet_whole_edges_in_one_pass(spark, monkeypatch, few):
+    monkeypatch.setattr(pathfinder, "FEW", few)
+    rows = [("a", "x", "p"), ("y", "a", "q"), ("x", "z", "p"), ("z", "y", "r"), ("z", "b", "p"), ("x", "y", "p"), ("y", "b", "s"), (None, "x", "p"), ("a", "b", "p"), ("u", "v", "p")]
+    edges = spark.createDataFrame([(f"e{i}", *r) for i, r in enumerate(rows)], "edge_id string, subject string, object string, predicate string")
+    nodes = spark.createDataFrame([(n, n.upper()) for n in "abuvxyz"], "node_id string, name string")
+    found = pathfinder.linearized(edges, nodes, "a", "b")
+    assert sorted((r.n1, r.n2) for r in found.collect()) == [("x", "y"), ("x", "z"), ("y", "z")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and ("strategy=broadcast" in plan) == (few > 0)
