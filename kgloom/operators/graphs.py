@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators.checkpoints import kept, step
+from kgloom.operators.checkpoints import drop, kept, step
 
 
 def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,22 +117,35 @@ def ranker_closure(bound: DataFrame, edges: DataFrame, supports: DataFrame, aux_
     are reached, but don't lead on, and a bound one among them gives no nodes. Unknown edges and support graphs are passed
     over, though a bound edge stays as it is. Each edge counts once a result, so cycles end.
     """
-    known = edges.select("edge_id", "described")
-    steps = step(supports.join(known.where("described").select("edge_id"), "edge_id", "left_semi").join(aux_edges.withColumnRenamed("edge_id", "to"), "aux_id")
-                 .join(known.select(F.col("edge_id").alias("to"), F.col("described").alias("leads")), "to").select("edge_id", "to", "leads").distinct(), "steps")
-    start = bound.select("result_id", "edge_id").distinct()
-    found = frontier = step(start.join(known.where("described").select("edge_id"), "edge_id", "left_semi").select("result_id", "edge_id", F.lit(True).alias("leads")), "walk")
+    ends = edges.select("edge_id", F.col("subject"), F.col("object"), "described", F.lit(True).alias("known"))
+    to = supports.select("edge_id", F.col("aux_id").alias("to")).distinct()
+    key = {c: t for c, t in bound.dtypes + aux_edges.dtypes if c in ("result_id", "aux_id")}
+    own = bound.select("result_id", F.lit(None).cast(key["aux_id"]).alias("aux_id"), "edge_id").unionByName(aux_edges.select(F.lit(None).cast(key["result_id"]).alias("result_id"), "aux_id", "edge_id"))
+    # one join an edge for all that results and support graphs hold; the walk is over support graphs, which are fewer than their edges
+    met = own.join(ends, "edge_id", "left").join(to, "edge_id", "left")
+    placed = step(met.select("result_id", "aux_id", "edge_id", "subject", "object", "described", "known", F.when(F.col("described"), F.col("to")).alias("to")), "placed")
+    links = step(placed.where("aux_id is not null and to is not null").select("aux_id", "to").distinct(), "links")
+    found = frontier = step(placed.where("result_id is not null and to is not null").select("result_id", F.col("to").alias("aux_id")).distinct(), "walk")
+    parts = [found]
     for depth in count(1):
-        new = frontier.where("leads").join(steps, "edge_id").select("result_id", F.col("to").alias("edge_id"), steps["leads"]).distinct()
-        frontier = step(new.join(found, ["result_id", "edge_id"], "left_anti"), "walk")
+        new = frontier.join(links, "aux_id").select("result_id", F.col("to").alias("aux_id")).distinct()
+        frontier = step(new.join(found, ["result_id", "aux_id"], "left_anti"), "walk")
+        parts.append(frontier)
         if not frontier.take(1):
             break
         found = found.unionByName(frontier)
         if depth % 10 == 0:  # a plan of few parts, however deep the chain
             found = step(found, "walk")
-    ends = found.join(edges, "edge_id").select("result_id", F.explode(F.array("subject", "object")).alias("node_id"))
-    named = found.where("leads").join(supports, "edge_id").select("result_id", "aux_id").distinct().join(aux_nodes, "aux_id").select("result_id", "node_id")
-    return found.select("result_id", "edge_id").unionByName(start).distinct(), ends.unionByName(named).where("node_id is not null").distinct()
+            drop(*(p for p in parts if p is not frontier))
+            parts = [frontier, found]
+    none = F.lit(None).cast("string")
+    first = placed.where("result_id is not null").select("result_id", "edge_id", *(F.when(F.col("described"), F.col(c)).alias(c) for c in ("subject", "object")))
+    held = placed.where("aux_id is not null and known").select("aux_id", "edge_id", "subject", "object").unionByName(aux_nodes.select("aux_id", none.alias("edge_id"), F.col("node_id").alias("subject"), none.alias("object")))
+    rows = first.unionByName(found.join(held, "aux_id").select(first.columns)).repartition("result_id")  # edges and nodes are told apart and counted once in these partitions
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in (("edge", "edge_id"), ("node", "subject"), ("node", "object")))))
+    whole = step(rows.select("result_id", each.alias("e")).select("result_id", "e.kind", "e.id").where("id is not null").distinct(), "closure")
+    drop(placed, links, *parts)
+    return tuple(whole.where(F.col("kind") == kind).select("result_id", F.col("id").alias(f"{kind}_id")) for kind in ("edge", "node"))
 
 
 def pruned(nodes: DataFrame, edges: DataFrame, bound_nodes: DataFrame, reached: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import graphs, neighbourhood, resistance, results, scoring
+from kgloom.operators.checkpoints import drop, step
 from kgloom.pipeline_queries import _stream
 from kgloom.queries import _CHAIN, _SQL, _chains, query
 from kgloom.sources import star
@@ -25,12 +26,12 @@ def q133_resistance_three_probes(spark: SparkSession, sf: str) -> DataFrame:
     return resistance.scores(own.union(more), probes).select("result_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
-def _closure(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    a = star.analyses(spark, sf)
+def _closure(spark: SparkSession, sf: str, a: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    a = a or star.analyses(spark, sf)
     aux = lambda c: F.concat(F.lit("AUX:"), c.cast("string"))
     edges = star.supplies(spark, sf).select("edge_id", "subject", "object", (F.coalesce("affinity", F.lit(0.0)) >= 0.2).alias("described"))
-    supports = a.where("pos = 1 and result_id % 3 > 0").select(F.col("kedge_id").alias("edge_id"), aux(F.col("result_id") + 1).alias("aux_id")).distinct()
-    aux_edges = a.select(aux(F.col("result_id")).alias("aux_id"), F.col("kedge_id").alias("edge_id")).distinct()
+    supports = a.where("pos = 1 and result_id % 3 > 0").select(F.col("kedge_id").alias("edge_id"), aux(F.col("result_id") + 1).alias("aux_id"))
+    aux_edges = a.select(aux(F.col("result_id")).alias("aux_id"), F.col("kedge_id").alias("edge_id"))
     aux_nodes = star.table(spark, sf, "orders").select(aux(F.col("o_orderkey")).alias("aux_id"), F.concat(F.lit("CUST:"), F.col("o_custkey").cast("string")).alias("node_id"))
     return a.select("result_id", F.col("kedge_id").alias("edge_id")), edges, supports, aux_edges, aux_nodes
 
@@ -38,11 +39,11 @@ def _closure(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 @query()
 def q134_result_graph_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each result's graph with all that its support graphs reach, scored between its two query nodes. Tested against matrices."""
-    a = star.analyses(spark, sf)
-    edges, nodes = graphs.ranker_closure(*_closure(spark, sf))
+    a = step(star.analyses(spark, sf).select("result_id", "pos", "sn", "on_", "kedge_id"), "analyses")  # read by the closure and the bindings
+    edges, nodes = graphs.ranker_closure(*_closure(spark, sf, a))
     bindings = a.select("result_id", F.explode(F.create_map(F.lit("sn"), "sn", F.lit("on"), "on_")).alias("qnode", "knode"))
     weight = scoring.admittance(F.lit(scoring.BASE_WEIGHT)) + scoring.admittance(scoring.sigmoid(F.col("num_publications"), "unknown", "publications"))
-    kg = star.supplies(spark, sf).select("edge_id", "subject", "object", weight.alias("admittance"))
+    kg = step(star.supplies(spark, sf).select("edge_id", "subject", "object", weight.alias("admittance")), "kg")
     asked = a.select("result_id", F.lit("on").alias("u"), F.lit("sn").alias("v")).distinct()
     wired = resistance.conductances(resistance.rnode_edges(edges, nodes, bindings, kg), kg.select("edge_id", "admittance"), asked, scoring.QUERY_EDGE)
     probes = asked.select("result_id", F.explode(F.array("u", "v")).alias("node"))
@@ -51,7 +52,9 @@ def q134_result_graph_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q135_ranker_closure(spark: SparkSession, sf: str) -> DataFrame:
-    edges, nodes = graphs.ranker_closure(*_closure(spark, sf))
+    a = step(star.analyses(spark, sf).select("result_id", "pos", "kedge_id"), "analyses")
+    edges, nodes = graphs.ranker_closure(*_closure(spark, sf, a))
+    drop(a)
     return edges.select("result_id", F.lit("edge").alias("kind"), F.col("edge_id").alias("id")).unionByName(nodes.select("result_id", F.lit("node").alias("kind"), F.col("node_id").alias("id")))
 
 

@@ -114,6 +114,23 @@ def test_closure_of_a_ranker(spark):
     assert (e[5], n[5]) == ({"end"}, {"Z"})
 
 
+def test_a_closure_walks_over_support_graphs_not_over_their_edges(spark, monkeypatch):
+    sizes, step = [], graphs.step
+
+    def counted(df, name):
+        out = step(df, name)
+        if name == "walk":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "step", counted)
+    many = [f"m{i}" for i in range(50)]
+    edges = [(e, "A", "B", True) for e in ["e", *many]]
+    found, nodes = _closed(spark, [(1, "e"), (2, "e")], edges, [("e", "x"), ("m7", "y")], [("x", m) for m in many] + [("y", "e")], [("y", "Q")])
+    assert found == {i: {"e", *many} for i in (1, 2)} and nodes == {i: {"A", "B", "Q"} for i in (1, 2)}
+    assert max(sizes) <= 2
+
+
 def test_scores_of_result_graphs_equal_matrices(spark, sf):
     found = {r.result_id: r.score for r in ranking_queries.q134_result_graph_scores(spark, sf).collect()}
     bound, edges, supports, aux_edges, aux_nodes = ([tuple(r) for r in df.collect()] for df in ranking_queries._closure(spark, sf))
