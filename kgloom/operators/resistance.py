@@ -35,10 +35,11 @@ def rnode_edges(edges: DataFrame, nodes: DataFrame, bindings: DataFrame, kg: Dat
     A bound node stands for every query node that binds it (``bindings``: result_id, qnode, knode), another node (``nodes``:
     result_id, node_id) for itself, as ``support_node_`` and its id. Edges that ``kg`` lacks, and ends without a node, give none.
     """
-    bound = bindings.select("result_id", F.col("knode").alias("node_id"), F.col("qnode").alias("rnode")).distinct()
-    others = nodes.select("result_id", "node_id").distinct().join(bound, ["result_id", "node_id"], "left_anti")
+    # one shuffle by result for each table; the joins and counts of a result's pairs stay in it
+    bound = bindings.select("result_id", F.col("knode").alias("node_id"), F.col("qnode").alias("rnode")).repartition("result_id").distinct()
+    others = nodes.select("result_id", "node_id").repartition("result_id").distinct().join(bound, ["result_id", "node_id"], "left_anti")
     places = bound.unionByName(others.withColumn("rnode", F.concat(F.lit("support_node_"), "node_id")))
-    known = edges.select("result_id", "edge_id").distinct().join(kg.select("edge_id", "subject", "object"), "edge_id")
+    known = edges.select("result_id", "edge_id").join(kg.select("edge_id", "subject", "object"), "edge_id").repartition("result_id")
     u, v = (places.select("result_id", F.col("node_id").alias(end), F.col("rnode").alias(name)) for end, name in (("subject", "u"), ("object", "v")))
     return known.join(u, ["result_id", "subject"]).join(v, ["result_id", "object"]).select("result_id", "u", "v", "edge_id").distinct()
 

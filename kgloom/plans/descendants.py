@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from kgloom.operators.checkpoints import drop, step
 
-_NONE = "array<string>"
+_NONE, _MAP = "array<string>", "map<string,string>"
+#: Rows of a table of shapes or pinned queries that go to all tasks, counted before.
+SMALL = 50_000
 
 
 def bare(name: Column) -> Column:
@@ -70,48 +72,62 @@ def looked_up(queries: DataFrame, edges: DataFrame, categories: DataFrame, pairs
     ``queries``: ``query_id, predicates, subject_categories, object_categories`` (arrays), ``qualifiers`` (map), ``subject_id, object_id``.
     ``edges``: ``edge_id, subject, object, predicate, qualifiers`` (map). ``categories``: ``node_id, category``. ``pairs``: ``closure``.
 
-    Edges are first met by predicate: a query asks for predicates and those below, both lists small. A pinned id is part of the same join
-    condition. Categories and qualifiers then only shrink what was met.
+    What a query asks of qualifiers and of an end's categories is one of few shapes, and so is what an edge or a node has. Shapes are matched
+    with each other first, so that an edge met by predicate and pinned id is taken or left at once and only answers are shuffled again.
     """
-    q = queries.select("query_id", _list("predicates").alias("predicates"), _list("subject_categories").alias("sc"), _list("object_categories").alias("oc"), F.coalesce("qualifiers", F.create_map().cast("map<string,string>")).alias("asked"), "subject_id", "object_id")
-    wanted = step(_below(q.select("query_id", F.explode("predicates").alias("above")), pairs, "query_id", "predicate").join(q.select("query_id", "subject_id", "object_id", "asked"), "query_id"), "wanted")
-    e = edges.select("edge_id", "subject", "object", bare("predicate").alias("predicate"), F.coalesce("qualifiers", F.create_map().cast("map<string,string>")).alias("has")).where("subject is not null and object is not null")
-    pinned_s, pinned_o, free = wanted.where("subject_id is not null"), wanted.where("subject_id is null and object_id is not null"), wanted.where("subject_id is null and object_id is null")
-    by_subject = e.join(pinned_s, (e["predicate"] == pinned_s["predicate"]) & (F.col("subject") == F.col("subject_id"))).where("object_id is null or object_id = object")
-    by_object = e.join(pinned_o, (e["predicate"] == pinned_o["predicate"]) & (F.col("object") == F.col("object_id")))
-    unpinned = spread(e, free, ["predicate"])  # one predicate may have a third of all edges
-    cols = ["query_id", "edge_id", "subject", "object", "asked", "has"]
-    met = step(by_subject.select(cols).union(by_object.select(cols)).union(unpinned.select(cols)), "met")
-    met = _after(met, _qualified(met, pairs))
-    for end, own in (("subject", "sc"), ("object", "oc")):
-        asked = q.select("query_id", F.explode(own).alias("above"))
-        allowed = _below(asked, pairs, "query_id", "category")
-        # the ends that each query allows; queries that allow any end pass
-        lists = q.where(F.size(own) > 0).select("query_id").distinct().withColumn("limited", F.lit(True))
-        marked = met.join(lists, "query_id", "left")
-        free_end = marked.where("limited is null").drop("limited")
-        limited = marked.where("limited").drop("limited")
-        ends = limited.select("query_id", F.col(end).alias("node_id")).distinct()
-        fit = ends.join(categories.select("node_id", bare("category").alias("category")).distinct(), "node_id").join(allowed, ["query_id", "category"]).select("query_id", F.col("node_id").alias(end)).distinct()
-        met = _after(met, free_end.unionByName(limited.join(fit, ["query_id", end]).select(free_end.columns)))
-    drop(wanted)
-    return met.select("query_id", "edge_id").distinct()
-
-
-def _after(before: DataFrame, now: DataFrame) -> DataFrame:
-    """``now`` stored, which reads ``before`` more than once, and ``before`` deleted."""
-    stored = step(now, "met")
-    drop(before)
-    return stored
-
-
-def _qualified(met: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows whose edge has every qualifier that the query asks for, with a value at or below the asked one."""
-    cols = met.columns
-    asks = met.where(F.size("asked") > 0)
-    one = asks.select("query_id", "edge_id", "has", F.size("asked").alias("n"), F.explode("asked").alias("key", "value"))
-    one = one.select("query_id", "edge_id", "n", "key", bare("value").alias("above"), bare(F.element_at("has", F.col("key"))).alias("below")).where("below is not null")
-    known = pairs.select("above", "below", F.lit(True).alias("under"))
-    ok = one.join(known, ["above", "below"], "left").where("under or above = below")
-    full = ok.groupBy("query_id", "edge_id").agg(F.count_distinct("key").alias("found"), F.first("n").alias("n")).where("found = n").select("query_id", "edge_id")
-    return met.where(F.size("asked") == 0).union(asks.join(full, ["query_id", "edge_id"], "left_semi").select(cols))
+    q = queries.select("query_id", _list("predicates").alias("predicates"), _list("subject_categories").alias("sc"), _list("object_categories").alias("oc"), F.coalesce("qualifiers", F.create_map().cast(_MAP)).alias("asked"), "subject_id", "object_id")
+    wanted = _below(q.select("query_id", F.explode("predicates").alias("above")), pairs, "query_id", "predicate").join(q, "query_id")
+    wanted = step(wanted.select("query_id", "predicate", "subject_id", "object_id", _text("sc").alias("sc"), _text("oc").alias("oc"), _shape("asked").alias("asked")), "wanted")
+    kinds = categories.where("node_id is not null and category is not null").groupBy("node_id").agg(F.sort_array(F.collect_set(bare("category"))).alias("all"))
+    kinds = step(kinds.select("node_id", _text("all").alias("kind")), "kinds")  # a node's own few categories
+    e = edges.select("edge_id", "subject", "object", bare("predicate").alias("predicate"), _shape(F.coalesce("qualifiers", F.create_map().cast(_MAP))).alias("has")).where("subject is not null and object is not null")
+    e = step(_kind(e, kinds, "object", "object_kind"), "edges")
+
+    one = lambda df, c: df.select(F.col(c).alias("shape")).distinct()
+    lists = one(wanted, "sc").union(one(wanted, "oc")).distinct().select("shape", F.explode(F.from_json("shape", _NONE)).alias("above"))
+    theirs = one(kinds, "kind").select(F.col("shape").alias("kind"), F.explode(F.from_json("shape", _NONE)).alias("category"))
+    fit = step(_below(lists, pairs, "shape", "category").join(theirs, "category").select("shape", "kind").distinct(), "fit")
+    asks = one(wanted, "asked").select("shape", F.from_json("shape", f"array<{_NONE}>").alias("each"))
+    asks = asks.select("shape", F.size("each").alias("n"), F.explode("each").alias("x")).select("shape", "n", F.col("x")[0].alias("key"), bare(F.col("x")[1]).alias("above"))
+    under = asks.join(pairs, "above", "left").select("shape", "n", "key", F.explode(F.array_distinct(F.array(F.col("above"), F.coalesce("below", "above")))).alias("value")).distinct()
+    has = one(e, "has").select(F.col("shape").alias("has"), F.explode(F.from_json("shape", f"array<{_NONE}>")).alias("x")).select("has", F.col("x")[0].alias("key"), bare(F.col("x")[1]).alias("value"))
+    full = under.join(has, ["key", "value"]).groupBy("shape", "has").agg(F.count_distinct("key").alias("found"), F.first("n").alias("n")).where("found = n")
+    full = step(full.select("shape", "has"), "full")
+
+    # a pinned end is looked at where the query is, the other where the edge is
+    by_s, by_o, free = wanted.where("subject_id is not null"), wanted.where("subject_id is null and object_id is not null"), wanted.where("subject_id is null and object_id is null")
+    by_s = _fitting(_kind(by_s, kinds, "subject_id", "kind"), fit, "sc", "kind").drop("kind")
+    met = e.join(by_s.withColumnRenamed("subject_id", "subject"), ["predicate", "subject"]).where("object_id is null or object_id = object").select("query_id", "edge_id", "asked", "has", "oc", "object_kind")
+    got = _fitting(_fitting(met, full, "asked", "has"), fit, "oc", "object_kind").select("query_id", "edge_id")
+    few = by_o.count() <= SMALL
+    by_o = by_o.drop("subject_id").withColumnRenamed("object_id", "object")
+    rest = e.join(F.broadcast(by_o) if few else by_o, ["predicate", "object"])
+    spare = e.join(F.broadcast(free), ["predicate"]) if free.count() <= SMALL else spread(e, free, ["predicate"])  # one predicate may have a third of all edges
+    cols = ["query_id", "edge_id", "subject", "asked", "has", "sc", "oc", "object_kind"]
+    rest = _fitting(_fitting(rest.select(cols).union(spare.select(cols)), full, "asked", "has"), fit, "oc", "object_kind")
+    rest = _fitting(_kind(rest.select("query_id", "edge_id", "subject", "sc"), kinds, "subject", "kind"), fit, "sc", "kind")
+    out = step(got.union(rest.select("query_id", "edge_id")).distinct(), "met")
+    drop(wanted, kinds, e, fit, full)
+    return out
+
+
+def _text(col: str) -> Column:
+    """A list of names as one text, the same for any order."""
+    return F.to_json(F.array_sort(col))
+
+
+def _shape(col: str | Column) -> Column:
+    """A map as one text of its sorted keys and values."""
+    return F.to_json(F.array_sort(F.transform(F.map_entries(col), lambda x: F.array(x["key"], x["value"]))))
+
+
+def _kind(df: DataFrame, kinds: DataFrame, end: str, name: str) -> DataFrame:
+    """``df`` with the kind of the node at ``end``, null for one without categories."""
+    return df.join(kinds.select(F.col("node_id").alias(end), F.col("kind").alias(name)), end, "left")
+
+
+def _fitting(df: DataFrame, fit: DataFrame, asked: str, has: str) -> DataFrame:
+    """The rows that ask for nothing or whose shapes ``asked`` and ``has`` fit; ``fit`` (two columns) goes to all tasks if it is counted as small."""
+    known = fit.toDF(asked, has).withColumn("_fits", F.lit(True))
+    known = F.broadcast(known) if fit.count() <= SMALL else known
+    return df.join(known, [asked, has], "left").where((F.col(asked) == "[]") | F.col("_fits")).drop("_fits")

@@ -96,3 +96,24 @@ def test_templates_are_read_and_filled_in(spark, tmp_path):
     nodes = {(r.query_id, r.n, r.node): r.ids for r in templates.graph_nodes(rows).collect()}
     assert nodes == {("q1", n, k): v for n in (1, 2) for k, v in (('k"1\\', ["X:$target_id"]), ("$source", None))} | {("q2", n, k): v for n in (1, 2) for k, v in (("s", None), ("o", ["Y:2"]))}
     assert {(r.subject, r.object, tuple(r.predicates)) for r in templates.graph_edges(rows).collect()} == {('k"1\\', "$source", ("p",)), ("s", "o", ("p",))}
+
+
+def test_a_lookup_stores_answers_not_all_edges_met(spark, monkeypatch):
+    from kgloom.plans import descendants as d
+
+    sizes, step = [], d.step
+
+    def counted(df, name):
+        out = step(df, name)
+        if name == "met":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(d, "step", counted)
+    schema = "query_id string, predicates array<string>, subject_categories array<string>, object_categories array<string>, qualifiers map<string,string>, subject_id string, object_id string"
+    queries = spark.createDataFrame([("q", ["related"], None, ["thing"], {"aspect": "odd"}, "A", None), ("r", ["treats"], ["thing"], None, None, None, "n4"), ("s", ["treats"], ["place"], None, None, None, "n4"), ("t", ["treats"], None, None, {"aspect": None}, "A", None)], schema)
+    edges = spark.createDataFrame([(f"e{i}", "A", f"n{i}", "treats", {"aspect": "one" if i == 4 else "two"}) for i in range(30)], "edge_id string, subject string, object string, predicate string, qualifiers map<string,string>")
+    categories = spark.createDataFrame([("A", "drug"), ("n4", "drug"), ("n5", "drug")], "node_id string, category string")
+    family = spark.createDataFrame([("drug", "thing"), ("treats", "related"), ("one", "odd")], "child string, parent string")
+    found = {tuple(r) for r in d.looked_up(queries, edges, categories, d.closure(family)).collect()}
+    assert found == {("q", "e4"), ("r", "e4")} and sizes and max(sizes) <= 2
