@@ -17,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from kgloom.operators.checkpoints import kept
 
+#: Groups of consumers that share one state and timer: a call of Python for each of them and trigger, not for each consumer.
+SHARDS = 256
 CHANGES = "worker string, consumer string, at long, change string"
 ALERTS = "channel string, closed_at long, n int, workers string, message string"
 
@@ -62,53 +64,61 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-class _Consumer(_InOrder):
-    """State of a consumer: its last beat while it is up, and beats that the watermark hasn't passed."""
+class _Consumers(_InOrder):
+    """State of a shard of consumers: the last beat of each that is up, and beats that the watermark hasn't passed."""
 
-    row, waiting_schema = ("at", "stopping"), "at long, stopping boolean"
+    row, waiting_schema = ("at", "worker", "consumer", "stopping"), "at long, worker string, consumer string, stopping boolean"
 
     def __init__(self, silent: int):
         self.silent = silent
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "at long")
+        self.up = handle.getListState("up", "worker string, consumer string, at long")
 
     def advance(self, key: tuple, due: list[tuple], passed: int) -> pd.DataFrame:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for at, stopping in due:
-            if last is not None and at - last > self.silent:
-                out.append((last + self.silent, "silent"))
-                last = None
-            if stopping:
-                if last is not None:
-                    out.append((at, "stopped"))
-                last = None
-            else:
-                if last is None:
-                    out.append((at, "up"))
-                last = at
-        if last is not None and last + self.silent < passed:
-            out.append((last + self.silent, "silent"))
-            last = None
-        self._last = last
-        self.last.clear() if last is None else self.last.update((last,))
-        return pd.DataFrame([(*key, at, change) for at, change in out], columns=["worker", "consumer", "at", "change"])
+        names = ["at", "worker", "consumer", "stopping", "held"]
+        held = [(r[2], r[0], r[1], False, True) for r in self.up.get()] if self.up.exists() else []
+        if not held and not due:
+            self._next = None
+            return pd.DataFrame(columns=["worker", "consumer", "at", "change"])
+        rows = pd.DataFrame([*held, *((*r, False) for r in due)], columns=names).astype({"at": "int64", "stopping": bool, "held": bool})
+        rows = rows.assign(fresh=~rows["held"]).sort_values(["worker", "consumer", "at", "fresh", "stopping"], ignore_index=True)
+        own = rows.groupby(["worker", "consumer"], sort=False)
+        first, last = own.cumcount() == 0, own.cumcount(ascending=False) == 0
+        gap = rows["at"].diff().fillna(0)
+        broken = gap > self.silent
+        # the row before, if it is of the same consumer, is a beat that was up until this one or until it fell silent
+        beaten = ~first & ~rows["stopping"].shift(fill_value=False)
+        beats, ended = rows[~rows["stopping"]], last & ~rows["stopping"]
+        up = rows[rows["fresh"] & ~rows["stopping"] & (~beaten | broken)].assign(change="up")
+        stopped = rows[rows["stopping"] & beaten & ~broken].assign(change="stopped")
+        over = (broken & ~first).shift(-1, fill_value=False) & ~last | ended & (rows["at"] + self.silent < passed)
+        silent = beats[over[beats.index]]
+        silent = silent.assign(at=silent["at"] + self.silent, change="silent")
+        left = rows.loc[ended & ~over, ["worker", "consumer", "at"]]
+        self._next = None if left.empty else int(left["at"].min()) + self.silent
+        if len(left):
+            self.up.put([(w, c, int(at)) for w, c, at in left.itertuples(index=False)])
+        elif held:
+            self.up.clear()
+        return pd.concat([up, stopped, silent])[["worker", "consumer", "at", "change"]]
 
     def next_timer(self) -> int | None:
-        return None if self._last is None else self._last + self.silent
+        return self._next
 
 
 def consumer_changes(beats: DataFrame, silent: float = 15, late: str = "10 seconds") -> DataFrame:
     """``worker, consumer, at, change`` from heartbeats ``worker, consumer, ts, stopping``: ``up`` with a first beat, ``stopped`` with a beat that
     says so, ``silent`` once no beat has come for ``silent`` seconds, by a timer. A stop of a consumer that isn't up is nothing; null
     ``stopping`` is false; rows without worker, consumer or time are no beats; repeated beats change nothing; of beats at the same time
-    a stop comes last. State is a time a consumer and the beats within the watermark. Start it inside ``merging.map_state``.
+    a stop comes last. Consumers are taken a shard at a time, ``SHARDS`` of them for any number of consumers; state is a time a consumer that is
+    up and the beats within the watermark, and a trigger rewrites what the shards that it touches hold. Start it inside ``merging.map_state``.
     """
     own = beats.select(F.col("worker").cast("string").alias("worker"), F.col("consumer").cast("string").alias("consumer"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("stopping", F.lit(False)).alias("stopping"))
     own = own.dropna(subset=["worker", "consumer", "ts"]).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    return own.groupBy("worker", "consumer").transformWithStateInPandas(statefulProcessor=_Consumer(int(silent * 1e6)), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    own = own.withColumn("shard", F.pmod(F.xxhash64("worker", "consumer"), F.lit(SHARDS)).cast("int"))
+    return own.groupBy("shard").transformWithStateInPandas(statefulProcessor=_Consumers(int(silent * 1e6)), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
 
 
 def worker_states(changes: DataFrame, marker: float = 120) -> DataFrame:
@@ -155,6 +165,8 @@ class _Down(_InOrder):
 
     def advance(self, key: tuple, due: list[tuple], passed: int) -> pd.DataFrame:
         held = {k[0]: (v[0], v[1]) for k, v in self.buffer.iterator()}
+        known = {tuple(k): v[0] for k, v in self.reported.iterator()}  # read once, and what changes is written once
+        before = dict(known)
         since = min((s for _, s in held.values()), default=None)
         out = []
 
@@ -166,9 +178,9 @@ class _Down(_InOrder):
             held.clear()
 
         for at, worker, kind in due:
-            if self.reported.containsKey((worker, kind)) and at - self.reported.getValue((worker, kind))[0] < self.cooldown:
+            if (worker, kind) in known and at - known[worker, kind] < self.cooldown:
                 continue
-            self.reported.updateValue((worker, kind), (at,))
+            known[worker, kind] = at
             if held and at - since > self.debounce:
                 close()
             since = since if held else at
@@ -178,8 +190,12 @@ class _Down(_InOrder):
         self.buffer.clear()
         for worker, (kind, _) in held.items():
             self.buffer.updateValue((worker,), (kind, since))
-        for name in [k for k, v in self.reported.iterator() if v[0] + self.cooldown < passed]:
-            self.reported.removeKey(name)
+        for name, at in known.items():
+            if at + self.cooldown >= passed:
+                if before.get(name) != at:
+                    self.reported.updateValue(name, (at,))
+            elif name in before:
+                self.reported.removeKey(name)
         self._closes = since + self.debounce if held else None
         return pd.DataFrame(out, columns=["channel", "closed_at", "n", "workers", "message"])
 

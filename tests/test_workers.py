@@ -120,3 +120,33 @@ def test_ends_within_a_moment_are_one_alert(spark, tmp_path):
         ("x", 705, 1, "w1:crashed", "w1 stopped without a word"),
         ("y", 106, 1, "w1:scaled_down", "w1 was scaled to nothing"),
     ]
+
+
+def test_one_call_takes_all_consumers_of_a_shard():
+    class Kept:
+        def __init__(self):
+            self.rows = None
+
+        def exists(self):
+            return self.rows is not None
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = None
+
+    own = workers._Consumers(10)
+    own.up = Kept()
+    own.up.put([("w", "a", 5), ("w", "c", 1)])
+    due = [(20, "w", "a", False), (21, "w", "b", False), (21, "w", "b", True), (22, "v", "a", True), (22, "v", "b", False), (23, "v", "b", False), (40, "v", "b", True)]
+    found = own.advance((0,), due, 50)
+    assert sorted(found.itertuples(index=False, name=None)) == [
+        ("v", "b", 22, "up"), ("v", "b", 33, "silent"), ("w", "a", 15, "silent"), ("w", "a", 20, "up"), ("w", "a", 30, "silent"), ("w", "b", 21, "stopped"), ("w", "b", 21, "up"), ("w", "c", 11, "silent"),
+    ]
+    assert not own.up.exists() and own.next_timer() is None
+    own.advance((0,), [(60, "w", "d", False), (65, "w", "d", False)], 70)
+    assert own.up.rows == [("w", "d", 65)] and own.next_timer() == 75
