@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from kgloom.operators.checkpoints import drop, kept, step
 
 
+#: Ranks above 0 that go to all tasks, counted before each step.
+FEW = 100_000
+
+
 def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("subject").alias("node_id")).union(edges.select("object"))
     return nodes.join(ends, "node_id", "left_semi")
@@ -67,25 +71,34 @@ def pagerank(edges: DataFrame, targets: DataFrame, iterations: int = 10, alpha:
     """Personalized PageRank after ``iterations`` steps over distinct directed pairs of ``subject, object``.
 
     Mass jumps to ``targets`` (``node_id``), as that of nodes without out-edges does; to all nodes evenly if no target is a node. A step is a
-    join and an aggregation over a checkpointed table of nodes.
+    join and an aggregation over the stored links of nodes whose rank isn't 0.
     """
-    pairs = kept(edges.select("subject", "object").distinct())
+    pairs = step(edges.select("subject", "object").distinct(), "pairs")
     out = pairs.groupBy("subject").agg(F.count("*").alias("degree"))
-    links = kept(pairs.join(out, "subject"))  # each step reads it
     nodes = pairs.select(F.col("subject").alias("node_id")).union(pairs.select("object")).distinct()
-    jump = targets.select("node_id").distinct().join(nodes, "node_id", "left_semi")
+    base = step(nodes.join(targets.select("node_id").distinct().withColumn("goal", F.lit(True)), "node_id", "left").join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left"), "nodes")
+    links = step(pairs.join(out, "subject"), "links")  # each step reads it
+    drop(pairs)
+    jump = base.where("goal")
     n = jump.count()
     if not n:
-        jump, n = nodes, nodes.count()
-    base = nodes.join(jump.withColumn("p", F.lit(1.0 / max(1, n))), "node_id", "left").fillna(0.0, ["p"]).join(out.select(F.col("subject").alias("node_id"), "degree"), "node_id", "left")
-    base = kept(base)
-    rank = base.select("node_id", F.col("p").alias("r"))
+        jump, n = base, base.count()
+    jump = step(jump.select("node_id", F.lit(1.0 / max(1, n)).alias("p")), "jump")
+    dead = base.where("degree is null").select("node_id")
+    rank = step(jump.select("node_id", F.col("p").alias("r")), "ranks")
     for _ in range(iterations):
-        lost = base.where("degree is null").join(rank, "node_id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-        moved = links.join(rank, links["subject"] == rank["node_id"]).groupBy(F.col("object").alias("node_id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
-        rank = base.join(moved, "node_id", "left").join(F.broadcast(lost)).select("node_id", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
-        rank = kept(rank)  # it is read twice in the next step
-    return rank
+        # a node of rank 0 gives nothing; few ranks go to all tasks, so that the links stay where they are
+        few = rank.count() <= FEW
+        own = F.broadcast(rank) if few else rank
+        lost = dead.join(own, "node_id").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
+        moved = links.join(own, links["subject"] == own["node_id"]).groupBy(F.col("object").alias("node_id")).agg(F.sum(F.col("r") / F.col("degree")).alias("got"))
+        got, p = F.coalesce("got", F.lit(0.0)), F.coalesce("p", F.lit(0.0))
+        new = moved.join(jump, "node_id", "full").join(F.broadcast(lost)).select("node_id", (alpha * (got + F.col("lost") * p) + (1 - alpha) * p).alias("r"))
+        new = step(new.where("r <> 0"), "ranks")  # it is read again in the next step
+        drop(rank)
+        rank = new
+    drop(links, jump)
+    return base.select("node_id").join(rank, "node_id", "left").fillna(0.0, ["r"])
 
 
 def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame) -> DataFrame:

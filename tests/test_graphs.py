@@ -75,3 +75,22 @@ def test_edges_of_weight_0_are_hops():
     assert graphs.max_flow_score(g) == 0.0
     assert graphs.longest_path_score(g) == 0.0
     assert graphs.max_flow_score(g.assign(w=[0.2, 0.1])) == pytest.approx(0.1)
+
+
+def test_few_ranks_leave_the_links_where_they_are(spark, monkeypatch):
+    sizes, step = [], graphs.step
+
+    def counted(df, name):
+        out = step(df, name)
+        if name == "ranks":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "step", counted)
+    edges = spark.createDataFrame([("A", "B"), ("B", "C")] + [(f"x{i}", f"y{i}") for i in range(40)], "subject string, object string")
+    both = []
+    for few in (graphs.FEW, 0):
+        monkeypatch.setattr(graphs, "FEW", few)
+        both.append({r.node_id: r.r for r in graphs.pagerank(edges, spark.createDataFrame([("A",)], "node_id string"), 3).collect()})
+    assert both[0] == both[1] and len(both[0]) == 83 and both[0]["x1"] == 0.0 and max(sizes) <= 3
+    assert abs(sum(both[0].values()) - 1.0) < 1e-12
