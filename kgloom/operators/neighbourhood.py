@@ -15,6 +15,12 @@ from kgloom.operators.checkpoints import drop, step
 
 #: Out-links of a node that one task joins; a node with more has its rank sent to several.
 HUB = 50_000
+#: Rows that go to all tasks, counted first.
+FEW = 500_000
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else df
 
 
 def personal_ranks(links: DataFrame, targets: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, hub: int = HUB) -> DataFrame:
@@ -22,40 +28,75 @@ def personal_ranks(links: DataFrame, targets: DataFrame, alpha: float = 0.85, to
     spread evenly over those of its targets that are nodes, or over all nodes if none is.
 
     Ranks start even. A query whose ranks moved by less than ``tolerance`` times its nodes in sum has converged and takes no part in later
-    steps; one that hasn't after ``most`` steps keeps the ranks it has. A step is a join and an aggregation.
+    steps; one that hasn't after ``most`` steps keeps the ranks it has.
+
+    A node's rank is ``alpha * got + p * f``: what its links got it, and its share p of the query's jumps f. What links get from jumps is p summed over
+    them once, so a step goes over the links of inner nodes alone, which have links in and out; the mass of nodes without out-links is what others
+    leave of 1. Without a tolerance only inner nodes are ranked in each step, and all in the last.
     """
     pairs = step(links.select("query", "subject", "object").where("query is not null and subject is not null and object is not null").distinct(), "links")
-    out = pairs.groupBy("query", "subject").agg(F.count("*").alias("degree"))
-    nodes = pairs.select("query", F.col("subject").alias("node_id")).union(pairs.select("query", "object")).distinct()
-    goal = targets.select("query", "node_id").distinct().join(nodes, ["query", "node_id"], "left_semi").withColumn("goal", F.lit(1))
-    base = nodes.join(goal, ["query", "node_id"], "left").join(out.withColumnRenamed("subject", "node_id"), ["query", "node_id"], "left")
-    sizes = base.groupBy("query").agg(F.count("*").alias("size"), F.count("goal").alias("goals"))
-    jump = F.when(F.col("goals") == 0, 1 / F.col("size")).when(F.col("goal") == 1, 1 / F.col("goals")).otherwise(0.0)
-    shards = (F.coalesce(F.floor(F.col("degree") / hub), F.lit(0)) + 1).cast("int")
-    base = step(base.join(sizes, "query").select("query", "node_id", "degree", "size", jump.alias("p"), shards.alias("shards")), "nodes")
-    salted = pairs.join(base.select("query", F.col("node_id").alias("subject"), "shards"), ["query", "subject"])
-    salted = step(salted.select("query", F.col("subject").alias("node_id"), "object", F.pmod(F.xxhash64("object"), F.col("shards")).cast("int").alias("shard")), "salted")
-    rank, open_, done, queries = step(base.select("query", "node_id", (1 / F.col("size")).alias("r")), "ranks"), None, [], None
-    for _ in range(most):
-        going = rank if open_ is None else rank.join(open_, "query", "left_semi")
-        held = base.join(going.select("query", "node_id", "r"), ["query", "node_id"])
-        lost = held.where("degree is null").groupBy("query").agg(F.sum("r").alias("lost"))
-        sent = held.where("degree is not null").select("query", "node_id", (F.col("r") / F.col("degree")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-        got = salted.join(sent, ["query", "node_id", "shard"]).groupBy("query", F.col("object").alias("node_id")).agg(F.sum("part").alias("got"))
-        new = held.join(got, ["query", "node_id"], "left").join(lost, "query", "left")
-        moved = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - alpha) * F.col("p")
-        new = step(new.select("query", "node_id", "size", F.col("r").alias("before"), moved.alias("r")), "ranks")
-        drop(rank, *([open_] if open_ else []))
-        error = F.sum(F.abs(F.col("r") - F.col("before")))
-        still = step(new.groupBy("query").agg(error.alias("error"), F.first("size").alias("size")).where(F.col("error") >= F.col("size") * tolerance).select("query"), "open")
-        left = still.count()
-        if left != queries:  # a first step, or queries have converged
-            done.append(step(new.join(still, "query", "left_anti").select("query", "node_id", "r"), "converged"))
-        rank, open_, queries = new, still, left
-        if not left:
+    goals = targets.select("query", "node_id").distinct().withColumn("goal", F.lit(1))
+    shards = (F.floor(F.col("degree") / hub) + 1).cast("int")
+    givers = pairs.groupBy("query", F.col("subject").alias("node_id")).agg(F.count("*").alias("degree")).join(goals, ["query", "node_id"], "left")
+    givers = step(givers.select("query", "node_id", "degree", shards.alias("shards"), F.coalesce("goal", F.lit(0)).alias("goal")), "givers")
+    of = _few(givers.withColumnRenamed("node_id", "subject"), givers.count())
+    met = pairs.join(of, ["query", "subject"]).groupBy("query", F.col("object").alias("node_id")).agg(F.sum(1 / F.col("degree")).alias("even"), F.sum(F.col("goal") / F.col("degree")).alias("aimed"))
+    base = met.join(givers.select("query", "node_id", "degree", "shards"), ["query", "node_id"], "full").join(goals, ["query", "node_id"], "left")
+    base = step(base, "base")
+    asked = base.groupBy("query").agg(F.count("*").alias("size"), F.count("goal").alias("goals"), F.count("degree").alias("live"), F.count(F.when(F.col("degree").isNotNull(), F.col("goal"))).alias("live_goals"))
+    aims = F.col("goals") > 0
+    jumps = F.when(aims, F.col("live_goals") / F.col("goals")).otherwise(F.col("live") / F.col("size"))
+    asked = step(asked.select("query", "size", "goals", jumps.alias("live_p"), (alpha * (1 - F.col("live") / F.col("size")) + 1 - alpha).alias("f")), "queries")
+    n_asked = asked.count()
+    p = F.when(aims, F.coalesce("goal", F.lit(0)) / F.col("goals")).otherwise(1 / F.col("size"))
+    share = F.when(aims, F.col("aimed") / F.col("goals")).otherwise(F.col("even") / F.col("size"))
+    inner = F.col("degree").isNotNull() & F.col("even").isNotNull()
+    nodes = base.join(_few(asked, n_asked), "query")
+    nodes = nodes.select("query", "node_id", "size", "degree", "shards", inner.alias("inner"), p.alias("p"), F.coalesce(share, F.lit(0.0)).alias("share"), (F.coalesce("even", F.lit(0.0)) / F.col("size")).alias("got"), (1 / F.col("size")).alias("r"))
+    nodes = step(nodes, "nodes")
+    drop(base, givers)
+    if most < 1:
+        drop(pairs, asked)
+        return nodes.select("query", "node_id", "r")
+    senders = nodes.where("inner").select("query", F.col("node_id").alias("subject"), "shards")
+    inward = pairs.join(_few(senders, senders.count()), ["query", "subject"])
+    inward = step(inward.select("query", F.col("subject").alias("node_id"), "object", F.pmod(F.xxhash64("object"), F.col("shards")).cast("int").alias("shard")), "inward")
+    n_inward, done, queries = inward.count(), [], None
+    drop(pairs)
+    whole = tolerance > 0  # the ranks of all nodes tell whether a query has converged
+    state = nodes if whole or most == 1 else step(nodes.where("inner"), "ranks")
+    for k in range(1, most + 1):
+        own = state.join(_few(asked.select("query", "f"), n_asked), "query").withColumn("now", alpha * F.col("got") + F.col("p") * F.col("f"))
+        open_ = None
+        if whole:
+            ranks = step(own.select("query", "node_id", F.col("now").alias("r"), F.abs(F.col("now") - F.col("r")).alias("moved"), "size"), "moved")
+            open_ = step(ranks.groupBy("query").agg(F.sum("moved").alias("error"), F.first("size").alias("size")).where(F.col("error") >= F.col("size") * tolerance).select("query"), "open")
+            left = open_.count()
+            if left != queries:  # a first step, or queries have converged
+                done.append(step(ranks.join(open_, "query", "left_anti").select("query", "node_id", "r"), "converged"))
+            queries = left
+            if k == most or not left:
+                out = ranks.join(open_, "query", "left_semi").select("query", "node_id", "r")
+                break
+        elif k == most:
+            out = step(own.select("query", "node_id", F.col("now").alias("r")), "ranked")
             break
-    drop(pairs, base, salted)
-    out = rank.select("query", "node_id", "r") if open_ is None else rank.join(open_, "query", "left_semi").select("query", "node_id", "r")
+        sent = state.where("inner").select("query", "node_id", (F.col("got") / F.col("degree")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        moved = inward.join(_few(sent, n_inward), ["query", "node_id", "shard"]).groupBy("query", F.col("object").alias("node_id")).agg(F.sum("part").alias("more"))
+        target = own if whole else nodes.join(_few(asked.select("query", "f"), n_asked), "query")
+        if open_ is not None:
+            target = target.join(open_, "query", "left_semi")
+        elif k + 1 < most:
+            target = target.where("inner")
+        before = F.col("now" if whole else "r").alias("r")
+        new = target.join(_few(moved, n_inward), ["query", "node_id"], "left").select("query", "node_id", "size", "degree", "shards", "inner", "p", "share", (F.col("f") * F.col("share") + alpha * F.coalesce("more", F.lit(0.0))).alias("got"), before)
+        new = step(new, "ranks")
+        held = state.where("inner").groupBy("query").agg(F.sum("got").alias("held"))
+        lost = 1 - alpha * F.coalesce("held", F.lit(0.0)) - F.col("f") * F.col("live_p")
+        after = step(asked.join(held, "query", "left").select("query", "size", "goals", "live_p", (alpha * F.greatest(lost, F.lit(0.0)) + 1 - alpha).alias("f")), "queries")
+        drop(*([state] if state is not nodes else []), asked, *([ranks, open_] if whole else []))
+        state, asked = new, after
+    drop(inward, asked, state, nodes)
     for d in done:
         out = out.unionByName(d)
     return out
@@ -74,11 +115,13 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, without: Sequence[str], p
     """
     used = frontier = starts.select("query", "node_id").distinct()
     nodes, kept_edges = None, None
+    # each step reads them
+    own_edges = step(edges.where(allowed(F.col("subject"), F.col("object"), F.col("predicate"), without, prefix)).select("edge_id", "subject", "object"), "allowed")
     for hop in range(1, hops + 1):
         frontier = step(frontier, "frontier")
-        ends = [edges.join(frontier.withColumnRenamed("node_id", end), end).select("query", "edge_id", "subject", "object", "predicate") for end in ("subject", "object")]
-        near = ends[0].union(ends[1]).where(allowed(F.col("subject"), F.col("object"), F.col("predicate"), without, prefix)).drop("predicate").distinct()
-        near = step(near, "near")
+        at_end = _few(frontier, frontier.count())
+        ends = [own_edges.join(at_end.withColumnRenamed("node_id", end), end).select("query", "edge_id", "subject", "object") for end in ("subject", "object")]
+        near = step(ends[0].union(ends[1]), "near")  # an edge may come by both ends: links and kept edges are made distinct
         ranks = personal_ranks(near, frontier, tolerance=tolerance, most=most)
         order = W.partitionBy("query").orderBy(F.desc(F.round("r", 12)), "node_id")
         own = ranks.where(~F.col("node_id").startswith(prefix)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
@@ -90,4 +133,5 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, without: Sequence[str], p
         nodes, kept_edges = (own, found) if nodes is None else (nodes.unionByName(own), kept_edges.unionByName(found))
         frontier = own.select("query", "node_id").join(used, ["query", "node_id"], "left_anti")
         used = used.unionByName(frontier)
+    drop(own_edges)
     return nodes, kept_edges

@@ -213,6 +213,28 @@ def test_ranks_of_many_queries_at_once(spark, monkeypatch):
     assert going == [{q for q in links if steps[q] > k + 1} for k in range(max(steps.values()))]
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_step_ranks_inner_nodes_alone(spark, monkeypatch, few):
+    """Nodes without links in or without links out follow from the others."""
+    own = [(f"root{k}", f"in{k % 3}") for k in range(30)] + [("in0", "in1"), ("in1", "in0"), ("in1", "in2"), ("root1", "end9")] + [(f"in{k % 3}", f"end{k}") for k in range(12)]
+    targets = {"a": ["root3", "in2", "end4"], "b": []}
+    rows, real, ranked = [(q, *e) for q in targets for e in own + own[:5]], neighbourhood.step, []
+
+    def step(df, name):
+        out = real(df, name)
+        if name == "ranks":
+            ranked.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbourhood, "step", step)
+    monkeypatch.setattr(neighbourhood, "FEW", few)
+    goal = spark.createDataFrame([(q, x) for q, t in targets.items() for x in t], "query string, node_id string")
+    found = neighbourhood.personal_ranks(spark.createDataFrame(rows, "query string, subject string, object string"), goal, tolerance=0.0, most=4, hub=2)
+    got = {(r.query, r.node_id): r.r for r in found.collect()}
+    assert got == pytest.approx({(q, x): r for q, t in targets.items() for x, r in _ranked(own, t, 0.0, 4)[0].items()}, abs=1e-12)
+    assert ranked == [6, 6, 6, len(got)]  # three inner nodes a query, and all in the last step
+
+
 def test_pagerank_without_targets_is_even(spark):
     edges = spark.createDataFrame([("A", "B")], "subject string, object string")
     r = {x.node_id: x.r for x in graphs.pagerank(edges, spark.createDataFrame([], "node_id string"), 12).collect()}
@@ -232,6 +254,20 @@ def test_neighbourhoods_grow_by_rank(spark):
     assert found.where("query = 'b' and hop = 1").count() == 30  # all touch M:7
 
 
+def test_edges_are_made_once_for_all_steps(spark):
+    rows, made = [(f"e{k}", f"M:{k}", f"M:{k + 1}", "has") for k in range(6)], spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    kind = "edge_id string, subject string, object string, predicate string"
+    nodes, _ = neighbourhood.neighbourhood(spark.createDataFrame(rows, kind).mapInArrow(count, kind), spark.createDataFrame([("a", "M:1")], "query string, node_id string"), ["none"], "HP:", tolerance=0.0, most=2)
+    assert {r.node_id for r in nodes.where("hop = 2").collect()} == {"M:0", "M:1", "M:2", "M:3"}
+    assert made.value == len(rows)
+
+
 def _one_by_one(rows, most):
     left = sorted(set(rows))
     while True:
