@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ``lineitem`` that a task joins or counts, so that its memory doesn't grow with the table; a small table still gives every core some.
 TASK_ROWS, LEAST_ROWS = 200_000, 20_000
+#: Rows that go to all tasks, counted first.
+FEW = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,48 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def named_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edge_id, subject_name, object_name`` of the edges of ``kg_edges`` whose ends are both nodes, a row for each two nodes of their ids.
+
+    Names are joined by the tables' keys before ids are made: customers' to orders, which are fewer than lines, and parts' where lines are
+    made distinct, so that a line is shuffled once or twice and no id ever.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    n = parts_for(spark, lines.count())
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    m = parts_for(spark, orders.count())
+
+    def names(name: str, key: str, col: str, parts: int) -> DataFrame:
+        return table(spark, sf_dir, name).select(key, F.struct(F.col(col).alias("name")).alias("of")).repartition(parts, key).groupBy(key).agg(F.collect_list("of").alias("names"))
+
+    def edge(id_: F.Column, subject: F.Column, object_: F.Column) -> list[F.Column]:
+        return [id_.alias("edge_id"), subject.alias("subject_name"), object_.alias("object_name")]
+
+    def pair(short: str, key: str) -> F.Column:
+        return F.concat(F.lit(f"{short}|"), F.col(key).cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(n, "p_partkey")
+    suppliers, customers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_name"), names("customer", "c_custkey", "c_name", m)
+    few = suppliers.count() <= FEW
+    suppliers = F.broadcast(suppliers) if few else suppliers.repartition(n, "key")
+    by_supplier = lambda df, key: (df if few else df.repartition(n, key)).join(suppliers, F.col(key) == F.col("key"))
+    supplied = lines.select("l_suppkey", "l_partkey").repartition(n, "l_partkey").distinct().join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    out = by_supplier(supplied, "l_suppkey").select(*edge(pair("sup", "l_suppkey"), F.col("s_name"), F.col("p_name")))
+    ordered = orders.repartition(m, "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "names").repartition(n, "o_orderkey")
+    bought = lines.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").join(ordered, F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = bought.select("o_custkey", "l_partkey", "names").repartition(n, "l_partkey").dropDuplicates(["o_custkey", "l_partkey"]).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    out = out.union(bought.withColumn("of", F.explode("names")).select(*edge(pair("buy", "o_custkey"), F.col("of.name"), F.col("p_name"))))
+    # 25 nations and 5 regions
+    nation, region = (F.broadcast(table(spark, sf_dir, name)) for name in ("nation", "region"))
+    nations = nation.select(F.col("n_nationkey").alias("at"), F.col("n_name").alias("place"))
+    placed = by_supplier(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").join(nations, F.col("s_nationkey") == F.col("at"))
+    out = out.union(placed.select(*edge(_id("loc|s", "s_suppkey"), F.col("s_name"), F.col("place"))))
+    placed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey").repartition(m, "key").join(customers, F.col("key") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("at"))
+    out = out.union(placed.withColumn("of", F.explode("names")).select(*edge(_id("loc|c", "c_custkey"), F.col("of.name"), F.col("place"))))
+    placed = nation.select("n_nationkey", "n_regionkey").join(nations, F.col("n_nationkey") == F.col("at")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return out.union(placed.select(*edge(_id("prt|", "n_nationkey"), F.col("place"), F.col("r_name"))))
+
+
 def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplies edges alone; the filter on the predicate prunes the other branches."""
     return kg_edges(spark, sf_dir).where("predicate = 'supplies'")
