@@ -57,12 +57,16 @@ def support_graphs(analyses: DataFrame) -> DataFrame:
     return own.groupBy("aux_id").agg(F.array_sort(F.collect_set("kedge_id")).alias("edges"))
 
 
-def result_graph(edge_bindings: DataFrame, node_bindings: DataFrame, edges: DataFrame) -> DataFrame:
-    """``result_id, pos, subject_q, object_q, kedge_id``: each bound edge between all query nodes that bind its ends in that result."""
-    ends = edges.select(F.col("edge_id").alias("kedge_id"), "subject", "object")
-    bound = node_bindings.select("result_id", "qnode", "knode").distinct()
-    s, o = bound.toDF("result_id", "subject_q", "subject"), bound.toDF("result_id", "object_q", "object")
-    return edge_bindings.join(ends, "kedge_id").join(s, ["result_id", "subject"]).join(o, ["result_id", "object"]).select("result_id", "pos", "subject_q", "object_q", "kedge_id").distinct()
+def result_graph(edge_bindings: DataFrame, node_bindings: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """``result_id, pos, subject_q, object_q, kedge_id``: each bound edge between all query nodes that bind its ends in that result. Joins
+    are made in ``parts`` partitions; a caller counts them, so that a task's memory doesn't grow with the tables."""
+    by = lambda df, *keys: df.repartition(parts, *keys) if parts else df
+    ends = by(edges.select(F.col("edge_id").alias("kedge_id"), "subject", "object"), "kedge_id")
+    bound = node_bindings.select("result_id", "qnode", "knode")
+    s, o = (by(bound.toDF("result_id", f"{end}_q", end), "result_id", end).distinct() for end in ("subject", "object"))
+    met = by(by(edge_bindings, "kedge_id").join(ends, "kedge_id"), "result_id", "subject").join(s, ["result_id", "subject"])
+    met = by(met.select("result_id", "pos", "kedge_id", "subject_q", "object"), "result_id", "object").join(o, ["result_id", "object"])
+    return by(met.select("result_id", "pos", "subject_q", "object_q", "kedge_id"), "result_id", "kedge_id").distinct()
 
 
 def probes(edges: DataFrame, key: str = "result_id") -> DataFrame:

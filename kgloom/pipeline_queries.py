@@ -158,7 +158,8 @@ def _result_edges(spark: SparkSession, sf: str) -> DataFrame:
 def q91_rnode_expansion(spark: SparkSession, sf: str) -> DataFrame:
     a = star.analyses(spark, sf)
     bindings = a.select("result_id", F.explode(F.create_map(F.lit("sn"), "sn", F.lit("on"), "on_")).alias("qnode", "knode"))
-    return response.result_graph(a.select("result_id", "pos", "kedge_id"), bindings, star.supplies(spark, sf)).select("result_id", "pos", "subject_q", "object_q", "kedge_id")
+    parts = star.parts_for(spark, star.table(spark, sf, "lineitem").count())  # from the files' footers
+    return response.result_graph(a.select("result_id", "pos", "kedge_id"), bindings, star.supplies(spark, sf), parts).select("result_id", "pos", "subject_q", "object_q", "kedge_id")
 
 
 @query("""with g as (select result_id, sn, on_, avg(coalesce(p_value, 0.0)) as w from analyses a left join kg_edges e on e.edge_id = a.kedge_id group by 1, 2, 3)
