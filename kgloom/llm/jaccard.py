@@ -39,14 +39,16 @@ from kgloom.llm.shingles import mixed, shingle_set
 #: Up to so many ids (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Signatures that a task packs at once, and about how many a bucket of them holds.
-PACKED = 2_000_000
+PACKED = 1_000_000
 BUCKET = 500_000
 #: A signature of so many documents among those packed at once is led by one of them.
 HOT = 64
 #: Pairs, members of torn buckets and bytes of text in a group, about.
-PAIRS, MEMBERS, TEXT = 50_000, 100_000, 32_000_000
+PAIRS, MEMBERS, TEXT = 50_000, 100_000, 16_000_000
 #: Members of a bucket that are held against each other at once.
 BLOCK = 1000
+#: Pairs of places that a task makes at once, and rows that it sends on at once.
+AT_ONCE, ROWS = 1_000_000, 250_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,6 +77,15 @@ def pairs_within(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
 
 
+def runs(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of segments that follow each other, each of one segment or of about ``AT_ONCE`` pairs at most."""
+    load, at = np.cumsum(lengths * lengths), 0
+    while at < len(lengths):
+        past = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield at, past
+        at = past
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of ascending shingle sets, and which set each is of."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -252,8 +263,8 @@ def _led(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 sig = np.concatenate([np.cumsum(x[0]) for x in held])
                 own = _led_rows(*_in_order(sig, np.concatenate([x[1] for x in held])))
                 own = (own[0] | np.uint64(now << 32), own[1], own[2])
-                for k in range(0, len(own[0]), 1_000_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 1_000_000].view(np.int64)) for c in own], schema=rows)
+                for k in range(0, len(own[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS].view(np.int64)) for c in own], schema=rows)
             held.clear()
 
         for batch in batches:
@@ -375,10 +386,8 @@ def _torn_pairs(torn: DataFrame, roots: DataFrame, sizes: DataFrame, percent: in
         node = _places(nodes, left["node"])
         cuts = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
         lengths = np.diff(np.append(cuts, len(sig)))
-        load = np.cumsum(lengths * lengths)
-        done, at = np.zeros((0, 2), np.int64), 0
-        while at < len(cuts):  # some millions of pairs at once
-            past = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + 4_000_000, "right")))
+        done = np.zeros((0, 2), np.int64)
+        for at, past in runs(lengths):
             i, j = pairs_within(lengths[at:past])
             i, j = i + cuts[at], j + cuts[at]
             on = (part[i] != part[j]) & ((x[i] == y[i]) | (own[i] != own[j])) & (node[i] != node[j])
@@ -386,7 +395,6 @@ def _torn_pairs(torn: DataFrame, roots: DataFrame, sizes: DataFrame, percent: in
             a, b = two // len(nodes), two % len(nodes)
             on = sketches.may_link(a, b, percent)
             done = np.unique(np.concatenate([done, np.stack([nodes[a[on]], nodes[b[on]]], axis=1)]), axis=0)
-            at = past
         return [done[:, 0], done[:, 1]]
 
     found = stored(_by_group(keyed, ["node"], lambda needs: needs.join(sizes, "node"), keep).distinct(), "apart")

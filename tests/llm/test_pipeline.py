@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -47,3 +48,10 @@ def test_nulls_repeated_rows_and_extra_columns(spark, sf):
     empty = mixed.limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_pairs_made_at_once_are_bounded():
+    lengths = np.array([jaccard.BLOCK, 3, 2] * 40 + [2 * jaccard.BLOCK, 2])
+    ranges = list(jaccard.runs(lengths))
+    assert [k for at, past in ranges for k in range(at, past)] == list(range(len(lengths)))
+    assert all(past == at + 1 or (lengths[at:past] ** 2).sum() <= 1_000_000 for at, past in ranges)
