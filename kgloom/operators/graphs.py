@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations, count
 
 import numpy as np
@@ -122,21 +122,18 @@ def support_closure(edges: DataFrame, supports: DataFrame, aux: DataFrame) -> Da
     return found
 
 
-def ranker_closure(bound: DataFrame, edges: DataFrame, supports: DataFrame, aux_edges: DataFrame, aux_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges ``result_id, edge_id`` and nodes ``result_id, node_id`` of each result's graph as its ranker sees it.
+def ranker_rows(own: DataFrame, edges: DataFrame, supports: DataFrame, aux_nodes: DataFrame, more: Sequence[str] = ()) -> tuple[DataFrame, list[DataFrame]]:
+    """``result_id, edge_id, subject, object, gives`` and the edges' columns ``more``: what each result's graph holds as its ranker sees it, a row
+    repeated if it is met twice, and the stored tables that the rows are read from.
 
-    ``bound``: result_id, edge_id; ``edges``: edge_id, subject, object, described (whether it has attributes); ``supports``: edge_id, aux_id;
-    ``aux_edges``: aux_id, edge_id; ``aux_nodes``: aux_id, node_id. A described edge leads to the edges and nodes of its support graphs; others
-    are reached, but don't lead on, and a bound one among them gives no nodes. Unknown edges and support graphs are passed
-    over, though a bound edge stays as it is. Each edge counts once a result, so cycles end.
+    ``own``: result_id, aux_id, edge_id, an edge that a result binds or a support graph holds, or both of one row's; the rest as in
+    ``ranker_closure``. ``gives`` tells whether a row's ends are nodes of the graph; a support graph's node is a row's subject without an edge.
     """
-    ends = edges.select("edge_id", F.col("subject"), F.col("object"), "described", F.lit(True).alias("known"))
+    ends = edges.select("edge_id", F.col("subject"), F.col("object"), "described", *more, F.lit(True).alias("known"))
     to = supports.select("edge_id", F.col("aux_id").alias("to")).distinct()
-    key = {c: t for c, t in bound.dtypes + aux_edges.dtypes if c in ("result_id", "aux_id")}
-    own = bound.select("result_id", F.lit(None).cast(key["aux_id"]).alias("aux_id"), "edge_id").unionByName(aux_edges.select(F.lit(None).cast(key["result_id"]).alias("result_id"), "aux_id", "edge_id"))
     # one join an edge for all that results and support graphs hold; the walk is over support graphs, which are fewer than their edges
     met = own.join(ends, "edge_id", "left").join(to, "edge_id", "left")
-    placed = step(met.select("result_id", "aux_id", "edge_id", "subject", "object", "described", "known", F.when(F.col("described"), F.col("to")).alias("to")), "placed")
+    placed = step(met.select("result_id", "aux_id", "edge_id", "subject", "object", "described", "known", *more, F.when(F.col("described"), F.col("to")).alias("to")), "placed")
     links = step(placed.where("aux_id is not null and to is not null").select("aux_id", "to").distinct(), "links")
     found = frontier = step(placed.where("result_id is not null and to is not null").select("result_id", F.col("to").alias("aux_id")).distinct(), "walk")
     parts = [found]
@@ -151,13 +148,28 @@ def ranker_closure(bound: DataFrame, edges: DataFrame, supports: DataFrame, aux_
             found = step(found, "walk")
             drop(*(p for p in parts if p is not frontier))
             parts = [frontier, found]
-    none = F.lit(None).cast("string")
-    first = placed.where("result_id is not null").select("result_id", "edge_id", *(F.when(F.col("described"), F.col(c)).alias(c) for c in ("subject", "object")))
-    held = placed.where("aux_id is not null and known").select("aux_id", "edge_id", "subject", "object").unionByName(aux_nodes.select("aux_id", none.alias("edge_id"), F.col("node_id").alias("subject"), none.alias("object")))
-    rows = first.unionByName(found.join(held, "aux_id").select(first.columns)).repartition("result_id")  # edges and nodes are told apart and counted once in these partitions
+    first = placed.where("result_id is not null").select("result_id", "edge_id", "subject", "object", F.coalesce("described", F.lit(False)).alias("gives"), *more)
+    kind, gives = dict(placed.dtypes), F.lit(True).alias("gives")
+    held = placed.where("aux_id is not null and known").select("aux_id", "edge_id", "subject", "object", gives, *more)
+    named = aux_nodes.select("aux_id", F.lit(None).cast(kind["edge_id"]).alias("edge_id"), F.col("node_id").alias("subject"), F.lit(None).cast(kind["object"]).alias("object"), gives, *(F.lit(None).cast(kind[c]).alias(c) for c in more))
+    return first.unionByName(found.join(held.unionByName(named), "aux_id").select(first.columns)), [placed, links, *parts]
+
+
+def ranker_closure(bound: DataFrame, edges: DataFrame, supports: DataFrame, aux_edges: DataFrame, aux_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges ``result_id, edge_id`` and nodes ``result_id, node_id`` of each result's graph as its ranker sees it.
+
+    ``bound``: result_id, edge_id; ``edges``: edge_id, subject, object, described (whether it has attributes); ``supports``: edge_id, aux_id;
+    ``aux_edges``: aux_id, edge_id; ``aux_nodes``: aux_id, node_id. A described edge leads to the edges and nodes of its support graphs; others
+    are reached, but don't lead on, and a bound one among them gives no nodes. Unknown edges and support graphs are passed
+    over, though a bound edge stays as it is. Each edge counts once a result, so cycles end.
+    """
+    key = {c: t for c, t in bound.dtypes + aux_edges.dtypes if c in ("result_id", "aux_id")}
+    own = bound.select("result_id", F.lit(None).cast(key["aux_id"]).alias("aux_id"), "edge_id").unionByName(aux_edges.select(F.lit(None).cast(key["result_id"]).alias("result_id"), "aux_id", "edge_id"))
+    rows, stored = ranker_rows(own, edges, supports, aux_nodes)
+    rows = rows.select("result_id", "edge_id", *(F.when(F.col("gives"), F.col(c)).alias(c) for c in ("subject", "object"))).repartition("result_id")  # edges and nodes are told apart and counted once in these partitions
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in (("edge", "edge_id"), ("node", "subject"), ("node", "object")))))
     whole = step(rows.select("result_id", each.alias("e")).select("result_id", "e.kind", "e.id").where("id is not null").distinct(), "closure")
-    drop(placed, links, *parts)
+    drop(*stored)
     return tuple(whole.where(F.col("kind") == kind).select("result_id", F.col("id").alias(f"{kind}_id")) for kind in ("edge", "node"))
 
 

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -53,6 +54,33 @@ def conductances(edges: DataFrame, admittances: DataFrame, qedges: DataFrame, de
     return own.unionByName(asked).groupBy("result_id", "u", "v").agg(F.sum("g").alias("g"))
 
 
+def wired(rows: DataFrame, bound: DataFrame, parts: int) -> DataFrame:
+    """``result_id, u, v, g``: ``conductances`` of ``rnode_edges`` without query edges, all made in ``parts`` partitions by result after one shuffle.
+
+    ``rows``: result_id, edge_id, subject, object, gives, admittance (``graphs.ranker_rows``: repeated rows, one subject, object and admittance an edge id,
+    null where the edge is unknown); ``bound``: result_id, binds (a map of query nodes to lists of the nodes that they bind).
+    """
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    kind = dict(rows.dtypes)
+    own = rows.select("result_id", "edge_id", "subject", "object", "gives", "admittance", none("binds", dict(bound.dtypes)["binds"]))
+    more = bound.select("result_id", *(none(c, kind[c]) for c in ("edge_id", "subject", "object")), F.lit(False).alias("gives"), none("admittance", kind["admittance"]), "binds")
+    stream = own.unionByName(more).repartition(parts, "result_id")
+    # a row an end of an edge, a node of a support graph or a bound node
+    at = lambda node, end, qnode=None: F.struct(node.alias("node"), F.lit(end).cast("string").alias("end"), F.lit(None).cast("string").alias("qnode") if qnode is None else qnode.alias("qnode"))
+    bindings = F.flatten(F.transform(F.map_entries("binds"), lambda b: F.transform(b["value"], lambda k: at(k, None, b["key"]))))
+    each = stream.select("result_id", "edge_id", "gives", "admittance", F.explode(F.when(F.col("binds").isNull(), F.array(at(F.col("subject"), "u"), at(F.col("object"), "v"))).otherwise(bindings)).alias("e"))
+    each = each.select("result_id", "edge_id", "gives", "admittance", "e.*").where("node is not null")
+    here = W.partitionBy("result_id", "node")
+    each = each.withColumns({"names": F.collect_set("qnode").over(here), "known": F.max("gives").over(here)}).where("edge_id is not null and admittance is not null and (known or size(names) > 0)")
+    names = F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.concat(F.lit("support_node_"), F.col("node").cast("string"))))
+    end = lambda name: F.first(F.when(F.col("end") == name, names), ignorenulls=True).alias(name)
+    whole = each.groupBy("result_id", "edge_id").agg(end("u"), end("v"), F.first("admittance").alias("g"))
+    pairs = whole.select("result_id", "edge_id", "g", F.explode("u").alias("a"), "v").select("result_id", "edge_id", "g", "a", F.explode("v").alias("b"))
+    # between two nodes an edge counts once
+    once = pairs.groupBy("result_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "edge_id").agg(F.first("g").alias("g"))
+    return once.groupBy("result_id", "u", "v").agg(F.sum("g").alias("g"))
+
+
 def eliminated(edges: DataFrame, keep: DataFrame, key: str) -> DataFrame:
     """The edges ``key, u, v, g`` between the nodes of ``keep`` (``key, node``) that act alike there; parallel edges are added."""
     looped = F.col("u") == F.col("v")

@@ -39,15 +39,23 @@ def _closure(spark: SparkSession, sf: str, a: DataFrame | None = None) -> tuple[
 @query()
 def q134_result_graph_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each result's graph with all that its support graphs reach, scored between its two query nodes. Tested against matrices."""
-    a = step(star.analyses(spark, sf).select("result_id", "pos", "sn", "on_", "kedge_id"), "analyses")  # read by the closure and the bindings
-    edges, nodes = graphs.ranker_closure(*_closure(spark, sf, a))
-    bindings = a.select("result_id", F.explode(F.create_map(F.lit("sn"), "sn", F.lit("on"), "on_")).alias("qnode", "knode"))
-    weight = scoring.admittance(F.lit(scoring.BASE_WEIGHT)) + scoring.admittance(scoring.sigmoid(F.col("num_publications"), "unknown", "publications"))
-    kg = step(star.supplies(spark, sf).select("edge_id", "subject", "object", weight.alias("admittance")), "kg")
-    asked = a.select("result_id", F.lit("on").alias("u"), F.lit("sn").alias("v")).distinct()
-    wired = resistance.conductances(resistance.rnode_edges(edges, nodes, bindings, kg), kg.select("edge_id", "admittance"), asked, scoring.QUERY_EDGE)
-    probes = asked.select("result_id", F.explode(F.array("u", "v")).alias("node"))
-    return resistance.scores(wired, probes).select("result_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
+    # numbers stand for nodes (parts even, suppliers odd, customers below 0), edges and support graphs, which are much shuffled and have no texts
+    lines = star.result_lines(spark, sf).select("result_id", "pos", (2 * F.col("l_partkey")).alias("sn"), (2 * F.col("l_suppkey") + 1).alias("on_"))
+    a = step(lines.groupBy("result_id").agg(F.collect_list(F.struct("pos", "sn", "on_")).alias("lines")), "analyses")
+    each = a.select("result_id", F.inline("lines")).select("result_id", "pos", F.struct(F.col("on_").alias("s"), F.col("sn").alias("p")).alias("edge_id"))
+    weight = scoring.admittance(F.lit(scoring.BASE_WEIGHT)) + scoring.admittance(scoring.sigmoid(F.col("n"), "unknown", "publications"))
+    ends = star.supplied_pairs(spark, sf).select((2 * F.col("l_suppkey") + 1).alias("subject"), (2 * F.col("l_partkey")).alias("object"), (F.coalesce("a", F.lit(0.0)) >= 0.2).alias("described"), weight.alias("admittance"))
+    edges = ends.withColumn("edge_id", F.struct(F.col("subject").alias("s"), F.col("object").alias("p")))
+    supports = each.where("pos = 1 and result_id % 3 > 0").select("edge_id", (F.col("result_id") + 1).alias("aux_id"))
+    aux_nodes = star.table(spark, sf, "orders").select(F.col("o_orderkey").alias("aux_id"), (-1 - F.col("o_custkey")).alias("node_id"))
+    rows, stored = graphs.ranker_rows(each.select("result_id", F.col("result_id").alias("aux_id"), "edge_id"), edges, supports, aux_nodes, ["admittance"])
+    of = lambda name: F.array_distinct(F.transform("lines", lambda x: x[name]))
+    bound = a.select("result_id", F.create_map(F.lit("sn"), of("sn"), F.lit("on"), of("on_")).alias("binds"))
+    wired = resistance.wired(rows, bound, star.parts_for(spark, star.table(spark, sf, "lineitem").count()))
+    asked = a.select("result_id", F.lit("on").alias("u"), F.lit("sn").alias("v"))
+    whole = wired.unionByName(asked.withColumn("g", F.lit(scoring.QUERY_EDGE)))  # parallel edges are added
+    out = resistance.scores(whole, asked.select("result_id", F.explode(F.array("u", "v")).alias("node")))
+    return out.select("result_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 @query()

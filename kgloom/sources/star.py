@@ -39,6 +39,12 @@ def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.union(supplier).union(customer).union(nation).union(region)
 
 
+def _pairs(lines: DataFrame, key: str, n: int) -> DataFrame:
+    """``key, l_partkey, n, p, a``: what an edge is made of, for each two keys of a line."""
+    # most pairs have one line, so counting before the shuffle would only fill the memory of the tasks that read
+    return lines.repartition(n, key, "l_partkey").groupBy(key, "l_partkey").agg(F.count("*").alias("n"), F.round(F.avg("l_discount") + 0.0, 6).alias("p"), F.round(F.avg("l_tax") * 10 + 0.0, 6).alias("a"))
+
+
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edge_id, subject, object, predicate, source, num_publications, p_value, affinity``."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_discount", "l_tax")
@@ -46,8 +52,7 @@ def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
 
     def counted(df: DataFrame, key: str, short: str, prefix: str, predicate: str) -> DataFrame:
-        # most pairs have one line, so counting before the shuffle would only fill the memory of the tasks that read
-        grouped = df.repartition(n, key, "l_partkey").groupBy(key, "l_partkey").agg(F.count("*").alias("n"), F.round(F.avg("l_discount") + 0.0, 6).alias("p"), F.round(F.avg("l_tax") * 10 + 0.0, 6).alias("a"))
+        grouped = _pairs(df, key, n)
         edge = F.concat(F.lit(f"{short}|"), F.col(key).cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
         return grouped.select(edge.alias("edge_id"), _id(prefix, key).alias("subject"), _id("PART:", "l_partkey").alias("object"), F.lit(predicate).alias("predicate"), F.concat(F.lit("src"), (F.col(key) % 5).cast("string")).alias("source"), F.col("n").alias("num_publications"), F.col("p").alias("p_value"), F.col("a").alias("affinity"))
 
@@ -111,15 +116,26 @@ def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg_edges(spark, sf_dir).where("predicate = 'supplies'")
 
 
-def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``result_id, pos, sn, on_, kedge_id, score``: a result an order, an analysis a line."""
+def supplied_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l_suppkey, l_partkey, n, p, a``: the supplies edges by the tables' keys, with their publications, p-value and affinity."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_discount", "l_tax")
+    return _pairs(lines, "l_suppkey", parts_for(spark, lines.count()))
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``result_id, pos, l_partkey, l_suppkey, l_extendedprice, l_discount``: the analyses by the tables' keys, those of a result in one partition."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount")
     n = parts_for(spark, lines.count())
     lines, orders = lines.repartition(n, "l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey").repartition(n, "o_orderkey")
     order = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(F.col("o_orderkey").alias("result_id"), F.row_number().over(order).alias("pos"), "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``result_id, pos, sn, on_, kedge_id, score``: a result an order, an analysis a line."""
     edge = F.concat(F.lit("sup|"), F.col("l_suppkey").cast("string"), F.lit("|"), F.col("l_partkey").cast("string"))
-    return joined.select(F.col("o_orderkey").alias("result_id"), F.row_number().over(order).alias("pos"), _id("PART:", "l_partkey").alias("sn"), _id("SUPP:", "l_suppkey").alias("on_"), edge.alias("kedge_id"), (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("score"))
+    return result_lines(spark, sf_dir).select("result_id", "pos", _id("PART:", "l_partkey").alias("sn"), _id("SUPP:", "l_suppkey").alias("on_"), edge.alias("kedge_id"), (F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5) / 100).alias("score"))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
