@@ -55,7 +55,8 @@ def conductances(edges: DataFrame, admittances: DataFrame, qedges: DataFrame, de
 
 
 def wired(rows: DataFrame, bound: DataFrame, parts: int) -> DataFrame:
-    """``result_id, u, v, g``: ``conductances`` of ``rnode_edges`` without query edges, all made in ``parts`` partitions by result after one shuffle.
+    """``result_id, u, v, g``: ``conductances`` of ``rnode_edges`` without query edges, all made in partitions by result after one shuffle,
+    ``parts`` of them if that is more than the session's.
 
     ``rows``: result_id, edge_id, subject, object, gives, admittance (``graphs.ranker_rows``: repeated rows, one subject, object and admittance an edge id,
     null where the edge is unknown); ``bound``: result_id, binds (a map of query nodes to lists of the nodes that they bind).
@@ -64,7 +65,8 @@ def wired(rows: DataFrame, bound: DataFrame, parts: int) -> DataFrame:
     kind = dict(rows.dtypes)
     own = rows.select("result_id", "edge_id", "subject", "object", "gives", "admittance", none("binds", dict(bound.dtypes)["binds"]))
     more = bound.select("result_id", *(none(c, kind[c]) for c in ("edge_id", "subject", "object")), F.lit(False).alias("gives"), none("admittance", kind["admittance"]), "binds")
-    stream = own.unionByName(more).repartition(parts, "result_id")
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # AQE puts them together where they are small
+    stream = own.unionByName(more).repartition(*([parts] if parts > usual else []), "result_id")
     # a row an end of an edge, a node of a support graph or a bound node
     at = lambda node, end, qnode=None: F.struct(node.alias("node"), F.lit(end).cast("string").alias("end"), F.lit(None).cast("string").alias("qnode") if qnode is None else qnode.alias("qnode"))
     bindings = F.flatten(F.transform(F.map_entries("binds"), lambda b: F.transform(b["value"], lambda k: at(k, None, b["key"]))))
@@ -214,7 +216,8 @@ def scores(edges: DataFrame, probes: DataFrame, key: str = "result_id") -> DataF
     out = solved.where("not large").select(F.col("key").alias(key), "score")
     beyond = solved.where("large").select(F.col("key").alias(key))
     if beyond.take(1):
-        out = out.unionByName(table_scores(edges.join(beyond, key, "left_semi"), probes.join(beyond, key, "left_semi"), key).select(key, "score"))
+        own = step(edges.join(beyond, key, "left_semi"), "large")  # each round's start reads it
+        out = out.unionByName(table_scores(own, probes.join(beyond, key, "left_semi"), key).select(key, "score"))
     return out
 
 
