@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.operators.checkpoints import kept
+from kgloom.operators.checkpoints import drop, step
+
+#: Nodes of a hop that go to all tasks, counted first.
+FEW = 500_000
 
 
 def match(query_graph: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,13 +55,18 @@ def match(query_graph: dict, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """``node, hop`` of every node within ``depth`` undirected hops of ``start`` (``node``), at its first hop."""
-    both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(edges.select("object", "subject"))
-    both = kept(both.distinct())  # each hop reads it
-    found = start.select("node", F.lit(0).alias("hop")).distinct()
-    frontier = found
+    """``node, hop`` of every node within ``depth`` undirected hops of ``start`` (``node``), at its first hop.
+
+    The edges' ends are stored once, as they are; a hop reads them from both ends, and nodes counted as few go to all tasks, so that no edge is shuffled.
+    """
+    pairs = step(edges.select("subject", "object"), "ends")
+    found = frontier = start.select("node", F.lit(0).alias("hop")).distinct()
     for hop in range(1, depth + 1):
-        reached = both.join(frontier, both["a"] == frontier["node"], "left_semi").select(F.col("b").alias("node")).distinct()
-        frontier = kept(reached.join(found, "node", "left_anti").select("node", F.lit(hop).alias("hop")))
-        found = reduce(DataFrame.union, [found, frontier])
+        own = frontier.select("node")
+        own = F.broadcast(own) if frontier.count() <= FEW else own
+        ways = [pairs.join(own, pairs[a] == own["node"], "left_semi").select(F.col(b).alias("node")) for a, b in (("subject", "object"), ("object", "subject"))]
+        reached = ways[0].union(ways[1]).distinct()
+        frontier = step(reached.join(found, "node", "left_anti").select("node", F.lit(hop).alias("hop")), "hop")
+        found = found.union(frontier)
+    drop(pairs)
     return found
