@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,67 +209,91 @@ def _matrix(g: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def distances(adjacent: np.ndarray) -> np.ndarray:
-    """Hops between all nodes of a directed graph; -1 where there is no way."""
-    n = len(adjacent)
-    out = np.full((n, n), -1)
-    for s in range(n):
-        out[s, s] = 0
-        queue = deque([s])
-        while queue:
-            u = queue.popleft()
-            for v in np.flatnonzero(adjacent[u]):
-                if out[s, v] < 0:
-                    out[s, v] = out[s, u] + 1
-                    queue.append(v)
+    """Hops between all nodes of each directed graph (graph, node, node); -1 where there is no way."""
+    n = adjacent.shape[1]
+    step, at = adjacent.astype(np.float32), np.broadcast_to(np.eye(n, dtype=bool), adjacent.shape)
+    out = np.where(at, 0, -1)
+    for hops in range(1, n):
+        at = (at.astype(np.float32) @ step > 0) & (out < 0)
+        if not at.any():
+            break
+        out[at] = hops
     return out
 
 
+def max_flows(capacity: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The largest flow from ``s`` to ``t`` in each graph (graph, node, node), by shortest augmenting paths of all graphs at once."""
+    left, flow, open_ = capacity.astype(float), np.zeros(len(capacity)), np.arange(len(capacity))
+    while len(open_):
+        own, n = left[open_], np.arange(len(open_))
+        free, above = own > 1e-12, np.full(own.shape[:2], -1)
+        above[n, s[open_]] = s[open_]
+        at = above >= 0
+        while at.any():
+            ways = free & at[:, :, None]
+            at = ways.any(axis=1) & (above < 0)
+            above[at] = ways.argmax(axis=1)[at]
+            at &= (above[n, t[open_]] < 0)[:, None]  # a graph whose end is reached waits for the others
+        met = above[n, t[open_]] >= 0
+        open_, above = open_[met], above[met]
+        way, v = [], t[open_].copy()
+        rows = np.arange(len(open_))
+        while len(rows):  # back from the ends, those graphs that aren't at their start yet
+            u = above[rows, v[rows]]
+            way.append((rows, u, v[rows]))
+            v[rows] = u
+            rows = rows[u != s[open_[rows]]]
+        least = np.full(len(open_), np.inf)
+        for rows, u, w in way:
+            least[rows] = np.minimum(least[rows], left[open_[rows], u, w])
+        for rows, u, w in way:
+            left[open_[rows], u, w] -= least[rows]
+            left[open_[rows], w, u] += least[rows]
+        flow[open_] += least
+    return flow
+
+
 def max_flow(capacity: np.ndarray, s: int, t: int) -> float:
-    """The largest flow from ``s`` to ``t``, by shortest augmenting paths."""
-    left, flow = capacity.astype(float).copy(), 0.0
-    while True:
-        above = np.full(len(left), -1)
-        above[s] = s
-        queue = deque([s])
-        while queue and above[t] < 0:
-            u = queue.popleft()
-            for v in np.flatnonzero((left[u] > 1e-12) & (above < 0)):
-                above[v] = u
-                queue.append(int(v))
-        if above[t] < 0:
-            return flow
-        way, v = [], t
-        while v != s:
-            way.append((above[v], v))
-            v = above[v]
-        step = min(left[e] for e in way)
-        for u, v in way:
-            left[u, v] -= step
-            left[v, u] += step
-        flow += step
-
-
-def _noisy_or(values: list[float]) -> float:
-    return float(1 - np.prod([1 - v for v in values])) if values else 0.0
+    return float(max_flows(capacity[None], np.array([s]), np.array([t]))[0])
 
 
-def max_flow_score(g: pd.DataFrame) -> float:
-    """Noisy-or of the flows between the pairs of nodes that are farthest apart; 1 for a node alone."""
-    names, a, wired = _matrix(g)
-    if len(names) <= 1:
-        return 1.0
+def _noisy_or_of(graph: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` graphs the noisy-or of its values; 0 without one."""
+    missed = np.ones(n)
+    np.multiply.at(missed, graph, 1 - values)
+    return 1 - missed
+
+
+def max_flow_scores(a: np.ndarray, wired: np.ndarray) -> np.ndarray:
+    """For each graph of one size (weights and edges: graph, node, node) the noisy-or of the flows between the pairs of nodes that are farthest
+    apart; 1 for a node alone."""
+    if a.shape[1] <= 1:
+        return np.ones(len(a))
     d = distances(wired)
-    far = d.max()
-    return _noisy_or([max_flow(a, i, j) for i, j in zip(*np.nonzero(d == far), strict=True) if i != j]) if far > 0 else 0.0
+    far = d.max(axis=(1, 2))
+    graph, s, t = np.nonzero((d == far[:, None, None]) & (far > 0)[:, None, None])
+    return _noisy_or_of(graph, max_flows(a[graph], s, t), len(a))
+
+
+def longest_path_scores(a: np.ndarray, wired: np.ndarray) -> np.ndarray:
+    """For each graph the noisy-or over the pairs farthest apart, at L hops, of the walks ``A**L / L!`` between them."""
+    d = distances(wired)
+    far, walks = d.max(axis=(1, 2)), np.broadcast_to(np.eye(a.shape[1]), a.shape).copy()
+    for hops in range(1, int(far.max(initial=0)) + 1):
+        longer = far >= hops
+        walks[longer] = walks[longer] @ a[longer] / hops
+    graph, s, t = np.nonzero(d == far[:, None, None])
+    return _noisy_or_of(graph, walks[graph, s, t], len(a))
+
+
+def max_flow_score(g: pd.DataFrame) -> float:
+    _, a, wired = _matrix(g)
+    return float(max_flow_scores(a[None], wired[None])[0])
 
 
 def longest_path_score(g: pd.DataFrame) -> float:
-    """Noisy-or over the pairs farthest apart, at L hops, of the walks ``A**L / L!`` between them."""
     _, a, wired = _matrix(g)
-    d = distances(wired)
-    far = int(d.max())
-    walks = np.linalg.matrix_power(a, far) / float(np.prod(np.arange(1, far + 1))) if far else np.eye(len(a))
-    return _noisy_or([walks[i, j] for i, j in zip(*np.nonzero(d == far), strict=True)])
+    return float(longest_path_scores(a[None], wired[None])[0])
 
 
 def resistance_score(g: pd.DataFrame) -> float:
@@ -306,3 +331,47 @@ def score_graphs(edges: DataFrame, score: Callable[[pd.DataFrame], float], key:
 
     own = edges.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key)
     return own.mapInPandas(run, f"{key} {kind}, score double")
+
+
+#: Cells of the matrices that are scored together.
+CELLS = 4_000_000
+
+
+def _stacked(graph: np.ndarray, u: pa.Array, v: pa.Array, w: np.ndarray, n_graphs: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The score of each graph, those of one size together; an edge's graph is its number."""
+    names = pa.concat_arrays([u, v]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    many = int(names.max(initial=0)) + 1
+    nodes, at = np.unique(np.concatenate([graph, graph]) * many + names, return_inverse=True)
+    size = np.bincount(nodes // many, minlength=n_graphs)
+    place = at - (np.cumsum(size) - size)[np.concatenate([graph, graph])]
+    a, b, out = place[: len(graph)], place[len(graph) :], np.zeros(n_graphs)
+    for n in np.unique(size[size > 0]):
+        same = np.flatnonzero(size == n)
+        slot = np.full(n_graphs, -1)
+        slot[same] = np.arange(len(same))
+        mine = np.flatnonzero(slot[graph] >= 0)
+        cell = (slot[graph[mine]] * n + a[mine]) * n + b[mine]
+        step = max(1, CELLS // int(n * n))
+        for first in range(0, len(same), step):
+            last = min(len(same), first + step)
+            own = (cell >= first * n * n) & (cell < last * n * n)
+            at_cell, cells = cell[own] - first * n * n, (last - first) * n * n
+            weights = np.bincount(at_cell, w[mine[own]], cells).reshape(-1, n, n)
+            out[same[first:last]] = score(weights, (np.bincount(at_cell, minlength=cells) > 0).reshape(-1, n, n))
+    return out
+
+
+def score_stacked(edges: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], key: str = "result_id", nudge: float = 0.0, places: int = 6) -> DataFrame:
+    """``score_graphs`` by a score of many graphs of one size at once. Rows that lie in one partition by ``key`` aren't shuffled."""
+    kind = dict(edges.dtypes)[key]
+    graphs = edges.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("u", "v", "w")).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1)
+            u, v, w = own.flatten().flatten()
+            graph = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy())
+            found = _stacked(graph, u, v, w.cast("double").to_numpy(zero_copy_only=False), len(own), score)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(found + nudge, places))], names=[key, "score"])
+
+    return graphs.mapInArrow(run, f"{key} {kind}, score double")
