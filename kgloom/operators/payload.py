@@ -20,6 +20,11 @@ ATTRIBUTES = "array<struct<original_attribute_name:string,attribute_type_id:stri
 _KEYED = "array<struct<key:string,value:string>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is evaluated once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def flattened(attributes: Column) -> Column:
     """``map<string, string>`` of a list of attributes.
 
@@ -34,18 +39,20 @@ def flattened(attributes: Column) -> Column:
         key = F.coalesce(named(a), F.concat(F.lit("attr_"), so_far.cast("string")))
         return F.concat(done, F.array(F.struct(key.alias("key"), F.coalesce(F.to_json(a["value"]), F.lit("null")).alias("value"))))
 
-    keyed = F.aggregate(F.coalesce(attributes, F.array().cast(ATTRIBUTES)), F.array().cast(_KEYED), add)
-
-    def value(key: Column) -> Column:
-        own = F.transform(F.filter(keyed, lambda x: x["key"] == key), lambda x: x["value"])
+    def value(key: Column, own: Column) -> Column:
         head = F.get(own, F.lit(0))
         rest = F.array_join(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), ",")
         opened = F.when(head.startswith("["), F.substring(head, F.lit(1), F.length(head) - 1)).otherwise(F.concat(F.lit("["), head))
         comma = F.when(opened == "[", "").otherwise(",")
-        return F.when(F.size(own) == 1, head).otherwise(F.concat(opened, comma, rest, F.lit("]")))
+        return F.struct(key.alias("key"), F.when(F.size(own) == 1, head).otherwise(F.concat(opened, comma, rest, F.lit("]"))).alias("value"))
 
-    keys = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    def entries(keyed: Column) -> Column:
+        of = lambda key: F.transform(F.filter(keyed, lambda x: x["key"] == key), lambda x: x["value"])
+        keys = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
+        return F.when(F.size(keys) == F.size(keyed), keyed).otherwise(F.transform(keys, lambda key: _once(of(key), lambda own: value(key, own))))
+
+    keyed = F.aggregate(F.coalesce(attributes, F.array().cast(ATTRIBUTES)), F.array().cast(_KEYED), add)
+    return F.map_from_entries(_once(keyed, entries))
 
 
 def weight(flat: Column, name: str, default: float = 1.0, transform: Callable[[Column], Column] | None = None) -> Column:
@@ -86,22 +93,28 @@ def undirected(rows: DataFrame) -> DataFrame:
 def collapsed_full(rows: DataFrame) -> DataFrame:
     """``u, v, id, predicate, flat, weight``: one edge for each pair of ends. The last edge's data stay; where it names no predicate, the last
     one that was named does. Maxima are merged before the shuffle, so a pair with many edges is no hot key."""
-    last = F.max_by(F.struct("id", F.to_json("flat").alias("flat"), "weight"), "pos").alias("last")
+    last = F.max_by(F.struct("id", "flat", "weight"), "pos").alias("last")
     named = F.max_by("predicate", F.when(F.col("predicate").isNotNull(), F.col("pos"))).alias("predicate")
-    return rows.groupBy("u", "v").agg(last, named).select("u", "v", "last.id", "predicate", F.from_json("last.flat", "map<string,string>").alias("flat"), "last.weight")
+    return rows.groupBy("u", "v").agg(last, named).select("u", "v", "last.id", "predicate", "last.flat", "last.weight")
 
 
 def collapsed_weights(rows: DataFrame, how: str = "sum") -> DataFrame:
     """``u, v, weight``: one edge for each pair of ends, its weight the ``sum``, ``max``, ``min`` or ``first`` of the edges', or their ``mean``: the
     weight so far and the next one's halved, in order of place. Weights that are off (null) stay null."""
-    if how == "mean":
+    return collapsed_forms(rows, {"weight": (how, F.col("weight"))})
+
+
+def collapsed_forms(rows: DataFrame, forms: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``u, v`` and a column a form: ``collapsed_weights`` of several ways (name: way, weight) after one shuffle."""
+    weights = {f"_{i}": weight for i, (_, weight) in enumerate(forms.values())}
+    own = rows.select("u", "v", "pos", *(weight.alias(name) for name, weight in weights.items()))
+    if any(how == "mean" for how, _ in forms.values()):
         # the edge r places before a pair's last counts 2^-(r+1), the first as much as the second
-        back, ahead = W.partitionBy("u", "v").orderBy(F.col("pos").desc()), W.partitionBy("u", "v").orderBy("pos")
-        r = F.row_number().over(back)
-        ranked = rows.select("u", "v", "weight", r.alias("r"), (F.lag("pos").over(ahead).isNull()).alias("is_first"))
-        share = F.pow(F.lit(0.5), F.col("r") - F.when(F.col("is_first"), 1).otherwise(0))
-        return ranked.groupBy("u", "v").agg(F.sum(F.col("weight") * share).alias("weight"))
-    by = {"sum": F.sum("weight"), "max": F.max("weight"), "min": F.min("weight"), "first": F.min_by("weight", "pos")}
-    if how not in by:
-        raise ValueError(f"no such way to combine weights: {how}")
-    return rows.groupBy("u", "v").agg(by[how].alias("weight"))
+        r = F.row_number().over(W.partitionBy("u", "v").orderBy(F.col("pos").desc()))
+        own = own.withColumns({"r": r, "n": F.count("*").over(W.partitionBy("u", "v"))})
+    share = F.pow(F.lit(0.5), F.col("r") - F.when(F.col("r") == F.col("n"), 1).otherwise(0))
+    by = {"sum": F.sum, "max": F.max, "min": F.min, "first": lambda w: F.min_by(w, "pos"), "mean": lambda w: F.sum(F.col(w) * share)}
+    for how, _ in forms.values():
+        if how not in by:
+            raise ValueError(f"no such way to combine weights: {how}")
+    return own.groupBy("u", "v").agg(*(by[how](w).alias(name) for w, (name, (how, _)) in zip(weights, forms.items(), strict=True)))
