@@ -51,8 +51,16 @@ def flattened(attributes: Column) -> Column:
         keys = F.array_distinct(F.transform(keyed, lambda x: x["key"]))
         return F.when(F.size(keys) == F.size(keyed), keyed).otherwise(F.transform(keys, lambda key: _once(of(key), lambda own: value(key, own))))
 
-    keyed = F.aggregate(F.coalesce(attributes, F.array().cast(ATTRIBUTES)), F.array().cast(_KEYED), add)
-    return F.map_from_entries(_once(keyed, entries))
+    def keyed(own: Column) -> Column:
+        # with one attribute without a name, the keys before it are names
+        def placed(a: Column, i: Column) -> Column:
+            key = F.coalesce(named(a), F.concat(F.lit("attr_"), F.size(F.array_distinct(F.transform(F.slice(own, F.lit(1), i), named))).cast("string")))
+            return F.struct(key.alias("key"), F.coalesce(F.to_json(a["value"]), F.lit("null")).alias("value"))
+
+        return F.when(F.size(F.filter(own, lambda a: named(a).isNull())) <= 1, F.transform(own, placed)).otherwise(F.aggregate(own, F.array().cast(_KEYED), add))
+
+    own = F.coalesce(attributes, F.array().cast(ATTRIBUTES))
+    return F.map_from_entries(_once(_once(own, keyed), entries))
 
 
 def weight(flat: Column, name: str, default: float = 1.0, transform: Callable[[Column], Column] | None = None) -> Column:
