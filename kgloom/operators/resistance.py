@@ -65,8 +65,8 @@ def wired(rows: DataFrame, bound: DataFrame, parts: int) -> DataFrame:
     kind = dict(rows.dtypes)
     own = rows.select("result_id", "edge_id", "subject", "object", "gives", "admittance", none("binds", dict(bound.dtypes)["binds"]))
     more = bound.select("result_id", *(none(c, kind[c]) for c in ("edge_id", "subject", "object")), F.lit(False).alias("gives"), none("admittance", kind["admittance"]), "binds")
-    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # AQE puts them together where they are small
-    stream = own.unionByName(more).repartition(*([parts] if parts > usual else []), "result_id")
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as AQE would put them together to tasks that spill
+    stream = own.unionByName(more).repartition(max(parts, usual), "result_id")
     # a row an end of an edge, a node of a support graph or a bound node
     at = lambda node, end, qnode=None: F.struct(node.alias("node"), F.lit(end).cast("string").alias("end"), F.lit(None).cast("string").alias("qnode") if qnode is None else qnode.alias("qnode"))
     bindings = F.flatten(F.transform(F.map_entries("binds"), lambda b: F.transform(b["value"], lambda k: at(k, None, b["key"]))))
